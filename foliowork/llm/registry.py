@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliowork.llm import media, packing
+from foliowork.llm import exact, lines, media, mixing, packing
 
-MODULES = (media, packing)
+MODULES = (lines, exact, mixing, media, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

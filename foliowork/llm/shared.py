@@ -46,3 +46,23 @@ def text_of(column: str = "text") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; texts of one byte per character take the faster built-in."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below a path, from the file system's own summary."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def broadcast_if_small(table: DataFrame, path: str, most: int = 4 << 20) -> DataFrame:
+    """Broadcast a written table whose files hold `most` bytes at most; a larger one is joined by shuffling."""
+    return F.broadcast(table) if folder_bytes(table.sparkSession, path) <= most else table
