@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliowork.llm import exact, lines, media, mixing, packing, quality, secrets, urls
+from foliowork.llm import exact, lines, media, mixing, neardup, packing, quality, secrets, urls
 
-MODULES = (lines, exact, urls, secrets, quality, mixing, media, packing)
+MODULES = (lines, exact, urls, secrets, neardup, quality, mixing, media, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
