@@ -253,6 +253,12 @@ def _data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["v", "root", "blocks", "data"])
 
 
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs` that stay: one of each component, that of the smallest id, and rows without an id."""
+    kept = near_groups(docs, id_column, text_column).filter("kept").select(F.col(id_column).alias("_kept"))
+    return docs.join(kept, docs[id_column].eqNullSafe(F.col("_kept")), "left_semi")
+
+
 def op5_minhash_near_dup(spark, sf_dir):
     return near_groups(read(spark, sf_dir, "documents"))
 
