@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from foliowork.plans import q_structure, q_text
+
+MODULES = (q_text, q_structure)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
