@@ -132,13 +132,13 @@ def paragraph_chunks(spark, sf):
     return rows.select("doc_id", "chunk_no", F.length("chunk").cast("long").alias("n"), F.sha2("chunk", 256).alias("digest"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(substr(coalesce(text, ''), 1, 400), ' ') AS ls FROM documents)),
+@query(f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS ls FROM documents)),
  s AS (SELECT *, regexp_matches(line, '^\\p{{L}}$') AS single FROM l), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, single ORDER BY i) AS island FROM s),
  p AS (SELECT *, CASE WHEN single THEN (row_number() OVER (PARTITION BY doc_id, single, island ORDER BY i) - 1) // 2 END AS pair FROM g),
  q AS (SELECT doc_id, min(i) AS first, string_agg(line, '' ORDER BY i) AS joined FROM p GROUP BY doc_id, single, CASE WHEN single THEN island END, pair, CASE WHEN NOT single THEN i END)
  SELECT doc_id, string_agg(joined, '/' ORDER BY first) AS labels FROM q GROUP BY doc_id""")
 def label_repair(spark, sf):
-    own = F.split(F.substring(F.coalesce("text", F.lit("")), 1, 400), " ", -1)
+    own = F.split(F.coalesce("text", F.lit("")), " ", -1)
     return read(spark, sf, "documents").select("doc_id", F.array_join(S.repair_labels(own), "/").alias("labels"))
 
 

@@ -136,13 +136,13 @@ def heading_rules(spark, sf):
     return rows.select("doc_id", "line_no", X.heading_markup("line").alias("heading"), X.first_line_heading("line").alias("first_line"))
 
 
-@query(rf"""WITH l AS (SELECT doc_id, list_filter(list_transform({sql_lines("replace(coalesce(text, ''), ' ', chr(10))")}, lambda x: {sql_trim('x')}), lambda x: x <> '') AS ls FROM (SELECT doc_id, substr(text, 1, 60) AS text FROM documents)),
- j AS (SELECT *, array_to_string(ls, ' ') AS joined FROM l)
- SELECT doc_id, len(ls) > 0 AND len(ls) <= 14 AND len({sql_tokens('joined')}) <= 24 AND len(list_filter(ls, lambda x: regexp_matches(x, '[.:]$'))) = 0
+@query(rf"""WITH p AS (SELECT doc_id, generate_subscripts({sql_lines(_T)}, 1) - 1 AS line_no, replace(unnest({sql_lines(_T)}), ' ', chr(10)) AS page FROM documents),
+ l AS (SELECT doc_id, line_no, list_filter(list_transform({sql_lines('page')}, lambda x: {sql_trim('x')}), lambda x: x <> '') AS ls FROM p), j AS (SELECT *, array_to_string(ls, ' ') AS joined FROM l)
+ SELECT doc_id, line_no, len(ls) > 0 AND len(ls) <= 14 AND len({sql_tokens('joined')}) <= 24 AND len(list_filter(ls, lambda x: regexp_matches(x, '[.:]$'))) = 0
   AND (len(list_filter(ls, lambda x: regexp_matches(x, '^-?\d+(\.\d+)?$'))) >= 3 OR contains(joined, '[') OR contains(joined, ']') OR contains(joined, '/') OR contains(joined, 'MeV')) AS figure FROM j""")
 def figure_text(spark, sf):
-    page = F.replace(F.substring(X.col("text"), 1, 60), F.lit(" "), F.lit("\n"))
-    return read(spark, sf, "documents").select("doc_id", X.is_figure(page).alias("figure"))
+    rows = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split(X.col("text"), "\n", -1)).alias("line_no", "line"))
+    return rows.select("doc_id", "line_no", X.is_figure(F.replace(F.col("line"), F.lit(" "), F.lit("\n"))).alias("figure"))
 
 
 @query(f"SELECT doc_id, regexp_matches({_T}, '[\\x{{0590}}-\\x{{05FF}}\\x{{0600}}-\\x{{06FF}}\\x{{0750}}-\\x{{077F}}\\x{{08A0}}-\\x{{08FF}}]') AS rtl FROM documents")
@@ -162,12 +162,12 @@ def markdown_escapes(spark, sf):
     return s.select("doc_id", X.yaml_str("original").alias("yaml"), X.md_escape("original").alias("inline"), X.md_escape_block("original").alias("block"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(substr(text, 1, 400), ''), '[^\x00-\x7F]', '', 'g') || ' Acme Widget Corp. met University of New ' || upper(source) || ' and Acme Widget Corp. again' AS t FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, 'x Acme Widget Corp. met University of New ' || upper(source) || ' and Acme Widget Corp. again ' || regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g') AS t0 FROM documents), t1 AS (SELECT doc_id, substr(t0, 1, 8000) AS t FROM t)
  SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN list_position(a, a[i]) = i THEN a[i] END), lambda x: x IS NOT NULL), 1, 10), ';') AS names FROM (
  SELECT doc_id, list_filter(list_concat(regexp_extract_all(t, '\b[A-Z][A-Za-z&.-]+(?:\s+[A-Z][A-Za-z&.-]+){0,3}\s+(?:Inc\.?|Corp\.?|Corporation|Company|University|Institute|Laboratory|Labs|LLC|Ltd\.?)\b'),
-  regexp_extract_all(t, '\b(?:University|Institute|Laboratory|Labs)\s+of\s+[A-Z][A-Za-z&.-]+(?:\s+[A-Z][A-Za-z&.-]+){0,2}\b')), lambda x: length(x) > 2) AS a FROM t)""")
+  regexp_extract_all(t, '\b(?:University|Institute|Laboratory|Labs)\s+of\s+[A-Z][A-Za-z&.-]+(?:\s+[A-Z][A-Za-z&.-]+){0,2}\b')), lambda x: length(x) > 2) AS a FROM t1)""")
 def organisation_names(spark, sf):
-    t = F.concat(F.regexp_replace(F.substring(X.col("text"), 1, 400), r"[^\x00-\x7F]", ""), F.lit(" Acme Widget Corp. met University of New "), F.upper("source"), F.lit(" and Acme Widget Corp. again"))
+    t = F.concat(F.lit("x Acme Widget Corp. met University of New "), F.upper("source"), F.lit(" and Acme Widget Corp. again "), F.regexp_replace(X.col("text"), r"[^\x00-\x7F]", ""))
     return read(spark, sf, "documents").select("doc_id", F.array_join(X.organisations(t), ";").alias("names"))
 
 
