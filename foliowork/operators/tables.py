@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -191,7 +192,7 @@ def table_similarity(pairs: DataFrame, most_nodes: int = 4000) -> DataFrame:
     @F.pandas_udf("structural double, total double")
     def score(truth: pd.Series, other: pd.Series) -> pd.DataFrame:
         def table(rows):
-            return None if rows is None else [[(c["value"] or "", c["colspan"], c["rowspan"]) for c in r] for r in rows]
+            return None if rows is None else [[(c.get("value") or "", c["colspan"], c["rowspan"]) for c in r] for r in json.loads(rows)]
 
         out = []
         for x, y in zip(map(table, truth), map(table, other), strict=True):
@@ -199,6 +200,6 @@ def table_similarity(pairs: DataFrame, most_nodes: int = 4000) -> DataFrame:
             out.append((same, same) if x is None or y is None else (tree_similarity(x, y, True), tree_similarity(x, y)))
         return pd.DataFrame(out, columns=["structural", "total"])
 
-    small = F.when(~F.col("skipped"), F.col("truth")), F.when(~F.col("skipped"), F.col("other"))
+    small = F.when(~F.col("skipped"), F.to_json("truth")), F.when(~F.col("skipped"), F.to_json("other"))
     scored = sized.withColumn("_s", score(*small))
     return scored.withColumns({k: F.when(~F.col("skipped"), F.col(f"_s.{k}")) for k in ("structural", "total")}).drop("_s")
