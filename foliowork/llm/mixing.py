@@ -63,7 +63,7 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", source_column: str = "s
     """How many words of every document the mix takes.
 
     Returns the id, size (words of the text), source, source_size, target (the source's), taken, and where the taken
-    words lie: first word in the shard, passes, quota, blocks, start; and the columns in `carry`. Null texts have size
+    words lie: first word in the shard, passes, quota, blocks, start; and the columns in `carry`, each with _ before it. Null texts have size
     0 and are taken 0 times; a null source is a source of its own, last in order; no document gives more than twice
     its words. Repeated rows stay apart, and equal ones get the same pair of values in either order. The same rows and
     seed give the same plan whatever the partitioning. An empty table gives no rows.
@@ -101,7 +101,7 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", source_column: str = "s
     return planned.select(
         F.col("id").alias(id_column), "size", F.col("source").alias(source_column), "source_size", "target",
         (F.col("passes") * F.col("size") + partly).cast("long").alias("taken"), "first", "passes", "quota", "blocks", "start",
-        *(F.col(f"_{c}").alias(c) for c in carry if c not in (id_column, source_column)),
+        *(F.col(f"_{c}") for c in carry),
     )
 
 
@@ -112,13 +112,14 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     chosen blocks, joined by spaces. Documents of which nothing is taken are left out. Edge cases as in mix_plan().
     """
     plan = mix_plan(docs, id_column, source_column, text_column, block, seed, carry=tuple(docs.columns))
-    text = text_of(text_column)
+    text = text_of(f"_{text_column}")
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     args = (F.col("quota"), F.col("blocks"), F.col("start"), block)
     some = F.filter(words, lambda w, i: _chosen_before(F.col("first") + i + 1, *args) > _chosen_before(F.col("first") + i, *args))
     partly = F.when((F.col("quota") > 0) & (F.col("taken") > F.col("passes") * F.col("size")), F.array_join(some, " "))
     whole = F.when(F.col("passes") > 0, F.array_join(F.array_repeat(text, F.col("passes").cast("int")), "\n"))
-    return plan.filter("taken > 0").withColumn(text_column, F.concat_ws("\n", whole, partly)).select(*docs.columns)
+    mixed = F.concat_ws("\n", whole, partly)
+    return plan.filter("taken > 0").select(*((mixed if c == text_column else F.col(f"_{c}")).alias(c) for c in docs.columns))
 
 
 def op7_mixing(spark, sf_dir):
