@@ -461,3 +461,8 @@ def derived_staleness(spark, sf):
 
     stored = read(spark, sf, "documents").groupBy(F.col("lang").alias("k")).agg(F.count("*").alias("n"))
     return is_stale(stored, stored.withColumn("n", F.col("n") + F.when(F.col("k") == "en", 1).otherwise(0)))
+
+
+@query("SELECT dataset, name FROM (SELECT lang AS dataset, source AS name, row_number() OVER (PARTITION BY lang ORDER BY source DESC) AS r FROM (SELECT DISTINCT lang, source FROM documents)) WHERE r = 1")
+def latest_reports(spark, sf):
+    return G.latest_report(read(spark, sf, "documents").select(F.col("lang").alias("dataset"), F.col("source").alias("name")).distinct())

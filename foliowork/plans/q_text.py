@@ -201,3 +201,10 @@ def json_payload(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", X.to_payload(F.struct(F.col("text").alias("markdown"), F.col("source").alias("title"))).alias("payload"))
     parsed = X.from_payload(F.col("payload"), "markdown string, title string")
     return rows.select("doc_id", parsed["title"].alias("title"), F.length(F.coalesce(parsed["markdown"], F.lit(""))).cast("long").alias("n"))
+
+
+@query("""SELECT conv_id, turn, '## Transcript' || chr(10) || chr(10) || '> Language: ' || role || '  ' || chr(10) || '> Duration: ' || CASE WHEN turn * 25 < 60 THEN turn * 25 || 's' WHEN turn * 25 % 60 > 0 THEN turn * 25 // 60 || 'm ' || turn * 25 % 60 || 's' ELSE turn * 25 // 60 || 'm' END || '  ' || chr(10)
+ || '> Confidence: ' || turn % 100 || '%' || chr(10) || chr(10) || text AS markdown FROM conversations""")
+def transcript_document(spark, sf):
+    c = read(spark, sf, "conversations")
+    return c.select("conv_id", "turn", X.transcript_markdown(F.col("role"), (F.col("turn") * 25).cast("double"), (F.col("turn") % 100 + 0.5) / 100.0, F.col("text")).alias("markdown"))
