@@ -5,8 +5,9 @@ one with the least hash. Equal strings have equal anchors at equal places, so a
 anchor does. Strings of one anchor that follow each other form a context, a stretch of bytes.
 1. Documents of equal text are copies of each other: one of them is looked at, and all are removed.
 2. Anchors found twice or more are marked in a bitmap of fixed size; only their contexts go on.
-3. A context found twice or more as a whole is removed wherever it is. Those that share an anchor but not all of
-   their bytes, at the ends of repeated passages and around edits, are read as bytes and dealt to shards.
+3. A context found twice or more as a whole is removed wherever it is. Anchors with several contexts of which one is
+   single, at the ends of repeated passages and around edits, are marked in a second bitmap, and one place of each
+   context in a third; a last pass reads the bytes there and deals them to shards by anchor.
 4. A shard is sorted into a suffix array by induced sorting; a start whose suffix shares `LENGTH` bytes with a
    neighbour is the start of a repeated string.
 5. Ranges are merged for each text, and cut from every document.
@@ -29,8 +30,8 @@ from foliowork.llm.shingles import mixed, powers
 from foliowork.llm.suffixes import repeated_starts
 
 LENGTH, ANCHOR = 200, 96
-#: Bits of the bitmap of anchors that occur twice or more; false hits only cost work.
-BITMAP = 26
+#: Bits of a bitmap's address. False hits only cost work: what they let through are true places of the corpus.
+BITMAP = 25
 #: Bytes that one array step works on, bytes of a shard's text, contexts of one anchor in one block.
 CHUNK, SHARD, BLOCK = 1 << 20, 1_500_000, 2048
 _PLACE = 28  # low bits of a compared value that hold the position
@@ -40,7 +41,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: the anchors' hashes, the contexts' hashes, texts, first starts and last starts.
+    """Of texts laid end to end: the anchors' hashes, the contexts' hashes, texts, first starts and spans.
 
     Starts count from the beginning of their text. A text shorter than LENGTH has none.
     """
@@ -75,9 +76,9 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     cut = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     first, last = start[cut], start[np.append(cut[1:], len(start)) - 1]
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(value * powers(_BASE, len(value)), dtype=np.uint64)))
-    context = mixed((sums[last + LENGTH] - sums[first]) * powers(_INVERSE, len(value))[first])
+    context = mixed((sums[last + LENGTH] - sums[first]) * powers(_INVERSE, len(value))[first] + (last - first).astype(np.uint64))
     text = np.searchsorted(offsets, first, side="right") - 1
-    return hashes[anchor[cut]].view(np.int64), context.view(np.int64), text, first - offsets[text], last - offsets[text]
+    return hashes[anchor[cut]].view(np.int64), context.view(np.int64), text, first - offsets[text], last - first
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -91,40 +92,65 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) to the hashes of its anchors."""
+    """(key1, key2, text) to the hashes of its anchors."""
     for batch in batches:
-        for at, n in _chunks(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([pa.array(contexts(*_texts(batch.column(1).slice(at, n)))[0])], names=["anchor"])
+        for at, n in _chunks(batch.column(2)):
+            yield pa.RecordBatch.from_arrays([pa.array(contexts(*_texts(batch.column(2).slice(at, n)))[0])], names=["anchor"])
+
+
+def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes.view(np.uint64) & np.uint64((1 << BITMAP) - 1)  # the low bits: anchors are least hashes, so their high bits are small
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size with the bits of all hashes in a column: words are made by Spark, 2 ** 19 at most."""
+    bit = hashes.select(F.expr(f"{column} & {(1 << BITMAP) - 1}L").alias("bit"))
+    words = bit.groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toPandas()
+    out = np.zeros(1 << (BITMAP - 6), dtype=np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _spot(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of one place in one text."""
+    return mixed(key.view(np.uint64) ^ mixed(first.astype(np.uint64) + np.uint64(_BASE))).view(np.int64)
 
 
 def _marked(bitmap):
-    """(key, text) to the contexts of marked anchors."""
+    """(key1, key2, text) to the contexts of marked anchors; `place` is the first start and, in its low bits, the span."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         for batch in batches:
-            for at, n in _chunks(batch.column(1)):
+            for at, n in _chunks(batch.column(2)):
                 part = batch.slice(at, n)
-                anchor, context, text, first, last = contexts(*_texts(part.column(1)))
-                bit = anchor.view(np.uint64) >> np.uint64(64 - BITMAP)
-                keep = np.flatnonzero(bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
-                columns = [pa.array(x[keep]) for x in (anchor, context)] + [part.column(0).take(pa.array(text[keep]))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(first[keep]), pa.array(last[keep] - first[keep])], names=["anchor", "context", "key", "first", "span"])
+                anchor, context, text, first, span = contexts(*_texts(part.column(2)))
+                keep = np.flatnonzero(_has(bitmap.value, anchor))
+                text, first = text[keep], first[keep]
+                keys = [c.to_numpy(zero_copy_only=False)[text] for c in part.columns[:2]]
+                columns = [anchor[keep], context[keep], *keys, first << 16 | span[keep], _spot(keys[0], first)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "context", "key1", "key2", "place", "spot"])
 
     return task
 
 
-def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, wanted contexts, text) to one row of bytes for each context."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            rows = []
-            for key, wanted, text in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
-                data = text.encode("utf-8")
-                rows += [(w["anchor"], w["blocks"], key, w["first"], data[w["first"] : w["first"] + w["span"] + LENGTH]) for w in wanted]
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-            columns = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "blocks", "key", "first", "data"])
+def _bytes_of(open_anchors, spots):
+    """(key1, key2, text) to the bytes of the contexts of open anchors at the places chosen for them."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in _chunks(batch.column(2)):
+                part = batch.slice(at, n)
+                data, offsets = _texts(part.column(2))
+                anchor, _, text, first, span = contexts(data, offsets)
+                keys = [c.to_numpy(zero_copy_only=False)[text] for c in part.columns[:2]]
+                keep = np.flatnonzero(_has(open_anchors.value, anchor) & _has(spots.value, _spot(keys[0], first)))
+                start = offsets[text[keep]] + first[keep]
+                own = [data[a:b].tobytes() for a, b in zip(start.tolist(), (start + span[keep] + LENGTH).tolist(), strict=True)]
+                columns = [pa.array(x[keep]) for x in (anchor, *keys, first)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(own, type=pa.binary())], names=["anchor", "key1", "key2", "first", "data"])
+
+    return task
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,24 +163,24 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def flush() -> pa.RecordBatch:
         out: list[tuple] = []
-        for (key, first, _), starts in zip(rows, repeated_starts([r[2] for r in rows], LENGTH), strict=True):
+        for (key1, key2, first, _), starts in zip(rows, repeated_starts([r[3] for r in rows], LENGTH), strict=True):
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) > LENGTH)
                 heads, ends = np.concatenate((starts[:1], starts[cut + 1])), np.concatenate((starts[cut], starts[-1:])) + LENGTH
-                out += [(key, first + a, first + b) for a, b in zip(heads.tolist(), ends.tolist(), strict=True)]
-        columns = [pa.array([x[k] for x in out], type=kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "start", "stop"])
+                out += [(key1, key2, first + a, first + b) for a, b in zip(heads.tolist(), ends.tolist(), strict=True)]
+        columns = [pa.array([x[k] for x in out], type=pa.int64()) for k in range(4)]
+        return pa.RecordBatch.from_arrays(columns, names=["key1", "key2", "start", "stop"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
-            for anchor, left, right, key, first, data in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
+            for anchor, left, right, key1, key2, first, data in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
                 if (anchor, left, right) != group:
                     if rows and (size >= SHARD or anchor in held):
                         yield flush()
                         rows, size, held = [], 0, set()
                     group = (anchor, left, right)
                     held.add(anchor)
-                rows.append((key, first, data))
+                rows.append((key1, key2, first, data))
                 size += len(data)
     if rows:
         yield flush()
@@ -174,9 +200,9 @@ def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.int64())
     for batch in batches:
-        merged = [merge_ranges([(r["start"], r["stop"]) for r in x]) for x in batch.column(1).to_pylist()]
+        merged = [merge_ranges([(r["start"], r["stop"]) for r in x]) for x in batch.column(2).to_pylist()]
         flat = [[x for pair in ranges for x in pair] for ranges in merged]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, type=kind)], names=["key", "ranges"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(flat, type=kind)], names=["key1", "key2", "ranges"])
 
 
 def _cut(with_kept: bool, names: list[str]):
@@ -215,45 +241,42 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spark = docs.sparkSession
     folder = shared_folder(spark, "repeats")
     text = text_of(text_column)
-    keyed = docs.select(docs[id_column].alias("id"), F.substring(F.sha2(text, 256), 1, 32).alias("key"), text.alias("text"))
+    keys = ["key1", "key2"]  # together 128 bits that stand for a text
+    keyed = docs.select(docs[id_column].alias("id"), F.xxhash64(text).alias("key1"), F.xxhash64(F.lit("second"), text).alias("key2"), text.alias("text"))
 
     path = f"{folder}/copies"
-    copies = write_table(keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("kept_id")).filter("copies > 1"), path)
-    copied = keyed.join(broadcast_if_small(copies, path), "key", "left")
+    copies = write_table(keyed.groupBy(*keys).agg(F.count("*").alias("copies"), F.min("id").alias("kept_id")).filter("copies > 1"), path)
+    copied = keyed.join(broadcast_if_small(copies, path), keys, "left")
     long = F.octet_length("text") >= LENGTH
-    texts = copied.filter(long & (F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("kept_id")))).select("key", "text")
+    texts = copied.filter(long & (F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("kept_id")))).select(*keys, "text")
 
+    share = spark.sparkContext.broadcast
     anchors = texts.mapInArrow(_anchors, "anchor long").groupBy("anchor").count().filter("count > 1")
-    bit = F.expr(f"shiftrightunsigned(anchor, {64 - BITMAP})")
-    words = anchors.select(bit.alias("bit")).groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (BITMAP - 6), dtype=np.uint64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    marked = texts.mapInArrow(_marked(spark.sparkContext.broadcast(bitmap)), "anchor long, context long, key string, first long, span long")
+    marked = texts.mapInArrow(_marked(share(_bitmap(anchors, "anchor"))), "anchor long, context long, key1 long, key2 long, place long, spot long")
     marked = write_table(marked, f"{folder}/contexts")
-
-    kinds = marked.groupBy("anchor", "context", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("one"))
-    kinds = write_table(kinds, f"{folder}/kinds")
-    path = f"{folder}/repeated"
-    repeated = write_table(kinds.filter("n > 1").select("anchor", "context", "span"), path)
-    whole = marked.join(broadcast_if_small(repeated, path), ["anchor", "context", "span"]).select("key", F.col("first").alias("start"), (F.col("first") + F.col("span") + LENGTH).alias("stop"))
+    kinds = write_table(marked.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("spot").alias("spot")), f"{folder}/kinds")
+    repeated = kinds.filter("n > 1").select("anchor", "context")
+    place = F.expr("place >> 16")
+    whole = marked.join(repeated.hint("merge"), ["anchor", "context"]).select(*keys, place.alias("start"), (place + F.expr("place & 65535") + LENGTH).alias("stop"))
 
     path = f"{folder}/open"
-    mixed_anchors = kinds.groupBy("anchor").agg(F.count("*").alias("rows"), F.count_if(F.col("n") == 1).alias("unsure")).filter("rows > 1 and unsure > 0")
-    mixed_anchors = write_table(mixed_anchors.select("anchor", F.ceil(F.col("rows") / BLOCK).alias("blocks")), path)
-    wanted = kinds.join(broadcast_if_small(mixed_anchors, path), "anchor").groupBy("one.key").agg(F.collect_list(F.struct("anchor", "blocks", "one.first", "span")).alias("wanted"))
-    path = f"{folder}/wanted"
-    wanted = write_table(wanted, path)
-    read_bytes = texts.join(broadcast_if_small(wanted, path, 8 << 20), "key").select("key", "wanted", "text").mapInArrow(_bytes_of, "anchor long, blocks long, key string, first long, data binary")
-    own = F.pmod(F.xxhash64("key", "first"), F.col("blocks"))
-    dealt = read_bytes.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("anchor", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "key", "first", "data")
-    in_shards = dealt.repartition("anchor", "left", "right").sortWithinPartitions("anchor", "left", "right", "key", "first")
-    parts = in_shards.mapInArrow(_sorted_shards, "key string, start long, stop long")
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("rows"), F.count_if(F.col("n") == 1).alias("single")).filter("rows > 1 and single > 0")
+    several = write_table(several.select("anchor", F.ceil(F.col("rows") / BLOCK).alias("blocks")), path)
+    picked = _bytes_of(share(_bitmap(several, "anchor")), share(_bitmap(kinds, "spot")))
+    read_bytes = texts.mapInArrow(picked, "anchor long, key1 long, key2 long, first long, data binary")
+    path = f"{folder}/large"
+    large = write_table(several.filter("blocks > 1"), path)  # an anchor of more contexts than a block holds
+    own = F.pmod(F.xxhash64(*keys, "first"), F.col("blocks"))
+    blocked = read_bytes.join(broadcast_if_small(large, path), "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = blocked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("anchor", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), *keys, "first", "data")
+    in_shards = dealt.repartition("anchor", "left", "right").sortWithinPartitions("anchor", "left", "right", *keys, "first")
+    parts = in_shards.mapInArrow(_sorted_shards, "key1 long, key2 long, start long, stop long")
 
     path = f"{folder}/ranges"
-    ranges = whole.unionByName(parts).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    ranges = write_table(ranges.mapInArrow(_merge, "key string, ranges array<long>"), path)
-    final = copied.join(broadcast_if_small(ranges, path, 8 << 20), "key", "left").select("id", "text", "copies", "ranges")
+    ranges = whole.unionByName(parts).groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    ranges = write_table(ranges.mapInArrow(_merge, "key1 long, key2 long, ranges array<long>"), path)
+    final = copied.join(broadcast_if_small(ranges, path, 8 << 20), keys, "left").select("id", "text", "copies", "ranges")
     schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType)])
     for name in ("n_bytes", "n_removed", "n_spans"):
         schema.add(name, "long")
