@@ -132,6 +132,16 @@ def test_packing_is_lossless_and_tight(spark):
     assert packing.pack_sequences(docs(spark, [])).count() == 0
 
 
+def test_rank_ids_are_those_of_the_tokenizer_file():
+    names = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")]
+    fast, slow = packing._encoder(*names), packing._encoder(names[0], None)
+    draw = random.Random(6)
+    pools = [[chr(c) for c in range(0x260)], [" ", "\n", "\t", "\x0b", "\x85", "\xa0", "a", "1", "'", "s", "²"], ["'s", "'ll", "  ", "\n\n", "don", "½", "ß", "’", "<|endoftext|>", "日"]]
+    for k in range(1500):
+        text = "".join(draw.choices(pools[k % 3], k=10))
+        assert fast(text).tolist() == slow(text).tolist(), text
+
+
 def test_closest_multiset_is_the_best_there_is():
     draw = random.Random(4)
     for _ in range(200):
