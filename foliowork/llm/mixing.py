@@ -49,14 +49,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return level.select("source", "source_size", "rows", target.cast("double").alias("target"))
 
 
-def _chosen_before(at: Column, quota: Column, blocks: Column, start: Column, block: int) -> Column:
-    """Words of the shard before word `at` that lie in chosen blocks: `quota` of `blocks`, evenly spread from `start`."""
+def _chosen(b: Column, quota: Column, blocks: Column, start: Column) -> Column:
+    """How many of the shard's blocks before block `b` are chosen: `quota` of `blocks`, evenly spread from `start`."""
+    return F.floor((b + start) * quota / blocks) - F.floor(start * quota / blocks)
 
-    def count(b: Column) -> Column:
-        return F.floor((b + start) * quota / blocks) - F.floor(start * quota / blocks)
 
+def _chosen_before(at: Column, quota: Column, blocks: Column, start: Column, block: int) -> Column:
+    """Words of the shard before word `at` that lie in chosen blocks."""
     whole = F.floor(at / block)
-    return count(whole) * block + (at - whole * block) * (count(whole + 1) - count(whole))
+    before = _chosen(whole, quota, blocks, start)
+    return before * block + (at - whole * block) * (_chosen(whole + 1, quota, blocks, start) - before)
 
 
 def mix_plan(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", block: int = BLOCK, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -114,9 +116,22 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     plan = mix_plan(docs, id_column, source_column, text_column, block, seed, carry=tuple(docs.columns))
     text = text_of(f"_{text_column}")
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    args = (F.col("quota"), F.col("blocks"), F.col("start"), block)
-    some = F.filter(words, lambda w, i: _chosen_before(F.col("first") + i + 1, *args) > _chosen_before(F.col("first") + i, *args))
-    partly = F.when((F.col("quota") > 0) & (F.col("taken") > F.col("passes") * F.col("size")), F.array_join(some, " "))
+    first, end = F.col("first"), F.col("first") + F.col("size")
+    args = (F.col("quota"), F.col("blocks"), F.col("start"))
+    own_blocks = F.sequence(F.floor(first / block), F.floor((end - 1) / block))
+    picked = F.filter(own_blocks, lambda b: _chosen(b + 1, *args) > _chosen(b, *args))
+
+    def of(own: Column) -> Column:
+        """The words of a document in chosen blocks, block by block."""
+
+        def part(b: Column) -> Column:
+            low = F.greatest(b * block, first)
+            return F.slice(own, (low - first + 1).cast("int"), (F.least((b + 1) * block, end) - low).cast("int"))
+
+        return F.array_join(F.flatten(F.transform(picked, part)), " ")
+
+    some = F.get(F.transform(F.array(words), of), 0)  # the words are split once
+    partly = F.when((F.col("quota") > 0) & (F.col("taken") > F.col("passes") * F.col("size")), some)
     whole = F.when(F.col("passes") > 0, F.array_join(F.array_repeat(text, F.col("passes").cast("int")), "\n"))
     mixed = F.concat_ws("\n", whole, partly)
     return plan.filter("taken > 0").select(*((mixed if c == text_column else F.col(f"_{c}")).alias(c) for c in docs.columns))
