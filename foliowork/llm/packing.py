@@ -3,7 +3,8 @@
 Full windows of a long document are sequences of their own. What is left of every document goes into a pool,
 and each further window takes the longest piece of the pool and then the multiset of remaining lengths that
 comes closest to the free room: a subset-sum dynamic programme whose states are the bits of one integer, with
-the counts read back from the stored states. A pool holds a bounded number of pieces and belongs to one task,
+the counts read back from the stored states. Room that stays free beyond SLACK takes a part of the longest
+piece left. A pool holds a bounded number of pieces and belongs to one task,
 so nothing is shuffled and memory does not grow with the table.
 """
 
@@ -29,7 +30,8 @@ END_ID = 1
 #: Pieces and tokens that one pool holds at most before it is packed.
 POOL_PIECES = 4096
 POOL_TOKENS = 4_000_000
-#: A window with more free room than this, when a pool closes, is cut at powers of two instead of padded.
+#: A window with more free room than this is filled with a part of another piece, whose rest goes back into the pool; with no
+#: piece left, when the task ends, it is cut at powers of two instead of padded.
 SLACK = 32
 
 #: Characters on which every version of Unicode's tables agrees; other texts go through the tokenizer file.
@@ -95,22 +97,34 @@ def closest_multiset(room: int, counts: dict[int, int]) -> dict[int, int]:
     return chosen
 
 
-def windows(counts: dict[int, int], capacity: int, keep_back: int) -> Iterator[list[int]]:
-    """Lengths for one window after another; stops when no more than `keep_back` tokens are left in `counts`."""
+def windows(counts: dict[int, int], capacity: int, keep_back: int) -> Iterator[tuple[list[int], int, int]]:
+    """Lengths for one window after another; stops when no more than `keep_back` tokens are left in `counts`.
+
+    With each come the length of a piece to cut and how many of its tokens end the window: 0 and 0 where at most SLACK
+    tokens stay free or nothing is left to cut. The rest of a cut piece is back in `counts`.
+    """
     left = sum(k * v for k, v in counts.items())
+
+    def drop(length: int, n: int) -> None:
+        counts[length] -= n
+        if not counts[length]:
+            del counts[length]
+
     while left > keep_back and counts:
         first = max(counts)
         take = defaultdict(int, {first: 1})
-        counts[first] -= 1
-        if not counts[first]:
-            del counts[first]
+        drop(first, 1)
         for length, n in closest_multiset(capacity - first, counts).items():
             take[length] += n
-            counts[length] -= n
-            if not counts[length]:
-                del counts[length]
-        left -= sum(k * v for k, v in take.items())
-        yield [k for k, v in sorted(take.items(), reverse=True) for _ in range(v)]
+            drop(length, n)
+        total = sum(k * v for k, v in take.items())
+        room, cut = capacity - total, 0
+        if room > SLACK and counts:  # every piece left is longer than the room, else it would have been taken
+            cut = max(counts)
+            drop(cut, 1)
+            counts[cut - room] = counts.get(cut - room, 0) + 1
+        left -= capacity if cut else total
+        yield [k for k, v in sorted(take.items(), reverse=True) for _ in range(v)], cut, room if cut else 0
 
 
 def powers_of_two(total: int, capacity: int) -> list[int]:
@@ -146,10 +160,15 @@ class _Packer:
 
     def pack(self, last: bool):
         counts = {k: len(v) for k, v in self.by_length.items() if v}
-        for lengths in windows(counts, self.capacity, 0 if last else min(self.tokens // 2, 16 * self.capacity)):
+        keep_back = 0 if last else max(self.capacity, min(self.tokens // 2, 16 * self.capacity))  # so that a piece is left to cut
+        for lengths, cut, part in windows(counts, self.capacity, keep_back):
             own = [self.by_length[x].pop() for x in lengths]
-            total = sum(lengths)
+            total = sum(lengths) + part
             self.pieces, self.tokens = self.pieces - len(own), self.tokens - total
+            if cut:
+                doc, start, ids, n = self.by_length[cut].pop()
+                own.append((doc, start, ids[:part], n))
+                self.by_length[cut - part].append((doc, start + part, ids[part:], n))
             if last and self.capacity - total > SLACK:
                 yield from self._cut(own, total)
                 continue

@@ -155,6 +155,30 @@ def test_closest_multiset_is_the_best_there_is():
     assert packing.powers_of_two(1500, 2048) == [1024, 256, 128, 64, 16, 8, 4]
 
 
+def packed(lengths, capacity=2048):
+    """Pieces by sequence of one task's pool, and the tokens of all windows with their padding."""
+    packer, pieces = packing._Packer(capacity, 0), []
+    for i, n in enumerate(lengths):
+        pieces += packer.add(i, np.arange(n, dtype="<u4"))
+    pieces += packer.pack(last=True)
+    by_doc, by_sequence = defaultdict(list), defaultdict(int)
+    for doc, start, ids, n, sequence, offset in pieces:
+        assert offset == by_sequence[sequence] and n == lengths[doc] and len(ids)
+        by_doc[doc].append((start, ids.tolist()))
+        by_sequence[sequence] += len(ids)
+    for i, n in enumerate(lengths):
+        assert [x for _, own in sorted(by_doc[i]) for x in own] == list(range(n))
+    assert max(by_sequence.values()) <= capacity
+    return sum(t if t & (t - 1) == 0 else capacity for t in by_sequence.values())
+
+
+def test_equal_lengths_are_packed_without_much_padding():
+    draw = random.Random(8)
+    for lengths in ([1200] * 5000, [1025] * 9000, [1200 if k % 3 else draw.randint(1, 2500) for k in range(9000)], [1] * 9000):
+        assert packed(lengths) <= 1.02 * sum(lengths)
+    assert packed([1] * 9000, capacity=8192) <= 1.02 * 9000
+
+
 def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
