@@ -1,12 +1,15 @@
 """Column functions over text: counts, normalisation, similarity, repair, escaping and formatting.
 
-All are built-in expressions that Spark compiles; a null text counts as an empty one unless a function says otherwise.
+All are built-in expressions that Spark compiles, but for the word distance of very large vocabularies; a null text counts as an empty one unless a function says otherwise.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Ligatures and marks that recognition leaves behind.
 REPLACEMENT, SOFT_HYPHEN, LIGATURES = "�", "­", "ﬁﬂﬀ"
@@ -146,12 +149,36 @@ def cer(reference, text, cap: bool = False) -> Column:
     return _rate(F.levenshtein(r, h), F.length(r), F.length(h) == 0, cap)
 
 
+#: Distinct words of a pair that can be written as one character each.
+ALPHABET = 20_000
+
+
+def word_distance(a, b) -> int:
+    """Edit distance of two sequences of words, one row of the table at a time."""
+    ids: dict[str, int] = {}
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64) for words in (a, b))
+    at = np.arange(len(y) + 1)
+    row = at.copy()
+    for k, w in enumerate(x, 1):
+        new = np.concatenate(([k], np.minimum(row[1:] + 1, row[:-1] + (y != w))))
+        row = np.minimum.accumulate(new - at) + at  # insertions
+    return int(row[-1])
+
+
+def _word_distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else word_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
 def wer(reference, text, cap: bool = False) -> Column:
     """Word error rate: each distinct word of the pair becomes one character, and the built-in distance does the rest.
 
-    Characters run from U+4E00 on; a pair with more than 20,000 distinct words has no such alphabet and gives null.
+    Characters run from U+4E00 on; a pair with more than 20,000 distinct words has no such alphabet, and its distance is
+    computed over the words themselves.
     """
-    pair = F.struct(tokens(col(reference)).alias("r"), tokens(col(text)).alias("h"))
+    own_r, own_h = tokens(col(reference)), tokens(col(text))
+    pair = F.struct(own_r.alias("r"), own_h.alias("h"))
+    large = F.size(F.array_distinct(F.concat(own_r, own_h))) > ALPHABET
+    by_words = F.pandas_udf(_word_distances, T.LongType())(F.when(large, own_r), F.when(large, own_h))
 
     def rate(p: Column) -> Column:
         def coded(words: Column, vocabulary: Column) -> Column:
@@ -159,11 +186,11 @@ def wer(reference, text, cap: bool = False) -> Column:
 
         def by(vocabulary: Column) -> Column:
             distance = F.levenshtein(coded(p["r"], vocabulary), coded(p["h"], vocabulary))
-            return F.when(F.size(vocabulary) <= 20_000, _rate(distance, F.size(p["r"]), F.size(p["h"]) == 0, cap))
+            return F.when(F.size(vocabulary) <= ALPHABET, _rate(distance, F.size(p["r"]), F.size(p["h"]) == 0, cap))
 
         return let(F.array_distinct(F.concat(p["r"], p["h"])), by)
 
-    return let(pair, rate)
+    return F.when(large, _rate(by_words, F.size(own_r), F.size(own_h) == 0, cap)).otherwise(let(pair, rate))
 
 
 def norm_lev(a, b) -> Column:

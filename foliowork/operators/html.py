@@ -97,22 +97,23 @@ def _links(x: Column) -> Column:
 
 
 def _table(block: Column) -> Column:
-    rows = F.transform(F.filter(F.split(block, LINE, -1), lambda r: F.contains(r, F.lit(ROW))), lambda r: F.transform(F.slice(F.split(r, CELL, -1), 2, 10_000), lambda c: F.replace(_collapsed(F.replace(c, F.lit(ROW), F.lit(""))), F.lit("|"), F.lit("\\|"))))
-    rows = F.filter(rows, lambda r: F.size(r) > 0)
+    def after_first(parts: Column) -> Column:
+        return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
-    def draw(own: Column) -> Column:
-        width = F.array_max(F.transform(own, lambda r: F.size(r)))
+    rows = F.transform(F.filter(F.split(block, LINE, -1), lambda r: F.contains(r, F.lit(ROW))), lambda r: F.transform(let(F.split(r, CELL, -1), after_first), lambda c: F.replace(_collapsed(F.replace(c, F.lit(ROW), F.lit(""))), F.lit("|"), F.lit("\\|"))))
+    rows = F.filter(rows, lambda r: F.size(r) > 0)
 
+    def draw(own: Column, width: Column) -> Column:
         def line(cells: Column) -> Column:
             return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
         def padded(r: Column) -> Column:
             return F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0))))
 
-        drawn = F.transform(own, lambda r: line(padded(r)))
-        return F.array_join(F.concat(F.slice(drawn, 1, 1), F.array(line(F.array_repeat(F.lit("---"), width))), F.slice(drawn, 2, 100_000)), "\n")
+        rule = F.array(line(F.array_repeat(F.lit("---"), width)))
+        return let(F.transform(own, lambda r: line(padded(r))), lambda drawn: F.array_join(F.concat(F.slice(drawn, 1, 1), rule, after_first(drawn)), "\n"))
 
-    return let(rows, lambda own: F.when(F.size(own) > 0, draw(own)).otherwise(""))
+    return let(rows, lambda own: F.when(F.size(own) > 0, let(F.array_max(F.transform(own, lambda r: F.size(r))), lambda width: draw(own, width))).otherwise(""))
 
 
 def _block(raw: Column) -> Column:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from foliowork.operators import html as H
 from foliowork.operators import tables as T
 
@@ -45,3 +47,13 @@ def test_grids_and_kernels(spark):
     assert T.tree_similarity(grid, [[("a", 1, 1), ("B", 1, 1)], grid[1]], structural=True) == 1.0
     pairs = spark.createDataFrame([("a b c d", "a b x d"), ("", ""), (None, "x")], "reference string, text string")
     assert [r.sim for r in T.sequence_ratio(pairs).collect()] == [0.75, 1.0, 0.0]
+
+
+def test_large_tables_keep_all_rows_and_cells(spark):
+    rows, cells = 100_005, 10_005
+    block = "".join(f"{H.LINE}{H.ROW}{H.CELL}{k}" for k in range(rows))
+    drawn = spark.createDataFrame([(block,)], "b string").select(H._table(F.col("b")).alias("t")).first().t.split("\n")
+    assert len(drawn) == rows + 1 and drawn[0] == "| 0 |" and drawn[-1] == f"| {rows - 1} |"
+    wide = "<table><tr>" + "".join(f"<td>{k}</td>" for k in range(cells)) + "</tr></table>"
+    head = H.pages_to_markdown(spark.createDataFrame([(1, wide)], "page_id int, html string")).first().markdown.split("\n")[0]
+    assert head.split("|")[-2] == f" {cells - 1} " and head.count("|") == cells + 1

@@ -50,3 +50,11 @@ def test_formats(spark):
     assert one(spark, X.fmt_clock(F.lit(3661.4))) == "1:01:01" and one(spark, X.fmt_timestamp(F.lit(75.0))) == "1:15"
     body = one(spark, X.transcript_markdown(F.lit("en"), F.lit(90.0), F.lit(0.876), F.lit("hi")))
     assert body == "## Transcript\n\n> Language: en  \n> Duration: 1m 30s  \n> Confidence: 87%\n\nhi"
+
+
+def test_word_error_rate_of_large_vocabularies(spark):
+    r = [f"w{k}" for k in range(40)]
+    h = r[:7] + [f"x{k}" for k in range(20_500)] + r[8:]
+    assert one(spark, X.wer("a", "b"), a=" ".join(r), b=" ".join(h)) == 20_500 / 40
+    assert one(spark, X.wer("a", "b", True), a=" ".join(r), b=" ".join(h)) == 1.0
+    assert X.word_distance("kitten", "sitting") == 3 and X.word_distance("", "ab") == X.word_distance("ab", "") == 2
