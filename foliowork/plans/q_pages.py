@@ -135,9 +135,8 @@ def manifest_scan(spark, sf):
     d = F.col("doc_id").cast("string")
     entry = F.struct(d.alias("id"), F.concat(F.lit("d/"), d).alias("document"), F.concat(F.lit("g/"), d).alias("ground_truth"), F.col("lang").alias("format"), "source")
     path = scratch_folder(spark, "manifest")
-    by_source = read(spark, sf, "documents").groupBy("source").agg(F.collect_list(entry).alias("documents"))
-    by_source.select("source", F.lit(2).alias("version"), "documents").repartition("source").write.partitionBy("source").json(path)  # a file, and so a manifest, for each source
-    return R.read_manifest(spark, f"{path}/*")
+    K.write_manifests(read(spark, sf, "documents").select("source", d.alias("id"), entry.alias("entry")), path)
+    return R.read_manifest(spark, f"{path}/*/*")
 
 
 @query("""SELECT path, CASE WHEN ext = 'png' THEN 'png' ELSE ext END AS ext, CASE WHEN ext NOT IN ('pdf', 'png') THEN 'unsupportedType' WHEN length > 524288000 THEN 'tooLarge' ELSE 'ok' END AS verdict FROM (SELECT '/d/' || doc_id || '.' || e AS path, lower(e) AS ext, doc_id * 1000000 AS length FROM (SELECT doc_id, list_extract(['PDF', 'exe', 'png', 'md'], (doc_id % 4 + 1)::INT) AS e FROM documents))""")
@@ -198,10 +197,9 @@ def results_log(spark, sf):
 def baseline_scan(spark, sf):
     r = results(spark, sf)
     entry = F.struct("status", "overall_percent", "elapsed_seconds", "category", "blocked_reason")
-    maps = r.groupBy("pathway").agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), entry))).alias("docs"))
     path = scratch_folder(spark, "baseline")
-    maps.select("pathway", F.create_map("pathway", "docs").alias("document_baselines")).write.partitionBy("pathway").json(path)
-    return R.read_baseline(spark, f"{path}/*").select("pathway", "doc_id", "status", "overall_percent", "category")
+    K.write_baselines(r.select("pathway", F.col("doc_id").cast("string").alias("doc_id"), entry.alias("entry")), path)
+    return R.read_baseline(spark, f"{path}/*/*").select("pathway", "doc_id", "status", "overall_percent", "category")
 
 
 @query("SELECT source AS pathway, 'shipping' AS release_status, lang AS format FROM (SELECT DISTINCT source, lang FROM documents)")

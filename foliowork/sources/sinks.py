@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foliowork.functions.text import col, fmt_iso, wc_alnum, yaml_str
 
+#: Entries of one manifest or baseline map, about.
+ENTRIES = 10_000
 MODES = ("markdown", "markdownWithFrontmatter", "json")
 
 
@@ -52,6 +54,26 @@ def replace_baseline(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pathway").parquet(path)
 
 
+def _in_parts(df: DataFrame, key: str, id_column: str, most: int) -> DataFrame:
+    """The frame with `_part`: the rows of a key dealt by id into parts of about `most` rows, however many it has."""
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / most).alias("_parts"))
+    dealt = df.join(counts, df[key].eqNullSafe(counts["_key"]))
+    return dealt.withColumn("_part", F.pmod(F.xxhash64(id_column), "_parts")).drop("_key", "_parts")
+
+
+def write_manifests(df: DataFrame, path: str, most: int = ENTRIES) -> None:
+    """Corpus manifests of (source, id, entry) below `path`: one file for each part of a source, to be read as `path/*/*`."""
+    grouped = _in_parts(df, "source", "id", most).groupBy("source", "_part").agg(F.collect_list("entry").alias("documents"))
+    grouped.select("source", "_part", F.lit(2).alias("version"), "documents").write.partitionBy("source", "_part").json(path)
+
+
+def write_baselines(df: DataFrame, path: str, most: int = ENTRIES) -> None:
+    """Nested baseline maps of (pathway, doc_id, entry) below `path`: one file for each part of a pathway, to be read as `path/*/*`."""
+    grouped = _in_parts(df, "pathway", "doc_id", most).groupBy("pathway", "_part").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "entry"))).alias("docs"))
+    named = grouped.select(F.col("pathway").alias("folder"), "_part", F.create_map("pathway", "docs").alias("document_baselines"))
+    named.write.partitionBy("folder", "_part").json(path)
+
+
 def write_history(df: DataFrame, path: str) -> None:
     """One JSON record for each conversion, with ISO dates."""
     df.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").json(path)

@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -85,3 +86,15 @@ def test_watched_folder_is_converted_once(spark, tmp_path):
         files = M.watch(spark, str(folder))
         M.convert_stream(files, lambda batch, n: done.extend(batch.collect()), str(tmp_path / "checkpoint")).awaitTermination(120)
     assert sorted((r.source_name, r.markdown) for r in done) == [("a.html", "# Hi\n\nthere\n"), ("b.txt", "plain text\n")]
+
+
+def test_a_large_source_is_written_as_many_manifests_and_maps(spark, tmp_path):
+    rows = spark.range(900).select(F.when(F.col("id") % 9 > 0, "hot").when(F.col("id") % 2 == 0, "b/c").alias("source"), F.col("id").cast("string").alias("id"))
+    K.write_manifests(rows.select("source", "id", F.struct("id", "source").alias("entry")), f"{tmp_path}/m", 50)
+    K.write_baselines(rows.filter("source is not null").select(F.col("source").alias("pathway"), F.col("id").alias("doc_id"), F.struct(F.lit("scored").alias("status")).alias("entry")), f"{tmp_path}/b", 50)
+    for name, field in (("m", "documents"), ("b", "document_baselines")):
+        sizes = [len(re.findall('"id":|"status":', line)) for f in tmp_path.glob(f"{name}/*/*/*.json") for line in f.read_text().splitlines()]
+        assert all(f.read_text().count("\n") == 1 for f in tmp_path.glob(f"{name}/*/*/*.json")) and len(sizes) >= 16 and max(sizes) < 100, field
+    want = {(r.source, r.id) for r in rows.collect()}
+    assert {(r.source, r.id) for r in R.read_manifest(spark, f"{tmp_path}/m/*/*").collect()} == want
+    assert {(r.pathway, r.doc_id) for r in R.read_baseline(spark, f"{tmp_path}/b/*/*").collect()} == {x for x in want if x[0]}
