@@ -118,11 +118,12 @@ def format_counts(docs: DataFrame, stored: DataFrame) -> DataFrame:
 def expected_status(docs: DataFrame, baseline: DataFrame) -> DataFrame:
     """(doc_id, expected_status, status_source, best_percent) from the baselines of all pathways.
 
-    A password anywhere comes first; without a scored pathway a document is unsupported; below 70 it is degraded.
+    A password anywhere comes first; without a scored pathway a document is unsupported; below 70 it is degraded. Of
+    equal scores the pathway that is first by name counts.
     """
     password = (F.col("status") == "expected_blocked") & (F.col("blocked_reason") == "password_required")
     score = F.when(F.col("status") == "scored", F.struct(F.coalesce("overall_percent", F.lit(0.0)).alias("score"), "pathway"))
-    best = baseline.groupBy("doc_id").agg(F.bool_or(password).alias("password"), F.max(score["score"]).alias("best"), F.max_by(score["pathway"], score["score"]).alias("pathway"))
+    best = baseline.groupBy("doc_id").agg(F.bool_or(password).alias("password"), F.max(score["score"]).alias("best"), F.min_by(score["pathway"], F.when(score.isNotNull(), F.struct(-score["score"], score["pathway"]))).alias("pathway"))
     own = docs.select("doc_id").join(best, "doc_id", "left")
     locked, none = F.coalesce("password", F.lit(False)), F.col("best").isNull()
     status = F.when(locked, "password_required").when(none, "unsupported").when(F.col("best") < DEGRADED, "degraded_output").otherwise("success")

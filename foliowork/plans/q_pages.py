@@ -109,10 +109,21 @@ def modal_widths(spark, sf):
 def grid_stitching(spark, sf):
     """Lines as rows, read in strips of four that overlap by two; documents without repeated lines come back whole."""
     own = F.split(X.col("text"), "\n", -1)
-    docs = read(spark, sf, "documents").withColumn("own", own).filter(F.size(F.array_distinct("own")) == F.size("own"))
+    docs = read(spark, sf, "documents").filter(F.size(F.array_distinct(own)) == F.size(own))
+    return T.stitch(line_strips(docs)).select("table_id", "row", F.get("cells", 0).alias("key"))
+
+
+def line_strips(docs):
+    """(table_id, strip, rows): lines as rows, in strips of four that overlap by two."""
+    rows = docs.withColumn("own", F.split(X.col("text"), "\n", -1))
     starts = F.sequence(F.lit(0), F.greatest(F.size("own") - 3, F.lit(0)), F.lit(2))
-    strips = docs.select(F.col("doc_id").alias("table_id"), F.posexplode(F.transform(starts, lambda s: F.transform(F.slice("own", s + 1, F.lit(4)), lambda t: F.array(t, F.upper(t))))).alias("strip", "rows"))
-    return T.stitch(strips).select("table_id", "row", F.get("cells", 0).alias("key"))
+    return rows.select(F.col("doc_id").alias("table_id"), F.posexplode(F.transform(starts, lambda s: F.transform(F.slice("own", s + 1, F.lit(4)), lambda t: F.array(t, F.upper(t))))).alias("strip", "rows"))
+
+
+@query(None)
+def grid_stitching_all(spark, sf):
+    """All documents, those with repeated lines too, of which strips may take more than the overlap away."""
+    return T.stitch(line_strips(read(spark, sf, "documents"))).select("table_id", "row", F.get("cells", 0).alias("key"))
 
 
 @query(None)

@@ -144,11 +144,24 @@ def format_distribution(spark, sf):
  SELECT doc_id, CASE WHEN coalesce(pw, false) THEN 'password_required' WHEN best IS NULL THEN 'unsupported' WHEN best < 70 THEN 'degraded_output' ELSE 'success' END AS expected_status, CASE WHEN coalesce(pw, false) THEN 'password_required' WHEN best IS NULL THEN 'no_scored_pathway' ELSE p END AS status_source,
  CASE WHEN NOT coalesce(pw, false) THEN best END AS best_percent FROM r LEFT JOIN g USING (doc_id) WHERE best IS NULL OR best <> 50""")
 def expected_status(spark, sf):
+    # equal scores of both pathways are left out, since engines break such ties differently; expected_status_all has them
+    return _expected_status(spark, sf).filter("best_percent is null or best_percent <> 50")
+
+
+def _expected_status(spark, sf):
     r = results(spark, sf).filter(F.col("doc_id") % 19 > 0)
     fast = r.select("doc_id", F.lit("fast").alias("pathway"), "status", "blocked_reason", "overall_percent")
     slow = r.select("doc_id", F.lit("slow").alias("pathway"), F.when(F.col("doc_id") % 3 == 0, "failed").otherwise(F.col("status")).alias("status"), F.lit(None).cast("string").alias("blocked_reason"), (100 - F.col("overall_percent")).alias("overall_percent"))
-    # equal scores of both pathways are left out, since engines break such ties differently
-    return G.expected_status(results(spark, sf), fast.unionByName(slow)).filter("best_percent is null or best_percent <> 50")
+    return G.expected_status(results(spark, sf), fast.unionByName(slow))
+
+
+@query(f"""WITH {_results('r')}, b AS (SELECT doc_id, 'fast' AS pathway, status, blocked_reason, overall_percent FROM r WHERE doc_id % 19 > 0 UNION ALL SELECT doc_id, 'slow', CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE status END, NULL, 100 - overall_percent FROM r WHERE doc_id % 19 > 0),
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overall_percent DESC, pathway) AS k FROM b WHERE status = 'scored'), g AS (SELECT doc_id, bool_or(status = 'expected_blocked' AND blocked_reason IS NOT DISTINCT FROM 'password_required') AS pw FROM b GROUP BY doc_id)
+ SELECT r.doc_id, CASE WHEN coalesce(pw, false) THEN 'password_required' WHEN k.doc_id IS NULL THEN 'unsupported' WHEN k.overall_percent < 70 THEN 'degraded_output' ELSE 'success' END AS expected_status, CASE WHEN coalesce(pw, false) THEN 'password_required' WHEN k.doc_id IS NULL THEN 'no_scored_pathway' ELSE k.pathway END AS status_source,
+ CASE WHEN NOT coalesce(pw, false) THEN k.overall_percent END AS best_percent FROM r LEFT JOIN g ON g.doc_id = r.doc_id LEFT JOIN k ON k.doc_id = r.doc_id AND k.k = 1""")
+def expected_status_all(spark, sf):
+    """All documents, those with equal scores of both pathways too."""
+    return _expected_status(spark, sf)
 
 
 @query(f"""WITH {_results('r')}, g AS (SELECT category AS dataset, pathway AS name, avg(overall_percent) AS o, avg(elapsed_seconds) / 50 AS c, max(overall_percent) AS h FROM r GROUP BY 1, 2), l AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY name DESC) AS n FROM g)
@@ -264,6 +277,17 @@ def qa_summary(spark, sf):
     return V.qa_summary(V.qa_hits(b, d)).select("doc_id", "qa_count", "hit_rate", "exact_rate")
 
 
+@query("""WITH q AS (SELECT doc_id, lower(substr(coalesce(text, ''), 1 + (doc_id % 3) * 40, 12)) AS answer FROM documents UNION ALL SELECT doc_id, lower(substr(coalesce(text, ''), 50, 12)) || '##' FROM documents), n AS (SELECT q.doc_id, array_to_string(list_filter(string_split_regex(lower(answer), '\\s+'), lambda t: t <> ''), ' ') AS a,
+ array_to_string(list_filter(string_split_regex(lower(coalesce(d.text, '')), '\\s+'), lambda t: t <> ''), ' ') AS t FROM q JOIN documents d ON d.doc_id = q.doc_id) SELECT doc_id, count(*) AS qa_count, count(*) FILTER (a <> '' AND contains(t, a)) / count(*) AS hit_rate, count(*) FILTER (a <> '' AND contains(t, a)) / count(*) AS exact_rate FROM n GROUP BY doc_id""")
+def qa_summary_all(spark, sf):
+    """Every document is asked for a stretch of its own text, and for one with marks behind it that it hardly has."""
+    d = read(spark, sf, "documents")
+    own = F.lower(F.substring(X.col("text"), 1 + (F.col("doc_id") % 3) * 40, F.lit(12)))
+    other = F.concat(F.lower(F.substring(X.col("text"), 50, 12)), F.lit("##"))
+    asked = d.select("doc_id", F.posexplode(F.array(own, other)).alias("n", "answer")).withColumn("question", F.concat(F.lit("q"), F.col("n")))
+    return V.qa_summary(V.qa_hits(asked.select("doc_id", "question", "answer"), d)).select("doc_id", "qa_count", "hit_rate", "exact_rate")
+
+
 @query(f"""WITH p AS (SELECT b.item_id, d.doc_id, contains(d.text, b.text) AS hit FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))) SELECT item_id, count(*) AS candidates, count(*) FILTER (hit) AS holding FROM p GROUP BY item_id""")
 def passage_containment(spark, sf):
     opening = F.substring("text", 1, 40)
@@ -411,8 +435,11 @@ def directory_size(spark, sf):
 
 
 def records(spark, sf, late: bool):
+    return _records(read(spark, sf, "documents").filter(F.col("doc_id") % (3 if late else 2) == 0), late)
+
+
+def _records(base, late: bool):
     d = F.col("doc_id")
-    base = read(spark, sf, "documents").filter(d % (3 if late else 2) == 0)
     created = F.timestamp_seconds(F.lit(1_700_000_000) + d * 60 + (F.when(d % 4 == 0, 7200).otherwise(-7200) if late else F.lit(0)))
     return base.select(d.alias("id"), created.alias("created_at"), F.lit("new" if late else "old").alias("version"), F.col("source").alias("title"), "lang", X.col("text").alias("markdown"))
 
@@ -440,6 +467,16 @@ def history_search(spark, sf):
     return search_history(records(spark, sf, False), " SRC1 ", columns=("title", "lang")).select("id")
 
 
+@query("SELECT doc_id AS id FROM documents ORDER BY doc_id DESC")
+def newest_first_all(spark, sf):
+    return J.newest_first(_records(read(spark, sf, "documents"), False)).select("id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE contains(lower(source), 'src1') OR contains(lower(coalesce(text, '')), 'src1')")
+def history_search_all(spark, sf):
+    return search_history(_records(read(spark, sf, "documents"), False), " SRC1 ", columns=("title", "lang")).select("id")
+
+
 @query("""WITH n AS (SELECT doc_id, source AS folder, replace(replace(CASE WHEN doc_id % 3 = 0 THEN 'a/b' ELSE lang || '?' END, '/', '-'), '?', '-') AS name FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY doc_id) AS r FROM n)
  SELECT doc_id, folder, name || CASE WHEN r = 1 THEN '' WHEN r <= 999 THEN ' ' || r ELSE ' ' || doc_id END || '.md' AS file_name FROM r""")
 def unique_output_names(spark, sf):

@@ -78,3 +78,35 @@ def test_jobs(spark):
     assert {(r.job_id, r.gap) for r in J.stalled(p).collect() if r.gap == 70.0 and r.job_id == 3} == {(3, 70.0)}
     names = spark.createDataFrame([(1, "f", "a:b", "md"), (2, "f", "a/b", "md"), (3, "g", "a-b", "md")], "doc_id int, folder string, name string, ext string")
     assert [r.file_name for r in J.unique_names(names).orderBy("doc_id").collect()] == ["a-b.md", "a-b 2.md", "a-b.md"]
+
+
+def test_queries_over_all_documents(spark, tmp_path):
+    import __spark_entry__ as entry
+    from foliowork.plans.q_pages import line_strips
+
+    texts = ["a\nb\na\nb\na\nb\nc", "x\nx\nx\nx\nx", "src1 here\nis", None, "", *(f"text {k}\n" * (k % 7) + "end" * (k % 90) for k in range(195))]
+    rows = [(i, t, "en", f"src{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    ids = set(range(len(texts)))
+    asked = {r.doc_id: r for r in out("qa_summary_all")}
+    assert set(asked) == ids and all(r.qa_count == 2 for r in asked.values()) and asked[0].hit_rate == 0.5 and asked[4].hit_rate == 0
+    assert [r.id for r in out("newest_first_all")] == sorted(ids, reverse=True)
+    assert {r.id for r in out("history_search_all")} == {i for i in ids if i % 4 == 1 or i == 2}
+    status = {r.doc_id: r for r in out("expected_status_all")}
+    ties = [r for r in status.values() if r.best_percent == 50]
+    assert set(status) == ids and ties and all(r.status_source == "fast" for r in ties)
+
+    strips, want = {}, {}
+    for r in line_strips(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect():
+        strips.setdefault(r.table_id, {})[r.strip] = [x[0] for x in r.rows]
+    for i, own in strips.items():
+        lines = []
+        for _, strip in sorted(own.items()):
+            n = max((k for k in range(1, 5) if k <= min(len(lines), len(strip)) and lines[-k:] == strip[:k]), default=0)
+            lines += strip[n:]
+        want[i] = lines
+    got = {}
+    for r in sorted(out("grid_stitching_all"), key=lambda r: r.row):
+        got.setdefault(r.table_id, []).append(r.key)
+    assert got == want and set(got) == ids
