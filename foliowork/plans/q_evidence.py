@@ -268,6 +268,16 @@ def heading_confidence(spark, sf):
     return read(spark, sf, "documents").select("doc_id", R.heading_confidence(line, _NOUNS, _VERBS).alias("h")).select("doc_id", "h.*")
 
 
+@query(rf"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, line_no, {sql_trim('line')} AS t FROM (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM s)), w AS (SELECT *, list_transform({sql_tokens('lower(t)')}, lambda w: regexp_replace(w, '[^\p{{L}}]', '', 'g')) AS w FROM l),
+ f AS (SELECT *, len(list_intersect(w, {list(_VERBS)})) > 0 AS verb, len(list_filter(w, lambda x: regexp_matches(x, '(tion|ment|heit|ness)$'))) > 0 AS noun FROM w),
+ c AS (SELECT *, CASE WHEN t = '' THEN 0.0 ELSE least(greatest(round(0.5 + CASE WHEN noun AND NOT verb AND length(t) < 60 THEN 0.3 ELSE 0.0 END - CASE WHEN verb THEN 0.3 ELSE 0.0 END - CASE WHEN length(t) > 100 THEN 0.2 ELSE 0.0 END - CASE WHEN regexp_matches(t, '[.,]$') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(t, '^\p{{Lu}}') THEN 0.1 ELSE 0.0 END, 6), 0.0), 1.0) END::DOUBLE AS c FROM f)
+ SELECT doc_id, line_no, c AS confidence, CASE WHEN t = '' THEN 0 WHEN c > 0.7 AND length(t) < 40 THEN 1 WHEN c > 0.5 AND length(t) < 80 THEN 2 ELSE 3 END::BIGINT AS level FROM c""")
+def heading_confidence_all(spark, sf):
+    """Every line of a document."""
+    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split(col("text"), "\n", -1)).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", R.heading_confidence("line", _NOUNS, _VERBS).alias("h")).select("doc_id", "line_no", "h.*")
+
+
 @query(f"WITH {PAGES} SELECT doc_id, (sum(length(text)) // count(*))::BIGINT AS avg_chars, sum(length(text)) // count(*) < 100 AS scanned FROM doc_pages GROUP BY doc_id")
 def scanned_flag(spark, sf):
     return E.pages_scanned(_pages(spark, sf))

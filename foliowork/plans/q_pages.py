@@ -133,8 +133,8 @@ def sequence_similarity(spark, sf):
 
 @query(None)
 def table_tree_similarity(spark, sf):
-    rows = lambda c, n: F.transform(F.slice(F.split(X.col(c), r"\. ", -1), 1, n), lambda r: F.transform(F.slice(F.split(r, " ", -1), 1, 3), lambda w: F.struct(w.alias("value"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"))))
-    p = passage_pairs(spark, sf).select("item_id", rows("reference", 4).alias("truth"), rows("text", 3).alias("other"))
+    rows = lambda c: F.transform(F.split(X.col(c), r"\. ", -1), lambda r: F.transform(F.split(r, " ", -1), lambda w: F.struct(w.alias("value"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"))))
+    p = passage_pairs(spark, sf).select("item_id", rows("reference").alias("truth"), rows("text").alias("other"))
     return T.table_similarity(p).select("item_id", "structural", "total", "skipped")
 
 

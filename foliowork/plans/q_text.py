@@ -121,6 +121,14 @@ def hyphen_repair(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.sha2(X.clean_hyphens(broken), 256).alias("fixed"))
 
 
+def _heading_rules(spark, sf, shorten):
+    own = F.posexplode(F.split(X.col("text"), "\n", -1)).alias("line_no", "raw")
+    n, raw = F.col("line_no") + 1, F.col("raw")
+    line = F.when(n % 3 == 0, F.concat(F.lit("2."), n, F.lit(" "), raw)).when(n % 3 == 1, F.upper(F.replace(shorten(raw), F.lit("ß"), F.lit("s")))).otherwise(raw)
+    rows = read(spark, sf, "documents").select("doc_id", own).select("doc_id", F.col("line_no").cast("long").alias("line_no"), line.alias("line"))
+    return rows.select("doc_id", "line_no", X.heading_markup("line").alias("heading"), X.first_line_heading("line").alias("first_line"))
+
+
 _LINE = f"(SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, CASE WHEN generate_subscripts(ls, 1) % 3 = 0 THEN '2.' || generate_subscripts(ls, 1) || ' ' || unnest(ls) WHEN generate_subscripts(ls, 1) % 3 = 1 THEN upper(replace(substr(unnest(ls), 1, 30), 'ß', 's')) ELSE unnest(ls) END AS line FROM (SELECT doc_id, {sql_lines(_T)} AS ls FROM documents))"
 
 
@@ -129,11 +137,16 @@ _LINE = f"(SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, CASE WHEN g
   WHEN num <> '' THEN repeat('#', least(len(string_split(num, '.')) + 1, 6)::INT) || ' ' || line WHEN length(letters) >= 2 AND NOT regexp_matches(letters, '\P{{Lu}}') THEN '# ' || line END AS heading,
   CASE WHEN length(line) < 80 AND regexp_matches(line, '\p{{L}}') AND NOT regexp_matches(line, '[.,]$') THEN '## ' || line ELSE line END AS first_line FROM x""")
 def heading_rules(spark, sf):
-    own = F.posexplode(F.split(X.col("text"), "\n", -1)).alias("line_no", "raw")
-    n, raw = F.col("line_no") + 1, F.col("raw")
-    line = F.when(n % 3 == 0, F.concat(F.lit("2."), n, F.lit(" "), raw)).when(n % 3 == 1, F.upper(F.replace(F.substring(raw, 1, 30), F.lit("ß"), F.lit("s")))).otherwise(raw)
-    rows = read(spark, sf, "documents").select("doc_id", own).select("doc_id", F.col("line_no").cast("long").alias("line_no"), line.alias("line"))
-    return rows.select("doc_id", "line_no", X.heading_markup("line").alias("heading"), X.first_line_heading("line").alias("first_line"))
+    return _heading_rules(spark, sf, lambda raw: F.substring(raw, 1, 30))
+
+
+@query(rf"""WITH l AS {_LINE.replace('substr(unnest(ls), 1, 30)', 'unnest(ls)')}, x AS (SELECT *, regexp_extract(line, '^(\d+(?:\.\d+)*)\.?\s+[A-Z]', 1) AS num, regexp_replace(line, '\P{{L}}', '', 'g') AS letters FROM l)
+ SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '\.{{4,}}') OR length(line) > 80 OR regexp_matches(line, '[.,;]$') THEN NULL
+  WHEN num <> '' THEN repeat('#', least(len(string_split(num, '.')) + 1, 6)::INT) || ' ' || line WHEN length(letters) >= 2 AND NOT regexp_matches(letters, '\P{{Lu}}') THEN '# ' || line END AS heading,
+  CASE WHEN length(line) < 80 AND regexp_matches(line, '\p{{L}}') AND NOT regexp_matches(line, '[.,]$') THEN '## ' || line ELSE line END AS first_line FROM x""")
+def heading_rules_all(spark, sf):
+    """Whole lines, those beyond the rules' 80 characters too."""
+    return _heading_rules(spark, sf, lambda raw: raw)
 
 
 @query(rf"""WITH p AS (SELECT doc_id, generate_subscripts({sql_lines(_T)}, 1) - 1 AS line_no, replace(unnest({sql_lines(_T)}), ' ', chr(10)) AS page FROM documents),
@@ -196,6 +209,12 @@ def url_decoding(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.concat(X.decode_non_ascii(url), X.decode_non_ascii(F.lit("%2F"))).alias("decoded"))
 
 
+@query("""SELECT page_id, 'https://a.example/' || url || '?q=%20x&r=é' || 'ü%2F' AS decoded FROM pages""")
+def url_decoding_all(spark, sf):
+    url = F.concat(F.lit("https://a.example/"), F.col("url"), F.lit("?q=%20x&r=%C3%A9%C3%BC"))
+    return read(spark, sf, "pages").select("page_id", F.concat(X.decode_non_ascii(url), X.decode_non_ascii(F.lit("%2F"))).alias("decoded"))
+
+
 @query("""SELECT doc_id, source AS title, length(coalesce(text, ''))::BIGINT AS n FROM documents""")
 def json_payload(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", X.to_payload(F.struct(F.col("text").alias("markdown"), F.col("source").alias("title"))).alias("payload"))

@@ -110,3 +110,23 @@ def test_queries_over_all_documents(spark, tmp_path):
     for r in sorted(out("grid_stitching_all"), key=lambda r: r.row):
         got.setdefault(r.table_id, []).append(r.key)
     assert got == want and set(got) == ids
+
+
+def test_queries_over_whole_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    long = " ".join(["words"] * 30)
+    docs = [(1, long + "\nsecond\nThe settlement", "en", "s", 0), (2, None, "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "https://b.example/a%20b/%C3%A9?x=1")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    tail = " ".join(f"t{k}" for k in range(9))
+    passages = [(1, "a b c " + tail + ". x. y. z. same"), (2, "a b c " + tail + ". x. y. z. other end"), (3, "a b c " + tail + ". x. y. z. other end")]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    rules = {(r.doc_id, r.line_no): r for r in out("heading_rules_all")}
+    assert rules[1, 0].heading is None and rules[1, 0].first_line == long.upper() and rules[1, 1].first_line == "## second" and len(rules) == 4
+    assert [r.decoded for r in out("url_decoding_all")] == ["https://a.example/https://b.example/a%20b/é?x=1?q=%20x&r=éü%2F"]
+    lines = {(r.doc_id, r.line_no): (r.confidence, r.level) for r in out("heading_confidence_all")}
+    assert lines == {(1, 0): (0.3, 3), (1, 1): (0.5, 3), (1, 2): (0.9, 1), (2, 0): (0.0, 0)}
+    trees = {r.item_id: (round(r.structural, 6), r.skipped) for r in out("table_tree_similarity")}
+    assert trees == {1: (round(1 - 1 / 23, 6), False), 2: (1.0, False)}
