@@ -1,10 +1,9 @@
 """Mixing sources to target weights with Sainte-Lague quotas of equal-token blocks.
 
-Every source has a target in words. Inside a source, documents are dealt into shards by a seeded hash, and a
-shard's part of the target is in proportion to its words. Blocks are seats: a shard holds its k-th seat while the
-quotient part / (2k + 1) is at least half a block, which is the allocation of the highest quotients for the house that
-those seats make up, and gives whole blocks per shard without ranking all quotients in one place. In a shard the
-documents lie end to end in seeded order; the quota is taken as whole passes over the shard plus evenly spread
+Every source has a target in words. Inside a source, documents are dealt into shards by a seeded hash. Blocks are seats:
+a source's house has its blocks times target over words, and a shard's seats are the difference of the rounded running
+sums after and before it, so that a source's seats add up to its house and each shard is within one seat of its part,
+a short block counting by its real size. The sums run over one small row for each shard. In a shard the documents lie end to end in seeded order; the quota is taken as whole passes over the shard plus evenly spread
 blocks from a seeded start.
 """
 
@@ -13,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliowork.llm.shared import WORD, read, shared_folder, text_of, write_table
+from foliowork.llm.shared import WORD, broadcast_if_small, read, shared_folder, text_of, write_table
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -74,26 +73,38 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", source_column: str = "s
     folder = shared_folder(spark, "mix")
     carried = [docs[c].alias(f"_{c}") for c in carry]
     rows = docs.select(docs[id_column].alias("id"), docs[source_column].cast("string").alias("source"), F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long").alias("size"), *carried)
-    narrow = rows if carry else write_table(rows, f"{folder}/sizes")
-    targets = write_table(source_targets(narrow.select("source", "size")).coalesce(1), f"{folder}/targets")
+    sizes = write_table(rows.select("id", "source", "size"), f"{folder}/sizes")
+    targets = write_table(source_targets(sizes.select("source", "size")).coalesce(1), f"{folder}/targets")
 
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     number = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
-    dealt = (
-        narrow.withColumn("digest", digest)
-        .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
-        .drop("of")
-        .withColumn("shard", F.pmod(number, F.ceil(F.col("rows") / SHARD_ROWS)))
-    )
+
+    def deal(own: DataFrame) -> DataFrame:
+        return (
+            own.withColumn("digest", digest)
+            .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
+            .drop("of")
+            .withColumn("shard", F.pmod(number, F.ceil(F.col("rows") / SHARD_ROWS)))
+        )
+
+    def house(blocks: Column) -> Column:
+        return F.floor(F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0) + 0.5)
+
+    filled = F.ceil(F.col("words") / block)
+    upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shards = (
+        deal(sizes).groupBy("source", "source_size", "target", "shard").agg(F.sum("size").alias("words"))
+        .withColumn("upto", F.sum(filled).over(upto))
+        .select(F.col("source").alias("of"), F.col("shard").alias("of_shard"), F.greatest(filled, F.lit(1)).alias("blocks"), (house(F.col("upto")) - house(F.col("upto") - filled)).alias("due"))
+    )
+    shards = broadcast_if_small(write_table(shards, f"{folder}/shards"), f"{folder}/shards")
+    dealt = deal(rows if carry else sizes).join(shards, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("of_shard")), "left").drop("of", "of_shard")
     shard = Window.partitionBy("source", "shard")
     order = shard.orderBy("digest", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("source"), F.col("shard"))), 1, 8), 16, 10).cast("long")
     planned = (
-        dealt.withColumn("words", F.sum("size").over(shard))
-        .withColumn("first", F.sum("size").over(order) - F.col("size"))
-        .withColumn("blocks", F.greatest(F.ceil(F.col("words") / block), F.lit(1)))
-        .withColumn("part", F.when(F.col("source_size") > 0, F.col("target") * F.col("words") / F.col("source_size")).otherwise(0.0))
-        .withColumn("seats", F.least(F.floor(F.col("part") / block + 0.5), LIMIT * F.col("blocks")))
+        dealt.withColumn("first", F.sum("size").over(order) - F.col("size"))
+        .withColumn("seats", F.least(F.col("due"), LIMIT * F.col("blocks")))
         .withColumn("passes", F.floor(F.col("seats") / F.col("blocks")))
         .withColumn("quota", F.col("seats") - F.col("passes") * F.col("blocks"))
         .withColumn("start", F.pmod(start, F.col("blocks")))

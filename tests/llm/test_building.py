@@ -63,6 +63,17 @@ def test_mix_follows_targets(spark):
     assert sorted(map(str, plan)) == sorted(map(str, again))
 
 
+def test_small_sources_and_short_texts_reach_their_targets(spark):
+    rows = [(0, "w " * 7, "a"), (1, "w " * 33, "b"), (2, "w " * 65, "c")]
+    rows += [(10 + i, "w" if i % 8 == 0 else "", "d") for i in range(6000)] + [(7000 + i, "w " * 300, "e") for i in range(40)]
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix_plan(docs(spark, rows)).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert [taken[s] for s in "abc"] == [target[s] for s in "abc"] == [14, 66, 130]
+    assert all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK for s in "de")
+
+
 def test_mixed_texts_have_the_words_that_were_taken(spark):
     rows = words({"b": 80, "a": 20, None: 30})
     plan = {r.doc_id: r.taken for r in mixing.mix_plan(docs(spark, rows)).collect()}
