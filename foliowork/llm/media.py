@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliowork.llm.shared import read, text_of
@@ -161,7 +162,8 @@ def media_columns(
 
 
 def op8_media(spark, sf_dir):
-    return media_columns(read(spark, sf_dir, "documents"), with_files=False)
+    made = media_columns(read(spark, sf_dir, "documents"))
+    return made.withColumn("tile_sha256", F.sha2("tile", 256)).drop("media", "tile")
 
 
 QUERIES = {"op8_media": op8_media}

@@ -101,6 +101,15 @@ def test_media_round_trip(spark, form):
     assert media.media_columns(docs(spark, [])).count() == 0
 
 
+def test_media_query_makes_the_tiles(spark, tmp_path):
+    texts = [None, "", "x" * 64, "é" * 77, "ab" * 5000]
+    docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in media.op8_media(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        pixels = np.frombuffer(media.payload_of((t or "").encode()), dtype=np.uint8).reshape(-1, media.WIDTH)
+        assert out[i].tile_sha256 == hashlib.sha256(media.npy_tile(pixels)).hexdigest() and len(out) == len(texts)
+
+
 def test_area_resize_and_codecs():
     image = np.arange(12 * 8, dtype=np.uint8).reshape(12, 8)
     assert np.allclose(media.area_resize(image, 6, 4), image.reshape(6, 2, 4, 2).mean((1, 3)))
