@@ -1,7 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
 A document is a bag of passages of 512 bytes, all of them, down to the end of its text. A passage is encoded from
-the kinds of its neighbouring bytes and from how often it repeats itself. A gated attention layer, learned from the
+the kinds of its neighbouring bytes and from how often it repeats itself, all stretches of eight bytes looked at. A gated attention layer, learned from the
 labels of whole documents, weighs the passages; the weighted passage representation is scored by a logistic layer. Tasks
 encode and score their own rows; the weights are a few thousand numbers, fitted on the driver on a bounded sample
 of labelled documents.
@@ -37,6 +37,21 @@ _KIND[128:] = 10
 FEATURES = KINDS * KINDS + 2
 
 
+def _new_share(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each passage the share of distinct ones among all its stretches of eight bytes; 1 for a passage without any."""
+    share = np.ones(len(size), dtype=np.float32)
+    some = np.flatnonzero(size >= 8)
+    if len(some):
+        eights = np.ndarray(len(data) - 7, dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+        for at in range(0, len(some), 2048):
+            part = some[at : at + 2048]
+            last = size[part] - 8
+            rows = eights[begin[part, None] + np.minimum(np.arange(last.max() + 1), last[:, None])]  # shorter passages repeat their last one
+            rows.sort(axis=1)
+            share[part] = (1 + (rows[:, 1:] != rows[:, :-1]).sum(1)) / (last + 1)
+    return share
+
+
 def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bag sizes, and one row of features for each passage, of the texts data[offsets[i] : offsets[i + 1]]."""
     data = data[offsets[0] : offsets[-1]]
@@ -55,13 +70,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         inner[(begin + size - 1)[size > 0]] = False  # the last byte of a passage has no neighbour in it
         counts = np.bincount(pair[inner], minlength=len(size) * KINDS * KINDS).reshape(len(size), -1)
         out[:, : KINDS * KINDS] = counts / np.maximum(size - 1, 1)[:, None]
-        if len(data) >= 8:  # how many of the stretches of eight bytes, of which an eighth is looked at, are new
-            eights = np.ndarray(len(data) - 7, dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
-            some = np.flatnonzero((eights >> np.uint64(61) == 0) & (own[7:] == own[:-7]))  # whole inside their passage
-            keys = (own[some].astype(np.uint64) << np.uint64(32)) | (eights[some] >> np.uint64(20) & np.uint64(0xFFFFFFFF))
-            seen = np.bincount(own[some], minlength=len(size))
-            new = np.bincount((np.unique(keys) >> np.uint64(32)).astype(np.int64), minlength=len(size))
-            out[:, -2] = (new + 1) / (seen + 1)
+    out[:, -2] = _new_share(data, begin, size)
     out[:, -1] = np.log1p(size) / np.log1p(PASSAGE)
     return bags, out
 

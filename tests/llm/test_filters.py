@@ -115,3 +115,16 @@ def test_passages_cover_whole_texts():
     assert bags.tolist() == [1, 3, 1] and len(rows) == 5
     other = quality.encode(np.frombuffer(texts[2], dtype=np.uint8), np.array([0, 20]))[1]
     assert np.allclose(rows[4], other) and hashlib.md5(rows[1].tobytes()).digest() == hashlib.md5(rows[2].tobytes()).digest()
+
+
+def test_repetition_counts_all_stretches():
+    draw = np.random.default_rng(9)
+    texts = [bytes(draw.permutation(np.arange(97, 123, dtype=np.uint8))[:p]) * (512 // p + 1) for p in range(1, 25)]
+    texts = [t[:512] for t in texts] + [b"", b"short", b"12345678", bytes(draw.integers(32, 127, 1300, dtype=np.uint8)), b"ab" * 700]
+    _, rows = quality.encode(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]))
+    passages = [t[k : k + 512] for t in texts for k in range(0, max(len(t), 1), 512)]
+    want = [len({x[k : k + 8] for k in range(len(x) - 7)}) / (len(x) - 7) if len(x) >= 8 else 1 for x in passages]
+    assert np.allclose(rows[:, -2], want) and np.allclose(want[9], 10 / 505)
+    for x, row in zip(passages, rows, strict=True):
+        alone = quality.encode(np.frombuffer(x, dtype=np.uint8), np.array([0, len(x)]))[1]
+        assert np.allclose(alone[0, -2], row[-2])
