@@ -1,6 +1,5 @@
 """URL filters, secret scans and the quality classifier."""
 
-import hashlib
 import re
 import zlib
 
@@ -109,22 +108,63 @@ def test_quality_edges(spark):
     assert {r.score for r in quality.score_quality(odd, ones).collect()} == {1.0}
 
 
+def encoded(texts):
+    return quality.encode(np.frombuffer(b"".join(texts), dtype=np.uint8), *quality.cut_passages(np.cumsum([0, *map(len, texts)]))[1:])
+
+
 def test_passages_cover_whole_texts():
     texts = [b"", b"a" * 1300, b"b!" * 10]
-    bags, rows = quality.encode(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]))
-    assert bags.tolist() == [1, 3, 1] and len(rows) == 5
-    other = quality.encode(np.frombuffer(texts[2], dtype=np.uint8), np.array([0, 20]))[1]
-    assert np.allclose(rows[4], other) and hashlib.md5(rows[1].tobytes()).digest() == hashlib.md5(rows[2].tobytes()).digest()
+    bags, begin, size = quality.cut_passages(np.cumsum([0, *map(len, texts)]))
+    rows = encoded(texts)
+    assert bags.tolist() == [1, 3, 1] and begin.tolist() == [0, 0, 512, 1024, 1300] and size.tolist() == [0, 512, 512, 276, 20]
+    assert np.array_equal(rows[4:], encoded(texts[2:])) and np.array_equal(rows[1], rows[2])
+    gaps = quality.encode(np.frombuffer(b"".join(texts), dtype=np.uint8), begin[[1, 4]], size[[1, 4]])  # with passages left out between
+    assert np.array_equal(gaps, rows[[1, 4]])
+    flat = rows[4, : quality.KINDS**2].reshape(quality.KINDS, -1)
+    assert np.allclose([flat[0, 7], flat[7, 0], flat.sum()], [10 / 19, 9 / 19, 1], atol=1e-5)  # lower, exclamation
 
 
 def test_repetition_counts_all_stretches():
     draw = np.random.default_rng(9)
     texts = [bytes(draw.permutation(np.arange(97, 123, dtype=np.uint8))[:p]) * (512 // p + 1) for p in range(1, 25)]
     texts = [t[:512] for t in texts] + [b"", b"short", b"12345678", bytes(draw.integers(32, 127, 1300, dtype=np.uint8)), b"ab" * 700]
-    _, rows = quality.encode(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]))
+    rows = encoded(texts)
     passages = [t[k : k + 512] for t in texts for k in range(0, max(len(t), 1), 512)]
     want = [len({x[k : k + 8] for k in range(len(x) - 7)}) / (len(x) - 7) if len(x) >= 8 else 1 for x in passages]
-    assert np.allclose(rows[:, -2], want) and np.allclose(want[9], 10 / 505)
+    assert np.allclose(rows[:, -2], want, atol=1e-6) and np.allclose(want[9], 10 / 505)
     for x, row in zip(passages, rows, strict=True):
-        alone = quality.encode(np.frombuffer(x, dtype=np.uint8), np.array([0, len(x)]))[1]
-        assert np.allclose(alone[0, -2], row[-2])
+        assert np.array_equal(encoded([x])[0], row)
+
+
+def plain_score(model, text):
+    """The definition, passage by passage and feature by feature."""
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    hidden, logits = [], []
+    for x in [text[k : k + 512] for k in range(0, max(len(text), 1), 512)]:
+        row = (encoded([x])[0] - model.mean) * model.scale
+        h = np.tanh([sum(row[i] * w["W"][i, j] for i in range(quality.FEATURES)) + w["b"][j] for j in range(quality.HIDDEN)])
+        gate = [np.tanh(h @ w["V"][:, j]) / (1 + np.exp(-(h @ w["U"][:, j]))) for j in range(quality.GATE)]
+        hidden.append(h)
+        logits.append(sum(g * v for g, v in zip(gate, w["w"], strict=True)))
+    a = np.exp(logits) / np.exp(logits).sum()
+    return 1 / (1 + np.exp(-(sum(x * h for x, h in zip(a, hidden, strict=True)) @ w["c"] + w["d"][0])))
+
+
+def test_scores_are_the_definition_whatever_the_partitions(spark):
+    df = labelled(spark, 120)
+    model = quality.train_quality(df.drop("quality"), df.drop("text"))
+    draw = np.random.default_rng(3)
+    texts = ["", "short", "!" * 700] + ["".join(chr(c) for c in draw.integers(32, 400, n)) for n in draw.integers(0, 3000, 60)] + ["the river $$$ " * 200] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    scores = [{r.doc_id: r.score for r in quality.score_quality(rows.repartition(n), model).collect()} for n in (1, 9, 40)]
+    assert scores[0] == scores[1] == scores[2] and len({scores[0][i] for i in range(63, 66)}) == 1
+    for i, t in enumerate(texts):
+        assert abs(scores[0][i] - plain_score(model, t.encode())) < 1e-4
+
+
+def test_fit_learns_what_it_is_given():
+    draw = np.random.default_rng(5)
+    bags, rows, labels = np.array([1, 3, 2, 2]), draw.normal(size=(8, quality.FEATURES)), np.array([0, 1, 1, 0])
+    model = quality.fit(bags, rows, labels)
+    logit = quality._forward(model.weights, (rows - model.mean) * model.scale, bags)["logit"]
+    assert ((logit > 0) == labels).all()
