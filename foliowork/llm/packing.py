@@ -36,6 +36,9 @@ SLACK = 32
 
 #: Characters on which every version of Unicode's tables agrees; other texts go through the tokenizer file.
 _OTHER = re.compile("[^\x00-ɏ]")
+#: White space in one run from which the ranks' encoder, whose pattern goes back over such a run, is not used.
+LONG_RUN = 50_000
+_RUN = re.compile(r"\s{%d}" % LONG_RUN)
 
 
 @functools.cache
@@ -43,7 +46,7 @@ def _encoder(tokenizer_file: str, rank_file: str | None):
     """A function from text to an array of ids.
 
     The tokenizer file defines the ids. Its vocabulary as ranks gives the same ids faster, and is used for texts
-    without special tokens and without characters on which Unicode versions may differ.
+    without special tokens, without characters on which Unicode versions may differ and without very long runs of white space.
     """
     from tokenizers import Tokenizer
 
@@ -64,7 +67,7 @@ def _encoder(tokenizer_file: str, rank_file: str | None):
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if _OTHER.search(text) or any(s in text for s in special):
+        if _OTHER.search(text) or any(s in text for s in special) or (len(text) >= LONG_RUN and _RUN.search(text)):
             return slow(text)
         return np.array(fast.encode_ordinary(text), dtype="<u4")
 
@@ -242,10 +245,8 @@ def pack_sequences(
         doc_type = None
         for batch in batches:
             doc_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    keep(packer.add(doc, np.append(encode(text), np.uint32(END_ID)).astype("<u4")))
+            for doc, text in zip(*batch.columns, strict=True):
+                keep(packer.add(doc.as_py(), np.append(encode(text.as_py()), np.uint32(END_ID)).astype("<u4")))
                 if len(out) >= (500 if with_ids else 20_000):
                     yield flush(doc_type)
         if doc_type is not None:

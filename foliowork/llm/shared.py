@@ -7,18 +7,26 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]++"
 
 
+_own_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where one machine does all may it be unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='foliowork-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _own_roots:
+            _own_roots[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='foliowork-')}"
+        root = _own_roots[context.applicationId]
     return root.rstrip("/")
 
 
@@ -64,5 +72,15 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
 
 
 def broadcast_if_small(table: DataFrame, path: str, most: int = 4 << 20) -> DataFrame:
-    """Broadcast a written table whose files hold `most` bytes at most; a larger one is joined by shuffling."""
-    return F.broadcast(table) if folder_bytes(table.sparkSession, path) <= most else table
+    """Broadcast a written table whose files hold `most` bytes at most, and eight times that once they are decoded.
+
+    A larger one is joined by shuffling.
+    """
+    if folder_bytes(table.sparkSession, path) > most:
+        return table
+    wide = [f.name for f in table.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    longs = [f.name for f in table.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    row = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(16 * len(table.columns)))
+    row = sum((16 * F.greatest(F.size(c), F.lit(0)) for c in longs), row)
+    decoded = table.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(table) if decoded <= 8 * most else table

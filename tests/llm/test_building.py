@@ -162,6 +162,14 @@ def test_rank_ids_are_those_of_the_tokenizer_file():
         assert fast(text).tolist() == slow(text).tolist(), text
 
 
+def test_very_long_runs_are_encoded(spark):
+    texts = [x * n for x in (" ", "\n", " \n\t", "a", "é") for n in (60_000, 1_000_000)] + ["a " + "\n" * 5_000_000 + " b"]
+    rows = packing.pack_sequences(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), with_ids=False).select("doc_id", "doc_tokens").distinct().collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(encoded(t)) for i, t in enumerate(texts)}
+    names = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")]
+    assert packing._encoder(*names)(texts[5]).tolist() == encoded(texts[5])[:-1]
+
+
 def test_closest_multiset_is_the_best_there_is():
     draw = random.Random(4)
     for _ in range(200):
