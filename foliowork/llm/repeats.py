@@ -4,12 +4,13 @@ Every string of `LENGTH` bytes is assigned to one of its own parts, the anchor:
 one with the least hash. Equal strings have equal anchors at equal places, so a string can only repeat where its
 anchor does. Strings of one anchor that follow each other form a context, a stretch of bytes.
 1. Documents of equal text are copies of each other: one of them is looked at, and all are removed.
-2. Anchors found twice or more are marked in a bitmap of fixed size; only their contexts go on.
+2. One pass over the texts writes all contexts. Anchors found twice or more are marked in a bitmap whose size follows
+   their number; only their contexts go on.
 3. A context found twice or more as a whole is removed wherever it is. Anchors with several contexts of which one is
-   single, at the ends of repeated passages and around edits, are marked in a second bitmap, and one place of each
-   context in a third; a last pass reads the bytes there and deals them to shards by anchor.
-4. A shard is sorted into a suffix array by induced sorting; a start whose suffix shares `LENGTH` bytes with a
-   neighbour is the start of a repeated string.
+   single, at the ends of repeated passages and around edits, stay open: one place of each of their contexts is joined with
+   its text, and the bytes there are dealt to shards by anchor.
+4. A shard is sorted into a suffix array by induced sorting; a start whose permuted common prefix with a
+   neighbour has `LENGTH` bytes is the start of a repeated string.
 5. Ranges are merged for each text, and cut from every document.
 """
 
@@ -25,15 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliowork.llm.quality import _texts
-from foliowork.llm.shared import broadcast_if_small, read, shared_folder, text_of, write_table
+from foliowork.llm.shared import broadcast_if_small, drop_folder, read, shared_folder, text_of, write_table
 from foliowork.llm.shingles import mixed, powers
 from foliowork.llm.suffixes import repeated_starts
 
 LENGTH, ANCHOR = 200, 96
-#: Bits of a bitmap's address. False hits only cost work: what they let through are true places of the corpus.
-BITMAP = 25
+#: Bits of a bitmap for each marked anchor, and of its address at most. False hits only cost work: the contexts that they let
+#: through are true ones, and a context that is alone goes no further.
+BITS_EACH, ADDRESS = 8, 28
 #: Bytes that one array step works on, bytes of a shard's text, contexts of one anchor in one block.
-CHUNK, SHARD, BLOCK = 1 << 20, 1_500_000, 2048
+CHUNK, SHARD, BLOCK = 1 << 18, 2_000_000, 2048
 _PLACE = 28  # low bits of a compared value that hold the position
 _VALUE = np.random.default_rng(200).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -81,76 +83,72 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return hashes[anchor[cut]].view(np.int64), context.view(np.int64), text, first - offsets[text], last - first
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Slices of a column of about CHUNK bytes; a longer text is a slice of its own."""
-    _, offsets = _texts(column)
+def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, first byte, data and offsets of parts of a column of about CHUNK bytes.
+
+    A longer text is cut into parts that overlap, so that each of its strings of LENGTH bytes starts in one of them.
+    """
+    data, offsets = _texts(column)
     at = 0
     while at < len(column):
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-        yield at, stop - at
+        if (n := int(offsets[stop] - offsets[at])) <= CHUNK:
+            yield at, 0, data, offsets[at : stop + 1]
+        else:
+            for base in range(0, n - LENGTH + 1, CHUNK):
+                end = min(base + CHUNK + LENGTH - 1, n)
+                yield at, base, data[offsets[at] + base : offsets[at] + end], np.array([0, end - base])
         at = stop
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key1, key2, text) to the hashes of its anchors."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key1, key2, text) to the contexts; `place` is the first start and, in its low bits, the span."""
     for batch in batches:
-        for at, n in _chunks(batch.column(2)):
-            yield pa.RecordBatch.from_arrays([pa.array(contexts(*_texts(batch.column(2).slice(at, n)))[0])], names=["anchor"])
-
-
-def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes.view(np.uint64) & np.uint64((1 << BITMAP) - 1)  # the low bits: anchors are least hashes, so their high bits are small
-    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+        keys = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
+        for row, base, data, offsets in _pieces(batch.column(2)):
+            anchor, context, text, first, span = contexts(data, offsets)
+            columns = [anchor, context, keys[0][row + text], keys[1][row + text], (first + base) << 16 | span]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "context", "key1", "key2", "place"])
 
 
 def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size with the bits of all hashes in a column: words are made by Spark, 2 ** 19 at most."""
-    bit = hashes.select(F.expr(f"{column} & {(1 << BITMAP) - 1}L").alias("bit"))
-    words = bit.groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toPandas()
-    out = np.zeros(1 << (BITMAP - 6), dtype=np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    """A bitmap with the bits of all hashes in a column, of a size that follows their number; its words are made by Spark."""
+    address = min(ADDRESS, max(16, (BITS_EACH * hashes.count()).bit_length()))
+    bit = hashes.select(F.expr(f"{column} & {(1 << address) - 1}L").alias("bit"))
+    words = bit.groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (address - 6), dtype=np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def _spot(key: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of one place in one text."""
-    return mixed(key.view(np.uint64) ^ mixed(first.astype(np.uint64) + np.uint64(_BASE))).view(np.int64)
-
-
 def _marked(bitmap):
-    """(key1, key2, text) to the contexts of marked anchors; `place` is the first start and, in its low bits, the span."""
+    """The contexts whose anchors are marked."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bitmap.value
         for batch in batches:
-            for at, n in _chunks(batch.column(2)):
-                part = batch.slice(at, n)
-                anchor, context, text, first, span = contexts(*_texts(part.column(2)))
-                keep = np.flatnonzero(_has(bitmap.value, anchor))
-                text, first = text[keep], first[keep]
-                keys = [c.to_numpy(zero_copy_only=False)[text] for c in part.columns[:2]]
-                columns = [anchor[keep], context[keep], *keys, first << 16 | span[keep], _spot(keys[0], first)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "context", "key1", "key2", "place", "spot"])
+            bit = batch.column(0).to_numpy().view(np.uint64) & np.uint64(64 * len(words) - 1)  # low bits: the high ones of least hashes are small
+            yield batch.filter(pa.array((words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)))
 
     return task
 
 
-def _bytes_of(open_anchors, spots):
-    """(key1, key2, text) to the bytes of the contexts of open anchors at the places chosen for them."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, n in _chunks(batch.column(2)):
-                part = batch.slice(at, n)
-                data, offsets = _texts(part.column(2))
-                anchor, _, text, first, span = contexts(data, offsets)
-                keys = [c.to_numpy(zero_copy_only=False)[text] for c in part.columns[:2]]
-                keep = np.flatnonzero(_has(open_anchors.value, anchor) & _has(spots.value, _spot(keys[0], first)))
-                start = offsets[text[keep]] + first[keep]
-                own = [data[a:b].tobytes() for a, b in zip(start.tolist(), (start + span[keep] + LENGTH).tolist(), strict=True)]
-                columns = [pa.array(x[keep]) for x in (anchor, *keys, first)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(own, type=pa.binary())], names=["anchor", "key1", "key2", "first", "data"])
-
-    return task
+def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key1, key2, places, text) to one row for each place, with the bytes of its context."""
+    for batch in batches:
+        data, offsets = _texts(batch.column(3))
+        lists = batch.column(2)
+        anchor, blocks, place = (x.to_numpy() for x in lists.flatten().flatten())
+        text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        keys = [c.to_numpy()[text] for c in batch.columns[:2]]
+        first = place >> 16
+        start = offsets[text] + first
+        stop = start + (place & 65535) + LENGTH
+        for at in range(0, len(place), 4096):
+            part = slice(at, at + 4096)
+            own = [data[a:b].tobytes() for a, b in zip(start[part].tolist(), stop[part].tolist(), strict=True)]
+            columns = [pa.array(x[part]) for x in (anchor, blocks, *keys, first)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(own, type=pa.binary())], names=["anchor", "blocks", "key1", "key2", "first", "data"])
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +219,14 @@ def _cut(with_kept: bool, names: list[str]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 if with_kept else 4]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = [row(*x) for x in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)]
-                columns = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
+            rows, at, size = [], 0, 0
+            for k, values in enumerate(zip(*batch.columns[1:], strict=True), 1):
+                rows.append(row(*(x.as_py() for x in values)))
+                size += rows[-1][0]
+                if size > 4 * CHUNK or k == batch.num_rows:
+                    columns = [pa.array([r[c] for r in rows], type=kind) for c, kind in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k - at), *columns], names=names)
+                    rows, at, size = [], k, 0
 
     return task
 
@@ -250,24 +251,27 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     long = F.octet_length("text") >= LENGTH
     texts = copied.filter(long & (F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("kept_id")))).select(*keys, "text")
 
-    share = spark.sparkContext.broadcast
-    anchors = texts.mapInArrow(_anchors, "anchor long").groupBy("anchor").count().filter("count > 1")
-    marked = texts.mapInArrow(_marked(share(_bitmap(anchors, "anchor"))), "anchor long, context long, key1 long, key2 long, place long, spot long")
-    marked = write_table(marked, f"{folder}/contexts")
-    kinds = write_table(marked.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("spot").alias("spot")), f"{folder}/kinds")
+    row = "anchor long, context long, key1 long, key2 long, place long"
+    every = write_table(texts.mapInArrow(_contexts, row), f"{folder}/every")
+    shared = write_table(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), f"{folder}/shared")
+    bitmap = spark.sparkContext.broadcast(_bitmap(shared, "anchor"))
+    marked = write_table(every.mapInArrow(_marked(bitmap), row), f"{folder}/contexts")
+    drop_folder(spark, f"{folder}/every")
+    one = [F.first(c).alias(c) for c in (*keys, "place")]
+    kinds = write_table(marked.groupBy("anchor", "context").agg(F.count("*").alias("n"), *one), f"{folder}/kinds")
     repeated = kinds.filter("n > 1").select("anchor", "context")
     place = F.expr("place >> 16")
     whole = marked.join(repeated.hint("merge"), ["anchor", "context"]).select(*keys, place.alias("start"), (place + F.expr("place & 65535") + LENGTH).alias("stop"))
 
     path = f"{folder}/open"
     several = kinds.groupBy("anchor").agg(F.count("*").alias("rows"), F.count_if(F.col("n") == 1).alias("single")).filter("rows > 1 and single > 0")
-    several = write_table(several.select("anchor", F.ceil(F.col("rows") / BLOCK).alias("blocks")), path)
-    picked = _bytes_of(share(_bitmap(several, "anchor")), share(_bitmap(kinds, "spot")))
-    read_bytes = texts.mapInArrow(picked, "anchor long, key1 long, key2 long, first long, data binary")
-    path = f"{folder}/large"
-    large = write_table(several.filter("blocks > 1"), path)  # an anchor of more contexts than a block holds
+    several = write_table(several.select("anchor", F.ceil(F.col("rows") / BLOCK).alias("blocks")), path)  # an anchor may have more contexts than a block
+    chosen = kinds.join(broadcast_if_small(several, path), "anchor").groupBy(*keys).agg(F.collect_list(F.struct("anchor", "blocks", "place")).alias("places"))
+    path = f"{folder}/places"
+    chosen = write_table(chosen, path)
+    with_text = texts.join(broadcast_if_small(chosen, path, 1 << 20), keys).select(*keys, "places", "text")
+    blocked = with_text.mapInArrow(_bytes_of, "anchor long, blocks long, key1 long, key2 long, first long, data binary")
     own = F.pmod(F.xxhash64(*keys, "first"), F.col("blocks"))
-    blocked = read_bytes.join(broadcast_if_small(large, path), "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = blocked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("anchor", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), *keys, "first", "data")
     in_shards = dealt.repartition("anchor", "left", "right").sortWithinPartitions("anchor", "left", "right", *keys, "first")

@@ -71,18 +71,23 @@ def _induce(s: np.ndarray, larger: np.ndarray, lms: np.ndarray, ends: np.ndarray
 
 
 def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string that would not get shorter by recursion."""
-    rank, step = names.astype(np.int64), 1
+    """Suffix order of a string that would not get shorter by recursion. Only suffixes that are still tied are sorted again."""
+    n, step = len(names), 1
+    order = np.argsort(names, kind="stable")
+    rank, tied, key = np.empty(n, dtype=np.int64), np.arange(n), names[order]
     while True:
-        second = np.zeros(len(rank), dtype=np.int64)
-        second[:-step] = rank[step:] + 1
-        key = rank * (len(rank) + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.empty(len(rank), dtype=np.int64)
-        new[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
-        if new[order[-1]] == len(rank) - 1:
+        # `key` orders the suffixes at the places `tied` of the order; equal keys share the rank of the first place.
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[order[tied]] = tied[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+        alone = first & np.append(first[1:], True)
+        tied = tied[~alone]
+        if not len(tied):
             return order
-        rank, step = new, step * 2
+        own = order[tied]
+        second = np.where(own + step < n, rank[np.minimum(own + step, n - 1)] + 1, 0)
+        key = rank[own] * (n + 1) + second
+        sorted_ = np.argsort(key, kind="stable")
+        order[tied], key, step = own[sorted_], key[sorted_], step * 2
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -93,10 +98,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         return np.zeros(1, dtype=np.int64)
     ends = np.cumsum(np.bincount(s)).astype(np.int64)
     # Suffix i is larger than i + 1 if its first letter that differs from the next is; runs of one letter decide together.
-    change = np.flatnonzero(s[:-1] != s[1:])
-    run = np.searchsorted(change, np.arange(n - 1))
+    change = s[:-1] != s[1:]
+    ends_run = np.flatnonzero(change)
     larger = np.zeros(n, dtype=bool)
-    larger[:-1] = (s[:-1] > s[1:])[change[run]]
+    larger[:-1] = np.repeat(s[ends_run] > s[ends_run + 1], np.diff(ends_run, prepend=-1))
     is_lms = np.zeros(n, dtype=bool)
     is_lms[1:] = larger[:-1] & ~larger[1:]
     lms = np.flatnonzero(is_lms)
@@ -136,24 +141,28 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return _induce(s, larger, ordered, ends)
 
 
-def common_prefix_at_least(text: np.ndarray, sa: np.ndarray, length: int, valid: np.ndarray) -> np.ndarray:
-    """For each start in text order (permuted): whether it shares `length` bytes with the suffix before it in `sa`.
+def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start in text order: the start before it in `sa` (-1 for the first), and the bytes that both share.
 
-    `valid` marks the starts that may count. Starts and their predecessors are compared eight bytes at a time; those
-    that have differed drop out.
+    Prefixes are counted up to `most`, where both starts are `valid`: have as many bytes before them. Others count as 0. Eight
+    bytes are compared at a time, and starts whose bytes have differed drop out.
     """
     before = np.full(len(text), -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
+    plcp = np.zeros(len(text), dtype=np.int64)
     here = np.flatnonzero(valid & (before >= 0))
     here = here[valid[before[here]]]
-    padded = np.concatenate((text, np.zeros(8, dtype=np.uint8)))
-    words = np.ndarray(len(text) + 1, dtype="<u8", buffer=padded, strides=(1,))
-    for at in range(0, length, 8):
-        back = min(at, length - 8)
-        here = here[words[here + back] == words[before[here] + back]]
-    out = np.zeros(len(text), dtype=bool)
-    out[here] = True
-    return out
+    other = before[here]
+    words = np.ndarray(len(text) + 1, dtype="<u8", buffer=np.concatenate((text, np.zeros(8, dtype=np.uint8))), strides=(1,))
+    for at in range(0, most, 8):
+        differ = words[here + at] ^ words[other + at]
+        alike = differ == 0
+        bits = differ[~alike]
+        lowest = np.frexp((bits & (~bits + np.uint64(1))).astype(np.float64))[1] - 1  # the first bit in which they differ
+        plcp[here[~alike]] = at + lowest // 8
+        here, other = here[alike], other[alike]
+    plcp[here] = most
+    return before, np.minimum(plcp, most)
 
 
 def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -171,9 +180,8 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     np.add.at(valid, starts[fits], 1)
     np.add.at(valid, (stops - length + 1)[fits], -1)
     valid = np.cumsum(valid[:-1]) > 0
-    same = common_prefix_at_least(data, sa, length, valid)
-    found = same.copy()
-    before = np.empty(len(data), dtype=np.int64)
-    before[sa[1:]] = sa[:-1]
-    found[before[np.flatnonzero(same)]] = True
+    before, shared = permuted_common_prefixes(data, sa, length, valid)
+    same = np.flatnonzero(shared >= length)
+    found = np.zeros(len(data), dtype=bool)
+    found[same] = found[before[same]] = True
     return [np.flatnonzero(found[a:b]) for a, b in zip(starts, stops, strict=True)]

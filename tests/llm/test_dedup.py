@@ -14,7 +14,7 @@ from foliowork.llm.neardup import drop_near_duplicates, near_groups
 from foliowork.llm.repeats import contexts, merge_ranges, remove_repeats
 from foliowork.llm.shared import shared_folder
 from foliowork.llm.shingles import shingle_sets
-from foliowork.llm.suffixes import repeated_starts, suffix_array
+from foliowork.llm.suffixes import _by_doubling, permuted_common_prefixes, repeated_starts, suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n long, digest string"
 WORDS = [f"w{i}é" if i % 7 == 0 else f"word{i}" for i in range(400)]
@@ -139,7 +139,8 @@ def naive_repeats(texts, length=200):
 
 
 @pytest.mark.parametrize("seed", [5, 6])
-def test_repeats_are_the_plain_rule(spark, seed):
+def test_repeats_are_the_plain_rule(spark, seed, monkeypatch):
+    monkeypatch.setattr("foliowork.llm.repeats.CHUNK", 700 if seed == 5 else 1 << 18)  # long texts are cut into parts
     texts = corpus(seed, 30) + ["ab" * 300, "é" * 150, ("abc" * 40 + "xyz") * 6, "q" * 199, "q" * 199]
     rows = {r.doc_id: r for r in remove_repeats(table(spark, texts)).collect()}
     for i, (n, removed, spans, kept) in enumerate(naive_repeats(texts)):
@@ -151,6 +152,13 @@ def test_suffix_arrays_and_contexts():
     for _ in range(200):
         s = [draw.randint(1, draw.choice([1, 2, 3, 9])) for _ in range(draw.randint(0, 50))] * draw.choice([1, 1, 3]) + [0]
         assert suffix_array(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        order = sorted(range(len(s)), key=lambda i: s[i:])
+        assert _by_doubling(np.array(s)).tolist() == order
+        text, most = np.array(s, dtype=np.uint8), 12
+        before, plcp = permuted_common_prefixes(text, np.array(order), most, np.arange(len(s)) <= len(s) - most)
+        for a, b in zip(order, order[1:], strict=False):
+            same = next((k for k in range(most) if s[a + k : a + k + 1] != s[b + k : b + k + 1]), most) if max(a, b) <= len(s) - most else 0
+            assert (before[b], plcp[b]) == (a, same)
     assert [x.tolist() for x in repeated_starts([b"abcabcabcX", b"", b"cabcabca"], 8)] == [[], [], []]
     assert [x.tolist() for x in repeated_starts([b"12345678z", b"y12345678"], 8)] == [[0], [1]]
     assert merge_ranges([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
