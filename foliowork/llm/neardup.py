@@ -4,10 +4,11 @@
 2. A class is posted under (coordinate, value) pairs. Pairs that agree in T of K coordinates must share one among
    the K - T + 1 that come first in any common order; rare values come first, so values that many classes share are
    skipped. Only postings of two or more go on.
-3. In a posting, collisions of whole signatures are counted, in blocks of bounded size, and those above T joined
-   into candidate groups; a task puts out a spanning forest, not the pairs.
-4. Inside a candidate group, whole shingle sets are compared, again in bounded blocks and again with a
-   spanning forest of the confirmed links as result. Components of these links are the answer.
+3. In a posting, coordinates of two signatures are merged and their collisions counted, in blocks of bounded size. A pair with
+   T or more belongs to one posting, the first in the common order that both are in; a task puts out which classes
+   of the posting are in such a pair, not the pairs.
+4. The whole shingle sets of these classes are compared inside the same block of the posting; a task puts out a spanning forest of
+   the confirmed links. Components of these links, and of nothing else, are the answer.
 
 With K = 64 and T = 30 a pair of similarity 0.75 is missed with a probability below one in a million.
 """
@@ -27,14 +28,14 @@ from pyspark.sql import types as T
 from foliowork.llm.components import connected_components
 from foliowork.llm.quality import _texts
 from foliowork.llm.shared import broadcast_if_small, read, shared_folder, text_of, write_table
-from foliowork.llm.shingles import shingle_sets
+from foliowork.llm.shingles import by_bytes, shingle_sets
 
 COORDINATES, MATCHES = 64, 30
 PREFIX = COORDINATES - MATCHES + 1
 #: Posted values that get a rank by their count: at most so many, with so many documents at least. Others count as rare.
 RANKED, RANKED_FROM = 500_000, 16
-#: Rows of a posting, and shingles of a candidate group, that one block holds.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 100_000
+#: Rows of a posting, and shingles of their sets, that one block holds; pairs that one array step compares.
+BLOCK_ROWS, BLOCK_SHINGLES, PAIRS = 512, 400_000, 1 << 15
 SIMILAR = 75
 
 _MULTIPLIERS = np.random.default_rng(64).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,8 +53,7 @@ def signature(one: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, n, digest, signature); without words the digest and the signature are null."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for part in by_bytes(batch, 1):
             sets = shingle_sets(*_texts(part.column(1)))
             n = pa.array([len(x) for x in sets], type=pa.int64())
             digest = pa.array([hashlib.md5(x.tobytes()).hexdigest() if len(x) else None for x in sets], type=pa.string())
@@ -70,21 +70,27 @@ def _keys(signatures: np.ndarray) -> np.ndarray:
     return signatures.astype(np.int64) | (np.arange(COORDINATES, dtype=np.int64) << 32)
 
 
+def _counts(keys: np.ndarray, order) -> np.ndarray:
+    """How many classes are posted under each key, as far as it is among the ranked ones; else 0."""
+    known, counts = order.value
+    if not len(known):
+        return np.zeros(keys.shape, dtype=np.int64)
+    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[place] == keys, counts[place], 0)
+
+
 def _post(first: int, order) -> Callable:
-    """(v, signature) to (key, v) rows: the `first` keys of every class, in the common order."""
+    """(v, n, signature) to (key, v, n) rows: the `first` keys of every class, in the common order: by count, then coordinate."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = order.value if order is not None else (None, None)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                keys = _keys(_values(part.column(1)))
-                if known is not None and len(known):
-                    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    count = np.where(known[place] == keys, counts[place], 0)
-                    keys = np.take_along_axis(keys, np.argsort(count, axis=1, kind="stable"), axis=1)
+                keys = _keys(_values(part.column(2)))
+                if order is not None:
+                    keys = np.take_along_axis(keys, np.argsort(_counts(keys, order), axis=1, kind="stable"), axis=1)
                 take = pa.array(np.repeat(np.arange(len(keys)), first))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, :first].ravel()), part.column(0).take(take)], names=["key", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, :first].ravel()), part.column(0).take(take), part.column(1).take(take)], names=["key", "v", "n"])
 
     return task
 
@@ -101,64 +107,90 @@ def spanning(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _by_group(inner: Callable[[pa.RecordBatch], tuple[list, list]]) -> Callable:
-    """Runs of equal (group, left, right) in sorted rows, given whole to `inner`, which returns edges."""
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Whether each row differs from the one before in (group, left, right)."""
+    change = np.ones(batch.num_rows, dtype=bool)
+    change[1:] = False
+    for k in range(3):
+        x = batch.column(k)
+        change[1:] |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+    return change
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        kind = None
 
-        def flush(rows: list[pa.RecordBatch]):
-            a, b = inner(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
-            return pa.RecordBatch.from_arrays([pa.array(a, type=kind), pa.array(b, type=kind)], names=["a", "b"])
+def _whole_groups(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows again, in batches of whole groups with `enough` rows or more."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
 
-        def key(batch: pa.RecordBatch, row: int) -> list:
-            return [batch.column(k)[row].as_py() for k in range(3)]
+    def key(batch: pa.RecordBatch, row: int) -> list:
+        return [batch.column(k)[row].as_py() for k in range(3)]
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind = batch.schema.field("v").type
-            change = np.zeros(batch.num_rows, dtype=bool)
-            for k in range(3):
-                x = batch.column(k)
-                change[1:] |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
-            cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
-            if held and key(held[-1], held[-1].num_rows - 1) != key(batch, 0):
-                yield flush(held)
-                held = []
-            at = 0
-            for cut in cuts[:-1]:
-                yield flush([*held, batch.slice(at, cut - at)])
-                held, at = [], cut
-            held.append(batch.slice(at))
-        if held:
-            yield flush(held)
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches([x for x in parts if x.num_rows]).combine_chunks().to_batches()[0]
 
-    return task
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change, done = _starts(batch), 0
+        change[0] = bool(held) and key(held[-1], held[-1].num_rows - 1) != key(batch, 0)
+        for cut in np.flatnonzero(change).tolist():
+            if rows + cut - done >= enough:
+                yield joined([*held, batch.slice(done, cut - done)])
+                held, rows, done = [], 0, cut
+        held.append(batch.slice(done))
+        rows += batch.num_rows - done
+    if rows:
+        yield joined(held)
+
+
+def _edges(v: pa.Array, label: np.ndarray) -> list[pa.Array]:
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return [v.take(pa.array(moved)), v.take(pa.array(label[moved]))]
+
+
+def colliding(keys: np.ndarray, group: np.ndarray, signatures: np.ndarray, order) -> np.ndarray:
+    """Whether each row is in a pair of its group that has MATCHES collisions or more and belongs to the group's key."""
+    n = len(group)
+    ends = np.repeat(np.append(np.flatnonzero(group)[1:], n), np.diff(np.append(np.flatnonzero(group), n)))
+    later = ends - np.arange(n) - 1
+    total, found, at = np.cumsum(later), np.zeros(n, dtype=bool), 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
+        own = later[at:stop]
+        a = np.repeat(np.arange(at, stop), own)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
+        agree = np.take(signatures, a, axis=0) == np.take(signatures, b, axis=0)
+        lanes = agree.view(np.uint64).sum(axis=1)  # eight sums of at most eight in one number
+        near = np.flatnonzero((lanes * np.uint64(0x0101010101010101)) >> np.uint64(56) >= MATCHES)
+        if len(near):
+            shared = _counts(_keys(signatures[a[near]]), order)
+            first = np.where(agree[near], shared, np.iinfo(np.int64).max).argmin(axis=1)
+            near = near[first == keys[a[near]] >> 32]
+            found[a[near]] = found[b[near]] = True
+        at = stop
+    return found
+
+
+def _candidates(order) -> Callable:
+    """(group, left, right, v, signature) to the (group, left, right, v) whose whole sets are to be compared."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, 2048):
+            found = colliding(batch.column(0).to_numpy(), _starts(batch), _values(batch.column(4)), order)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(found))
 
-def _edges(v: pa.Array, label: np.ndarray) -> tuple[list, list]:
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    return v.take(pa.array(moved)).to_pylist(), v.take(pa.array(label[moved])).to_pylist()
+    return task
 
 
-def _collisions(batch: pa.RecordBatch) -> tuple[list, list]:
-    """Rows of one block pair of a posting whose signatures agree in MATCHES coordinates or more."""
-    v, signatures = batch.column(3), _values(batch.column(4))
-    if len(v) < 2:
-        return [], []
-    counts = np.zeros((len(v), len(v)), dtype=np.uint8)
-    for k in range(COORDINATES):
-        counts += signatures[:, k][:, None] == signatures[:, k][None, :]
-    return _edges(v, spanning(counts >= MATCHES))
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, left, right, v, data) to links. Small groups are compared together: a link across them is one, too."""
+    for batch in _whole_groups(batches, 64):
+        yield pa.RecordBatch.from_arrays(_confirm(batch), names=["a", "b"])
 
 
-def _confirm(batch: pa.RecordBatch) -> tuple[list, list]:
-    """Rows of one block pair of a candidate group whose whole shingle sets are similar enough."""
+def _confirm(batch: pa.RecordBatch) -> list[pa.Array]:
+    """A spanning forest of the rows whose whole shingle sets are similar enough."""
     v = batch.column(3)
-    if len(v) < 2:
-        return [], []
     sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(4).to_pylist()]
     size = np.array([len(x) for x in sets])
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -180,18 +212,8 @@ def _confirm(batch: pa.RecordBatch) -> tuple[list, list]:
     return _edges(v, spanning(linked))
 
 
-def _in_blocks(rows: DataFrame, group: str, blocks: str) -> DataFrame:
-    """Each row once for every pair of blocks that its own block takes part in; one block is one pair."""
-    own = F.pmod(F.xxhash64("v"), F.col(blocks))
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
-    pair = [F.col(group).alias("group"), F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right")]
-    return dealt.select(*pair, "v", "data")
-
-
-def _link(rows: DataFrame, group: str, blocks: str, inner: Callable) -> DataFrame:
-    dealt = _in_blocks(rows, group, blocks).repartition("group", "left", "right").sortWithinPartitions("group", "left", "right", "v")
-    kind = rows.schema["v"].dataType
-    return dealt.mapInArrow(_by_group(inner), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+def _in_order(rows: DataFrame, inner: Callable, schema) -> DataFrame:
+    return rows.repartition("group", "left", "right").sortWithinPartitions("group", "left", "right", "v").mapInArrow(inner, schema)
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -212,26 +234,27 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     named = signed.filter("digest is not null and id is not null")
     classes = write_table(named.groupBy("digest").agg(F.min("id").alias("v"), F.first("n").alias("n"), F.first("signature").alias("signature")), f"{folder}/classes")
 
-    posted = T.StructType([T.StructField("key", T.LongType()), T.StructField("v", kind)])
-    every = classes.select("v", "signature").mapInArrow(_post(COORDINATES, None), posted)
+    posted = T.StructType([T.StructField("key", T.LongType()), T.StructField("v", kind), T.StructField("n", T.LongType())])
+    every = classes.select("v", "n", "signature").mapInArrow(_post(COORDINATES, None), posted)
     top = every.groupBy("key").count().filter(F.col("count") >= RANKED_FROM).orderBy(F.desc("count"), "key").limit(RANKED).toPandas().sort_values("key")
     order = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["count"].to_numpy(np.int64)))
-    posts = classes.select("v", "signature").mapInArrow(_post(PREFIX, order), posted)
+    posts = classes.select("v", "n", "signature").mapInArrow(_post(PREFIX, order), posted)
     path = f"{folder}/shared-keys"
-    shared = write_table(posts.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1"), path)
-    posts = posts.join(broadcast_if_small(shared, path), "key").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
-    candidates = _link(posts.join(classes.select("v", F.col("signature").alias("data")), "v"), "key", "blocks", _collisions)
-    groups = connected_components(candidates, f"{folder}/candidates")
-    groups = groups.unionByName(groups.select(F.col("root").alias("v"), "root").distinct())
-
-    sized = groups.join(classes.select("v", "n", "digest"), "v")
-    weight = sized.groupBy("root").agg(F.sum("n").alias("weight"), F.count("*").alias("rows"))
-    blocks = F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("rows") / BLOCK_ROWS))
-    path = f"{folder}/grouped"
-    grouped = write_table(sized.join(weight.select("root", blocks.alias("blocks")), "root").select("v", "root", "digest", "blocks"), path)
-    sets = texts.join(broadcast_if_small(grouped.select(F.col("v").alias("id"), "root", "digest", "blocks"), path), "id")
-    sets = sets.select("id", "root", "digest", "blocks", "text").mapInArrow(_data, T.StructType([T.StructField("v", kind), T.StructField("root", kind)]).add("blocks", "long").add("data", "binary"))
-    links = _link(sets, "root", "blocks", _confirm)
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    shared = write_table(posts.groupBy("key").agg(F.count("*").alias("rows"), blocks).filter("rows > 1").select("key", "blocks"), path)
+    # Each row once for every pair of blocks of its posting that its own block takes part in; one block is one pair.
+    own = F.pmod(F.xxhash64("v"), F.col("blocks"))
+    dealt = posts.select("key", "v").join(broadcast_if_small(shared, path), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    place = [F.col("key").alias("group"), F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right")]
+    where = T.StructType([T.StructField(c, T.LongType()) for c in ("group", "left", "right")]).add("v", kind)
+    signatures = classes.select("v", F.col("signature").alias("data"))
+    candidates = write_table(_in_order(dealt.join(signatures, "v").select(*place, "v", "data"), _candidates(order), where), f"{folder}/candidates")
+
+    needed = candidates.groupBy("v").agg(F.collect_list(F.struct("group", "left", "right")).alias("needed")).join(classes.select("v", "digest"), "v")
+    path = f"{folder}/needed"
+    needed = broadcast_if_small(write_table(needed, path), path, 1 << 20)
+    sets = texts.join(needed, texts["id"] == needed["v"]).select("v", "needed", "digest", "text").mapInArrow(_data, T.StructType([*where.fields, T.StructField("data", T.BinaryType())]))
+    links = _in_order(sets, _links, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
     joined = connected_components(links, f"{folder}/links")
 
     path = f"{folder}/components"
@@ -242,21 +265,29 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def _data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of (id, root, digest, blocks, text); rows whose set isn't the class's, by a repeated id, go."""
+    """(v, needed, digest, text) to shingle sets where they are needed; rows whose set isn't the class's, by a repeated id, go."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            sets = [x.tobytes() for x in shingle_sets(*_texts(part.column(4)))]
-            own = [k for k, (x, d) in enumerate(zip(sets, part.column(2).to_pylist(), strict=True)) if hashlib.md5(x).hexdigest() == d]
-            rows = pa.array(own, type=pa.int64())
-            columns = [part.column(0).take(rows), part.column(1).take(rows), part.column(3).take(rows), pa.array([sets[k] for k in own], type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["v", "root", "blocks", "data"])
+        for part in by_bytes(batch, 3):
+            sets = [x.tobytes() for x in shingle_sets(*_texts(part.column(3)))]
+            keep = np.array([hashlib.md5(x).hexdigest() == d for x, d in zip(sets, part.column(2).to_pylist(), strict=True)])
+            needed = part.column(1)
+            row = np.repeat(np.arange(len(sets)), np.diff(needed.offsets.to_numpy()))
+            places = [x.filter(pa.array(keep[row])) for x in needed.flatten().flatten()]
+            row = row[keep[row]]
+            for at in range(0, len(row), 256):
+                own = row[at : at + 256]
+                data = pa.array([sets[k] for k in own.tolist()], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([*(x.slice(at, 256) for x in places), part.column(0).take(pa.array(own)), data], names=["group", "left", "right", "v", "data"])
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: one of each component, that of the smallest id, and rows without an id."""
-    kept = near_groups(docs, id_column, text_column).filter("kept").select(F.col(id_column).alias("_kept"))
-    return docs.join(kept, docs[id_column].eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of `docs` that stay: one of each component, that of the smallest id, and rows without an id.
+
+    Repeated rows of an id that stays all stay. Other columns pass through, whatever their names.
+    """
+    kept = near_groups(docs, id_column, text_column).filter("kept").select(id_column)
+    own, its = docs.alias("own"), kept.alias("its")
+    return own.join(its, F.col(f"own.`{id_column}`").eqNullSafe(F.col(f"its.`{id_column}`")), "left_semi")
 
 
 def op5_minhash_near_dup(spark, sf_dir):

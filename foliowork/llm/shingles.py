@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 WORDS = 5
 #: A random value for every byte; A-Z share the values of a-z.
@@ -13,6 +16,17 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes in a text column; a longer text is a slice of its own."""
+    texts = batch.column(column).cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
