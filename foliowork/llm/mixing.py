@@ -1,14 +1,18 @@
-"""Mixing sources to target weights with Sainte-Lague quotas of equal-token blocks.
-
-Every source has a target in words. Inside a source, documents are dealt into shards by a seeded hash. Blocks are seats:
-a source's house has its blocks times target over words, and a shard's seats are the difference of the rounded running
-sums after and before it, so that a source's seats add up to its house and each shard is within one seat of its part,
-a short block counting by its real size. The sums run over one small row for each shard. In a shard the documents lie end to end in seeded order; the quota is taken as whole passes over the shard plus evenly spread
-blocks from a seeded start.
+"""Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
+
+Every source has a target in words. Blocks are seats: the house has as many as the targets ask for, a source's last, short
+block counting by its real size. Seats go to the highest quotients of vote / (2 * seats + 1), to sources by the blocks that
+they are due, and inside a source to shards, into which documents are dealt by a seeded hash, by their blocks. No party
+takes more than twice its blocks. As sources and shards can be very many, both are apportioned in two steps, first to groups
+of about FAN of them and then inside each group, so that no task ranks more than a few thousand small rows. In a shard
+the documents lie end to end in seeded order; the quota is taken as whole passes over the shard plus evenly spread blocks
+from a seeded start.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,32 +24,96 @@ LIMIT = 2
 BLOCK = 32
 SHARD_ROWS = 128
 SEED = "mix-1"
+#: Sources or shards of one group, and the fixed point of votes: whole numbers add up alike in every order.
+FAN, POINT = 1024, 1 << 16
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, limit: float = LIMIT) -> DataFrame:
-    """(source, source_size, rows, target): one row per source, from (source, size).
+def source_targets(sizes: DataFrame, folder: str, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, limit: float = LIMIT) -> DataFrame:
+    """(place, source, source_size, rows, target): one row per source, from (source, size), written to `folder`.
 
     Sources by code point, null last, have the weights in turn and share `budget` times all words. A source stops at
-    `limit` times its own; the excess goes to the others by weight until none is above. That is one common level per
-    weight: in order of the level at which they stop, sources stop while all fit at that level.
+    `limit` times its own; the excess goes to the others by weight until none is above. Each round of that is one aggregate.
     """
-    every, by_level = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("level", "place")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    placed = totals.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1)
-    turn = F.array(*(F.lit(float(w)) for w in weights))
-    level = (
-        placed.withColumn("weight", F.get(turn, F.pmod("place", F.lit(len(weights)))))
-        .withColumn("most", limit * F.col("source_size"))
-        .withColumn("level", F.col("most") / F.col("weight"))
-        .withColumn("all", budget * F.sum("source_size").over(every))
-        .withColumn("before", F.coalesce(F.sum("most").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("from_here", F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("stops", F.col("before") + F.col("level") * F.col("from_here") <= F.col("all"))
-    )
-    free = F.col("all") - F.sum(F.when(F.col("stops"), F.col("most")).otherwise(0.0)).over(every)
-    share = F.sum(F.when(~F.col("stops"), F.col("weight"))).over(every)
-    target = F.when(F.col("stops"), F.col("most")).otherwise(free * F.col("weight") / share)
-    return level.select("source", "source_size", "rows", target.cast("double").alias("target"))
+    # Ids in sorted order have the partition above bit 33: with the rows of the partitions before, they are places.
+    ordered = write_table(totals.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), f"{folder}/ordered")
+    before, rows = {}, 0
+    for part, n in sorted(map(tuple, ordered.groupBy(F.shiftright("at", 33).alias("part")).count().collect())):
+        before[part], rows = rows, rows + n
+    skipped = F.get(F.array(*(F.lit(before.get(k, 0)) for k in range(max(before, default=0) + 1))), F.shiftright("at", 33).cast("int"))
+    place = (skipped + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(place, F.lit(len(weights))).cast("int"))
+    placed = ordered.select(place.alias("place"), "source", "source_size", "rows", weight.alias("weight"), (limit * F.col("source_size")).cast("double").alias("most"))
+    placed = write_table(placed, f"{folder}/placed")
+    free, share, level, stopped = 0.0, 1.0, -1.0, -1
+    while True:
+        stops = F.col("most") < level * F.col("weight")
+        one = placed.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(stops, F.col("most"))).alias("most"), F.sum(F.when(~stops, F.col("weight"))).alias("share"), F.count_if(stops).alias("stopped")
+        ).first()
+        if one["stopped"] == stopped or not one["share"]:
+            break
+        free, share, stopped = budget * one["all"] - (one["most"] or 0.0), one["share"], one["stopped"]
+        level = free / share
+    target = F.least("most", F.lit(free) * F.col("weight") / F.lit(share))
+    return write_table(placed.select("place", "source", "source_size", "rows", target.alias("target")), f"{folder}/targets")
+
+
+def sainte_lague(votes: np.ndarray, most: np.ndarray, house: int) -> np.ndarray:
+    """Seats of each party: the `house` highest quotients of vote / (2 * seats + 1), no party above its `most`.
+
+    A divisor by which almost all seats are given is found by halving; the last ones go to the highest quotients. Of equal quotients the earlier party's comes first. Parties without votes get none.
+    """
+    votes, most = votes.astype(np.float64), np.where(votes > 0, most, 0).astype(np.int64)
+    if house >= most.sum():
+        return most
+
+    def at(divisor: float) -> np.ndarray:
+        return np.minimum(most, np.floor(votes / divisor + 0.5)).astype(np.int64)
+
+    low, high = 0.0, 2 * votes.max() + 1  # no seats at `high`
+    for _ in range(100):
+        middle = (low + high) / 2
+        if middle in (low, high):
+            break
+        low, high = (low, middle) if at(middle).sum() <= house else (middle, high)
+    seats = at(high)
+    # What is left goes to parties whose next quotients are equal up to the last bit of the divisor, one seat each.
+    quotient = np.where(seats < most, votes / (2 * seats + 1), -1.0)
+    seats[np.argsort(-quotient, kind="stable")[: house - int(seats.sum())]] += 1
+    return seats
+
+
+def _apportion(nodes: DataFrame, group: str) -> DataFrame:
+    """(group, node, vote, most, house) rows to (group, node, seats): each group's house among its nodes."""
+
+    def share(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        seats = sainte_lague(rows["vote"].to_numpy(), rows["most"].to_numpy(), int(rows["house"].iloc[0]))
+        return pd.DataFrame({group: rows[group], "node": rows["node"], "seats": seats})
+
+    return nodes.groupBy(group).applyInPandas(share, f"{group} long, node long, seats long")
+
+
+def shard_seats(shards: DataFrame, targets: DataFrame, folder: str) -> DataFrame:
+    """(place, shard, seats) from (place, shard, filled): the whole house to source groups, sources, shard groups and shards."""
+    due = F.when(F.col("source_size") > 0, F.round(F.col("filled") * F.col("target") / F.col("source_size") * POINT)).otherwise(0).cast("long")
+    sources = shards.groupBy("place").agg(F.sum("filled").alias("filled")).join(targets.select("place", "source_size", "target"), "place")
+    groups = -(-targets.count() // FAN)
+    sources = write_table(sources.select(F.pmod("place", F.lit(max(groups, 1))).alias("bucket"), F.col("place").alias("node"), due.alias("vote"), (LIMIT * F.col("filled")).alias("most")), f"{folder}/sources")
+    buckets = sources.groupBy(F.col("bucket").alias("node")).agg(F.sum("vote").alias("vote"), F.sum("most").alias("most"))
+    house = ((sources.agg(F.sum("vote")).first()[0] or 0) + POINT // 2) // POINT
+    seats = _apportion(buckets.withColumns({"every": F.lit(0).cast("long"), "house": F.lit(house).cast("long")}), "every")
+    seats = _apportion(sources.join(seats.select(F.col("node").alias("bucket"), F.col("seats").alias("house")), "bucket"), "bucket")
+    seats = write_table(seats.select(F.col("node").alias("place"), F.col("seats").alias("house")), f"{folder}/source-seats")
+    parts = shards.groupBy("place", F.floor(F.col("shard") / FAN).alias("node")).agg(F.sum("filled").alias("vote")).withColumn("most", LIMIT * F.col("vote"))
+    seats = _apportion(parts.join(broadcast_if_small(seats, f"{folder}/source-seats"), "place"), "place")
+    # One number for a group of shards: the place above, the group below bit 31.
+    group = (F.shiftleft("place", 31) + F.floor(F.col("shard") / FAN)).alias("part")
+    of_part = seats.select((F.shiftleft("place", 31) + F.col("node")).alias("part"), F.col("seats").alias("house"))
+    nodes = shards.select(group, F.col("shard").alias("node"), F.col("filled").alias("vote"), (LIMIT * F.col("filled")).alias("most"))
+    given = _apportion(nodes.join(of_part, "part"), "part")
+    return given.select(F.shiftright("part", 31).alias("place"), F.col("node").alias("shard"), "seats")
 
 
 def _chosen(b: Column, quota: Column, blocks: Column, start: Column) -> Column:
@@ -74,7 +142,7 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", source_column: str = "s
     carried = [docs[c].alias(f"_{c}") for c in carry]
     rows = docs.select(docs[id_column].alias("id"), docs[source_column].cast("string").alias("source"), F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long").alias("size"), *carried)
     sizes = write_table(rows.select("id", "source", "size"), f"{folder}/sizes")
-    targets = write_table(source_targets(sizes.select("source", "size")).coalesce(1), f"{folder}/targets")
+    targets = broadcast_if_small(source_targets(sizes.select("source", "size"), folder), f"{folder}/targets")
 
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     number = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
@@ -87,24 +155,17 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", source_column: str = "s
             .withColumn("shard", F.pmod(number, F.ceil(F.col("rows") / SHARD_ROWS)))
         )
 
-    def house(blocks: Column) -> Column:
-        return F.floor(F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0) + 0.5)
-
-    filled = F.ceil(F.col("words") / block)
-    upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shards = (
-        deal(sizes).groupBy("source", "source_size", "target", "shard").agg(F.sum("size").alias("words"))
-        .withColumn("upto", F.sum(filled).over(upto))
-        .select(F.col("source").alias("of"), F.col("shard").alias("of_shard"), F.greatest(filled, F.lit(1)).alias("blocks"), (house(F.col("upto")) - house(F.col("upto") - filled)).alias("due"))
-    )
-    shards = broadcast_if_small(write_table(shards, f"{folder}/shards"), f"{folder}/shards")
-    dealt = deal(rows if carry else sizes).join(shards, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("of_shard")), "left").drop("of", "of_shard")
-    shard = Window.partitionBy("source", "shard")
+    filled = F.ceil(F.sum("size") / block).alias("filled")
+    shards = write_table(deal(sizes).groupBy("place", "shard").agg(filled), f"{folder}/filled")
+    due = shards.join(shard_seats(shards, targets, folder), ["place", "shard"])
+    due = due.select(F.col("place").alias("of"), F.col("shard").alias("of_shard"), F.greatest("filled", F.lit(1)).alias("blocks"), "seats")
+    shards = broadcast_if_small(write_table(due, f"{folder}/shards"), f"{folder}/shards")
+    dealt = deal(rows if carry else sizes).join(shards, (F.col("place") == F.col("of")) & (F.col("shard") == F.col("of_shard")), "left").drop("of", "of_shard")
+    shard = Window.partitionBy("place", "shard")
     order = shard.orderBy("digest", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("source"), F.col("shard"))), 1, 8), 16, 10).cast("long")
     planned = (
         dealt.withColumn("first", F.sum("size").over(order) - F.col("size"))
-        .withColumn("seats", F.least(F.col("due"), LIMIT * F.col("blocks")))
         .withColumn("passes", F.floor(F.col("seats") / F.col("blocks")))
         .withColumn("quota", F.col("seats") - F.col("passes") * F.col("blocks"))
         .withColumn("start", F.pmod(start, F.col("blocks")))

@@ -7,6 +7,7 @@ import os
 import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -75,6 +76,40 @@ def test_small_sources_and_short_texts_reach_their_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK for s in "de")
 
 
+def highest_quotients(votes, most, house):
+    """The rule itself, seat by seat; of equal quotients the earlier party's."""
+    seats = [0] * len(votes)
+    for _ in range(house):
+        open_ = [i for i in range(len(votes)) if votes[i] and seats[i] < most[i]]
+        if open_:
+            seats[max(open_, key=lambda i: (Fraction(votes[i], 2 * seats[i] + 1), -i))] += 1
+    return seats
+
+
+def test_seats_go_to_the_highest_quotients():
+    draw = random.Random(9)
+    for _ in range(300):
+        n = draw.randint(1, 12)
+        votes = [draw.choice([0, 1, 7, 7, 49, 50, draw.randint(1, 3000)]) for _ in range(n)]
+        most = [draw.choice([0, 1, 2, 5, 1000]) for _ in range(n)]
+        house = draw.choice([0, 1, 5, 60, sum(most) // 2])
+        house = min(house, 400)
+        assert mixing.sainte_lague(np.array(votes), np.array(most), house).tolist() == highest_quotients(votes, most, house)
+
+
+def test_many_sources_and_shards_are_apportioned_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", 4)
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 3)
+    rows = words({f"s{k:02d}": 3 + k for k in range(30)} | {"hot": 300})
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix_plan(docs(spark, rows)).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= max(0.02 * t, 4 * mixing.BLOCK) for s, t in target.items())
+    assert abs(sum(taken.values()) - sum(target.values())) < 0.01 * sum(target.values())
+    assert target == pytest.approx(level_targets({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in target}))
+
+
 def test_mixed_texts_have_the_words_that_were_taken(spark):
     rows = words({"b": 80, "a": 20, None: 30})
     plan = {r.doc_id: r.taken for r in mixing.mix_plan(docs(spark, rows)).collect()}
