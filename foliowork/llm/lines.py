@@ -1,17 +1,19 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table of (key, n): the hash of a line's key and the number of documents of some batches that hold it,
-sorted by hash inside hash partitions. A new batch is merge-anti-joined with the settled keys, those already found
-in enough documents, and what is left becomes a run of level 0. When a level has `fan_in` runs they are merged into
-one run of the next level; keys that reach the threshold on the way are settled and leave the runs.
+A run is a table of (key, n): the hash of a line's key and the number of documents of some batches that hold it, in
+buckets by hash and sorted inside them, so that runs are merged and anti-joined as they lie, without a shuffle. A new
+batch is merge-anti-joined with the keys of the runs that are already in enough documents, and what is left becomes a run
+of level 0. When a level has `fan_in` runs they are merged into one run of the next.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliowork.llm.shared import SPACES, ascii_lower, broadcast_if_small, drop_folder, read, shared_folder, text_of, write_table
+from foliowork.llm.shared import SPACES, ascii_lower, broadcast_if_small, drop_folder, read, shared_folder, text_of, whole_row, write_table, written
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -21,66 +23,82 @@ FAN_IN = 2
 def _keys(text: Column) -> Column:
     """Hashes of the keys of a text's lines, in order; null for an empty key. 128 bits tell keys apart."""
     stripped = F.transform(F.split(ascii_lower(text), "\n", -1), lambda x: F.trim(x, F.lit(SPACES)))
-    return F.transform(stripped, lambda x: F.when(x != "", F.md5(x)))
+    return F.transform(stripped, lambda x: F.when(x != "", F.unhex(F.md5(x))))
 
 
 class LineRuns:
-    """The levelled store. Its tables lie in the folder that driver and executors share."""
+    """The levelled store in a folder that driver and executors share; opened again on the folder, it goes on.
+
+    A run's folder is named run-LEVEL-NUMBER-BUCKETS. Merging takes all runs below the new one's level, so a run stands for all
+    runs of lower levels and numbers: those that a lost driver left behind are passed over.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN):
         self.spark, self.folder, self.min_docs, self.fan_in = spark, folder, min_docs, fan_in
-        self.levels: list[list[str]] = [[]]
-        self.settled_paths: list[str] = []
-        self._written = 0
+        found = [tuple(map(int, name.split("-")[1:])) for name in written(spark, folder) if name.startswith("run-")]
+        found = [x for x in found if not any(y[0] > x[0] and y[1] > x[1] for y in found)]
+        self.buckets = found[0][2] if found else int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.number = max((x[1] for x in found), default=0)
+        self.levels: list[list[tuple[str, str]]] = [[] for _ in range(max((x[0] for x in found), default=0) + 1)]
+        for level, number, _ in sorted(found, key=lambda x: x[1]):
+            table, path = f"foliowork_run_{uuid.uuid4().hex}", f"{folder}/run-{level}-{number}-{self.buckets}"
+            spark.sql(f"CREATE TABLE {table} (key BINARY, n BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.levels[level].append((table, path))
+
+    def _write(self, run: DataFrame, level: int) -> None:
+        self.number += 1
+        table, path = f"foliowork_run_{uuid.uuid4().hex}", f"{self.folder}/run-{level}-{self.number}-{self.buckets}"
+        run.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(table)
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append((table, path))
 
-    def _path(self) -> str:
-        self._written += 1
-        return f"{self.folder}/run-{self._written}"
-
-    def settled(self) -> DataFrame:
-        """Keys known to be in at least `min_docs` documents."""
-        if not self.settled_paths:
-            return self.spark.createDataFrame([], "key string")
-        return self.spark.read.schema("key string").parquet(*self.settled_paths)
+    def _runs(self) -> list[tuple[str, str]]:
+        return [run for level in self.levels for run in level]
 
     def add(self, counts: DataFrame) -> None:
-        """Take a batch of (key, n), one row per key: what is not settled becomes a sorted run of level 0."""
-        new = counts.join(self.settled().hint("merge"), "key", "left_anti") if self.settled_paths else counts
-        path = self._path()
-        new.repartition("key").sortWithinPartitions("key").write.parquet(path)
-        self.levels[0].append(path)
-        for level in range(len(self.levels)):
-            if len(self.levels[level]) >= self.fan_in:
-                self._compact(level)
+        """Take a batch of (key, n), one row per key: what the runs do not know as repeated becomes a run of level 0."""
+        new = counts.repartition(self.buckets, "key")
+        for table, _ in self._runs():
+            new = new.join(self.spark.table(table).filter(F.col("n") >= self.min_docs).select("key").hint("merge"), "key", "left_anti")
+        self._write(new, 0)
+        level = 0
+        while len(self.levels[level]) >= self.fan_in:
+            self._compact(level)
+            level += 1
 
     def _compact(self, level: int) -> None:
-        """Merge the runs of a level into one of the next; keys that reach the threshold are settled."""
-        old, path = self.levels[level], self._path()
-        runs = self.spark.read.schema("key string, n long").parquet(*old)
-        merged = runs.groupBy("key").agg(F.sum("n").alias("n")).withColumn("settled", F.col("n") >= self.min_docs)
-        empty = merged.limit(0)
-        merged.sortWithinPartitions("key").write.partitionBy("settled").parquet(path)
-        for flag in ("true", "false"):  # a side without rows is an empty table, not a missing one
-            empty.drop("settled").write.mode("append").parquet(f"{path}/settled={flag}")
-        self.settled_paths.append(f"{path}/settled=true")
-        if len(self.levels) == level + 1:
-            self.levels.append([])
-        self.levels[level] = []
-        self.levels[level + 1].append(f"{path}/settled=false")
-        for x in old:
-            drop_folder(self.spark, x)
+        """Merge all runs up to a level, bucket by bucket, into one of the next."""
+        old = [run for runs in self.levels[: level + 1] for run in runs]
+        merged = self.spark.table(old[0][0])
+        for table, _ in old[1:]:
+            other = self.spark.table(table).withColumnRenamed("n", "more").hint("merge")
+            merged = merged.join(other, "key", "full_outer").select("key", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+        self.levels[: level + 1] = [[] for _ in range(level + 1)]
+        self._write(merged, level + 1)
+        for table, path in old:
+            self.spark.sql(f"DROP TABLE {table}")
+            drop_folder(self.spark, path)
+
+    def settled(self) -> DataFrame:
+        """Keys in at least `min_docs` documents, from all runs merged into one."""
+        if len(self._runs()) > 1:
+            self._compact(len(self.levels) - 1)
+        if not self._runs():
+            return self.spark.createDataFrame([], "key binary")
+        return self.spark.table(self._runs()[0][0]).filter(F.col("n") >= self.min_docs).select("key")
 
     def close(self) -> None:
-        """Merge all runs into one, so that every key that has reached the threshold is settled."""
-        self.levels = [[x for level in self.levels for x in level]]
-        if self.levels[0]:
-            self._compact(0)
+        """Forget the tables; the runs stay in their folder."""
+        for table, _ in self._runs():
+            self.spark.sql(f"DROP TABLE {table}")
+        self.levels = [[]]
 
 
 def count_batches(docs: DataFrame, id_column: str, text_column: str, batches: int) -> DataFrame:
     """(batch, key, n): the documents of each batch that hold a line key. One pass over the texts."""
     keys = F.array_distinct(F.array_compact(_keys(text_of(text_column))))
-    batch = F.pmod(F.xxhash64(F.col(id_column)), F.lit(batches)).cast("int").alias("batch")
+    batch = F.pmod(F.xxhash64(F.col(f"`{id_column}`")), F.lit(batches)).cast("int").alias("batch")
     return docs.select(batch, F.explode(keys).alias("key")).groupBy("batch", "key").agg(F.count("*").alias("n"))
 
 
@@ -91,33 +109,41 @@ def dedup_lines(
 
     A key is the line without white space at its ends, A-Z lower-cased; empty keys are never dropped. The table is
     taken in `batches` batches, all of which enter the runs before any line is judged; `runs` may bring the counts of
-    earlier tables. Returns all columns of `docs` with the text replaced, and n_lines, n_dropped (which replace
-    columns of those names). A null or empty text has one empty line and becomes an empty text. Repeated rows count as
-    documents of their own and get equal results; rows with a null id are handled like others; an empty table
-    gives no rows.
+    earlier tables, and keeps those of this one. Returns all columns of `docs` with the text replaced, and n_lines, n_dropped
+    (which replace columns of those names; no other name clashes). A null or empty text has one empty line and becomes an
+    empty text. Repeated rows count as documents of their own and get equal results, as do rows of one id with several
+    texts, each by its own text; rows with a null id are handled like others; an empty table gives no rows.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "line-runs")
-    runs = runs or LineRuns(spark, folder, min_docs)
+    store = runs or LineRuns(spark, f"{folder}/runs", min_docs)
     counts = write_table(count_batches(docs, id_column, text_column, batches), f"{folder}/batches", "batch")
     for k in range(batches):
-        runs.add(counts.filter(F.col("batch") == k).select("key", "n"))
-    runs.close()
+        store.add(counts.filter(F.col("batch") == k).select("key", "n"))
+    settled = write_table(store.settled(), f"{folder}/settled")
     drop_folder(spark, f"{folder}/batches")
+    if runs is None:
+        store.close()
+        drop_folder(spark, f"{folder}/runs")
 
-    settled = broadcast_if_small(runs.settled(), runs.settled_paths[-1]) if len(runs.settled_paths) == 1 else runs.settled()
-    held = docs.select(docs[id_column].alias("_id"), F.explode(F.array_distinct(F.array_compact(_keys(text_of(text_column))))).alias("key"))
-    dropped = held.join(settled, "key", "left_semi").groupBy("_id").agg(F.collect_set("key").alias("_dropped"))
-    lines = F.arrays_zip(F.split(F.col("_text"), "\n", -1).alias("line"), _keys(F.col("_text")).alias("key"))
-    kept = F.filter(lines, lambda x: F.coalesce(~F.array_contains("_dropped", x["key"]), F.lit(True)))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(whole_row(others).alias("row"), docs[id_column].alias("id"), text_of(text_column).alias("text")).withColumn("own", F.xxhash64("text"))
+    lines = rows.select("id", "own", F.posexplode(_keys(F.col("text"))).alias("place", "key")).filter("key is not null")
+    settled = broadcast_if_small(settled, f"{folder}/settled")
+    dropped = lines.join(settled, "key", "left_semi").groupBy("id", "own").agg(F.collect_set("place").alias("dropped")).withColumnsRenamed({"id": "its_id", "own": "its_own"})
+    n_lines = F.size(F.split("text", "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.coalesce("dropped", F.array().cast("array<int>")))
+    whole = F.transform(F.array(F.split("text", "\n", -1)), lambda own: F.array_join(F.transform("kept", lambda k: F.get(own, k)), "\n"))  # split once
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.get(whole, 0))
     return (
-        docs.select(*others, text_of(text_column).alias("_text"))
-        .join(dropped, docs[id_column].eqNullSafe(F.col("_id")), "left")
-        .withColumns({"_kept": kept, "n_lines": F.size(F.split(F.col("_text"), "\n", -1)).cast("long")})
-        .withColumns({text_column: F.array_join(F.col("_kept.line"), "\n"), "n_dropped": F.col("n_lines") - F.size("_kept")})
-        .select(*others, "n_lines", "n_dropped")
-    )
+        rows.join(dropped, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("own") == F.col("its_own")), "left")
+        .withColumn("n_lines", n_lines)
+        .withColumn("kept", kept)
+        .select(
+            *((text if c == text_column else F.col("row").getField(c)).alias(c) for c in others),
+            F.col("n_lines").cast("long"), (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        )
+    )
 
 
 def op1_line_dedup(spark, sf_dir):

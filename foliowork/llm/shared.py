@@ -41,6 +41,21 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def written(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables below a folder that were written to their end, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    paths = [status.getPath() for status in files.listStatus(where)]
+    return sorted(p.getName() for p in paths if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def whole_row(columns: list[str]) -> Column:
+    """Columns as one struct, so that no name of theirs can clash with a working column's."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns))
+
+
 def write_table(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Write a table and return a frame that reads it: lineage ends here and lost executors cost nothing."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)

@@ -64,13 +64,41 @@ def test_line_dedup_is_the_plain_rule(spark):
     assert any(r.n_dropped for r in rows.values())
 
 
-def test_line_runs_count_over_batches_and_compact(spark):
-    runs = LineRuns(spark, shared_folder(spark, "t"), min_docs=3, fan_in=2)
-    for texts in (["a\nb"], ["a\nc"], ["a"], ["b\nc"], ["d"]):
+def test_line_runs_count_over_batches_compact_and_open_again(spark):
+    folder = shared_folder(spark, "t")
+    runs = LineRuns(spark, folder, min_docs=3, fan_in=2)
+    for k, texts in enumerate((["a\nb"], ["a\nc"], ["a"], ["b\nc"], ["d"], ["a\nd"])):
         runs.add(count_batches(table(spark, texts), "doc_id", "text", 1).select("key", "n"))
-    assert len(runs.levels) == 3 and [len(x) for x in runs.levels] == [1, 0, 1]
+        if k == 4:
+            assert [len(x) for x in runs.levels] == [1, 0, 1]
+            runs.close()  # as if by another driver, later
+            runs = LineRuns(spark.newSession(), folder, min_docs=3, fan_in=2)
+            assert [len(x) for x in runs.levels] == [1, 0, 1]
+    counts = {bytes(r.key): r.n for r in runs.spark.table(runs.levels[2][0][0]).collect()}
+    assert counts == {hashlib.md5(x.encode()).digest(): n for x, n in (("a", 3), ("b", 2), ("c", 2))}
+    assert {bytes(r.key) for r in runs.settled().collect()} == {hashlib.md5(b"a").digest()}
+    plan = runs.spark.table(runs._runs()[0][0]).join(runs.spark.table(runs._runs()[0][0]).hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # runs meet as they lie
     runs.close()
-    assert {r.key for r in runs.settled().collect()} == {hashlib.md5(b"a").hexdigest()}
+
+
+CLASH = "doc_id long, text string, _id string, _text string, _dropped string, _kept string, id string, row string, own string, kept string, dropped string, place string, source string"
+
+
+@pytest.mark.parametrize("operator", [dedup_lines, drop_near_duplicates])
+def test_columns_pass_through_whatever_their_names(spark, operator):
+    names = [x.split()[0] for x in CLASH.split(", ")][2:]
+    df = spark.createDataFrame([(i, f"common\nown line {i} of five words", *names) for i in range(12)] + [(20, None, *names), (None, "common\nx", *names)], CLASH)
+    out = operator(df).collect()
+    assert len(out) == 14 and all([r[n] for n in names] == names for r in out)
+    if operator is dedup_lines:
+        assert {r.text for r in out} == {*(f"own line {i} of five words" for i in range(12)), "", "x"}
+
+
+def test_a_document_may_lose_very_many_lines(spark):
+    long = "\n".join(f"line {i}" for i in range(20_000))
+    rows = dedup_lines(table(spark, [long] * 10 + ["line 7\nmine"])).collect()
+    assert {(r.text, r.n_dropped) for r in rows} == {("", 20_000), ("mine", 1)}
 
 
 def test_exact_groups_are_equal_texts(spark):
