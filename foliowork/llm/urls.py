@@ -16,14 +16,17 @@ from foliowork.llm.shared import ascii_lower, read
 #: (host, path, verdict): a rule fits its host and all subdomains where the URL's path starts with the rule's.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: Labelled URLs: hosts of unwanted sites, and of ordinary ones. Every host is trained with every path.
+#: Labelled URLs: hosts of unwanted sites and of ordinary ones, paths of unwanted pages and of ordinary ones. A URL is unwanted if
+#: its host or its path is.
 BLOCK_HOSTS = (
     "cheap-pills.com", "www.cheap-pills.example", "pills-online.biz", "best-pills-shop.info", "buy-cheap-meds.com", "cheap-meds.example.org",
     "spam-farm.com", "spam-farm.example", "link-farm.info", "seo-link-farm.biz", "www.content-farm.net", "spam-links.example.com",
     "casino-bonus.com", "free-casino.example", "win-big-casino.info", "poker-bonus.biz", "bet-now.example.net", "lottery-winner.info",
     "free-money-now.biz", "get-rich-quick.com", "payday-loans.info", "cheap-loans.example.org", "replica-watches.com", "fake-bags-shop.biz",
     "adult-cams.com", "xxx-videos.example", "porn-free.info", "hot-singles.biz", "torrent-warez.net", "crack-keygen.info",
-    "free-download-crack.com", "click-here-now.biz", "doorway-pages.info", "malware-host.example",
+    "free-download-crack.com", "click-here-now.biz", "doorway-pages.info", "malware-host.example", "best-bets.biz", "free-bets-today.info",
+    "sports-bets.example.org", "casino-wins.biz", "win-casino.example", "adult-x-cams.info", "adult-xx.biz", "ads-server.biz", "ads-tracker.info",
+    "click-track.example", "ad-tracking.example.net", "popup-ads.example.com",
 )
 ALLOW_HOSTS = (
     "www.example.com", "blog.example.org", "m.example.net", "news.site.org", "docs.library.edu", "en.encyclopedia.org", "www.university.edu",
@@ -31,8 +34,14 @@ ALLOW_HOSTS = (
     "www.therin.example.com", "blog.tionsh.example.org", "m.thered.example.com", "shand.example.net", "ingen.example.com", "www.atones.org",
     "blog.ouraine.com", "m.stilling.org", "books.publisher.com", "www.hospital.org", "open-data.gov", "support.software.com", "forum.cycling.org",
     "travel-notes.com", "photo.album.net", "music.school.edu", "school.district.org", "research-lab.edu", "www.bakery.com", "farmers-market.org",
+    "web-hosting.com", "short-stories.com", "plain-text.org", "trail-maps.com", "hill-walks.edu", "green-fields.org", "railway-tracks.org", "hot-springs.com",
+    "winter-sports.com", "adult-education.edu", "old-town-hostel.com",
 )
-PATHS = ("/", "/en/12/", "/fr/345", "/de/678.html", "/es/90", "/index.html", "/about", "/2024/05/article")
+BLOCK_PATHS = (
+    "/casino/bonus", "/free-pills/", "/cheap-pills.html", "/buy-cheap-meds/now", "/xxx/videos/1", "/adult/cams", "/poker/free-bonus", "/seo/link-farm/",
+    "/warez/crack-keygen", "/get-rich-quick", "/replica-watches/sale", "/payday-loans/apply",
+)
+ALLOW_PATHS = ("", "/", "/en/12/", "/fr/345", "/de/678.html", "/es/90", "/index.html", "/about", "/2024/05/article", "/2021/10/story-of-a-town", "/docs/guide/install", "/news/city/library-opens", "/recipes/bread.html")
 
 BUCKETS = 4096
 SIZES = (3, 4)
@@ -41,7 +50,7 @@ THRESHOLD = 0.5
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host and path of a URL: after the first `://`, up to `/ ? # end`, and on up to `? # end`; else both empty."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("_url")))
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*+)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*+([^?#]*+)", 1)
@@ -50,8 +59,8 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 def split_url(df: DataFrame, url_column: str = "url") -> DataFrame:
     """The frame with `host` and `path` (which replace columns of those names)."""
-    host, path = parts(F.col("_url"))
-    return df.withColumn("_url", F.col(url_column).cast("string")).withColumns({"host": host, "path": path}).drop("_url")
+    host, path = parts(F.col(f"`{url_column}`").cast("string"))
+    return df.withColumns({"host": host, "path": path})
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -76,17 +85,23 @@ def buckets(host: Column, path: Column) -> Column:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(host, path, label): every labelled host with every path."""
-    marked = (F.struct(F.lit(h).alias("host"), F.lit(label).alias("label")) for hosts, label in ((BLOCK_HOSTS, 1.0), (ALLOW_HOSTS, 0.0)) for h in hosts)
-    hosts = spark.range(0, 1, 1, 1).select(F.inline(F.array(*marked)))
-    return hosts.withColumn("path", F.explode(F.array(*map(F.lit, PATHS))))
+    """(host, path, label): every labelled host with every labelled path."""
+
+    def marked(name: str, unwanted: tuple, ordinary: tuple) -> Column:
+        return F.array(*(F.struct(F.lit(x).alias(name), F.lit(bad).alias(f"bad_{name}")) for xs, bad in ((unwanted, True), (ordinary, False)) for x in xs))
+
+    hosts = spark.range(0, 1, 1, 1).select(F.inline(marked("host", BLOCK_HOSTS, ALLOW_HOSTS)))
+    both = hosts.select("host", "bad_host", F.inline(marked("path", BLOCK_PATHS, ALLOW_PATHS)))
+    return both.select("host", "path", (F.col("bad_host") | F.col("bad_path")).cast("double").alias("label"))
 
 
 def train(labelled: DataFrame) -> tuple[float, list[float]]:
-    """Intercept and one coefficient per bucket, from (host, path, label)."""
-    rows = labelled.coalesce(1).select("label", buckets(F.col("host"), F.col("path")).cast("array<string>").alias("grams")).cache()
+    """Intercept and one coefficient per bucket, from (host, path, label). Both labels weigh the same in all."""
+    n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    weight = F.when(F.col("label") == 1, 1.0 / n.get(1.0, 1)).otherwise(1.0 / n.get(0.0, 1)) * sum(n.values())
+    rows = labelled.coalesce(1).select("label", weight.alias("weight"), buckets(F.col("host"), F.col("path")).cast("array<string>").alias("grams")).cache()
     counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(rows)
-    model = LogisticRegression(regParam=0.01, maxIter=30, standardization=False).fit(counter.transform(rows))
+    model = LogisticRegression(weightCol="weight", regParam=0.01, maxIter=30, standardization=False).fit(counter.transform(rows))
     rows.unpersist()
     weights = [0.0] * BUCKETS
     for bucket, weight in zip(counter.vocabulary, model.coefficients, strict=True):
@@ -112,9 +127,9 @@ def filter_urls(pages: DataFrame, url_column: str = "url", rules=RULES, model: t
     model = model or train(labelled_urls(pages.sparkSession))
     split = split_url(pages, url_column)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    scored = split.withColumns({"rule": rule, "_said": verdict, "score": score(F.col("host"), F.col("path"), model)})
+    scored = split.withColumns({"rule": rule, "score": score(F.col("host"), F.col("path"), model)})
     by_model = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return scored.withColumn("verdict", F.coalesce("_said", by_model)).drop("_said")
+    return scored.withColumn("verdict", F.coalesce(verdict, by_model))
 
 
 def op3_url_filters(spark, sf_dir):
