@@ -8,12 +8,13 @@ regular expressions: the texts between matches give the positions, without a use
 
 from __future__ import annotations
 
+import uuid
 from collections import namedtuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliowork.llm.shared import read, shared_folder, text_of
+from foliowork.llm.shared import read, shared_folder, text_of, written
 
 #: kind, version, pattern, the group whose length counts, and its least length.
 Rule = namedtuple("Rule", "kind version pattern group least")
@@ -58,12 +59,16 @@ def spans(text: Column, rule: Rule) -> Column:
 
 
 class BlobLedger:
-    """A table of (blob, kind, version, spans) in a shared folder, one appended part for each scan."""
+    """A table of (blob, kind, version, spans) in a shared folder, one appended part for each scan.
+
+    The parts are those that lie in the folder, written to their end: a ledger opened there again, in any session, goes on.
+    """
 
     SCHEMA = f"blob string, kind string, version int, spans {SPAN}"
 
     def __init__(self, spark, folder: str):
-        self.spark, self.folder, self.parts = spark, folder, []
+        self.spark, self.folder = spark, folder
+        self.parts = [f"{folder}/{name}" for name in written(spark, folder) if name.startswith("part-")]
 
     def read(self) -> DataFrame:
         if not self.parts:
@@ -86,7 +91,7 @@ class BlobLedger:
             F.when(~F.array_contains(seen, f"{r.kind}@{r.version}"), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")))
             for r in rules
         ]
-        part = f"{self.folder}/part-{len(self.parts)}"
+        part = f"{self.folder}/part-{uuid.uuid4().hex}"
         blobs.select("blob", F.inline(F.array_compact(F.array(*pairs)))).write.parquet(part)
         self.parts.append(part)
 
@@ -115,7 +120,7 @@ FOUND = "array<struct<start:int,order:int,kind:string,end:int>>"
 
 def write_findings(by_blob: DataFrame, ledger: BlobLedger) -> DataFrame:
     """One row per blob with findings, written so that the join with all paths can split a blob that many share."""
-    path = f"{ledger.folder}/found-{len(ledger.parts)}"
+    path = f"{ledger.folder}/found-{uuid.uuid4().hex}"
     by_blob.select("blob", F.col("found").cast(FOUND)).write.parquet(path)
     return ledger.spark.read.schema(f"blob string, found {FOUND}").parquet(path)
 
