@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliowork.llm.shared import read, text_of
+from foliowork.llm.shingles import by_bytes
 
 WIDTH = 64
 TILE = 64
@@ -124,36 +125,38 @@ def payload_of(text: bytes) -> bytes:
 
 
 def media_columns(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", form: str = "pgm", with_files: bool = True
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", forms: tuple[str, ...] = ("pgm", "bmp"), with_files: bool = True
 ) -> DataFrame:
-    """Store every text's bytes as an image, read the stored bytes back, and compute features from what was read.
+    """Store every text's bytes as images, read the stored bytes back, and compute features from what was read.
 
-    Returns the id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature
-    (difference hash and mean), and, if asked for, `media` (the stored form) and `tile` (an NPY file). Null and
+    Every form is written and decoded; features come from the first form's samples, and the others must decode to the same.
+    Returns the id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature
+    (difference hash and mean) and form_sha256 (of all forms in order, comma-joined), and, if asked for, `media` (the first
+    form) and `tile` (an NPY file). Null and
     empty texts give one row of 64 zero samples. Equal texts give equal values; repeated rows and null ids stay;
     other columns are ignored; an empty table gives no rows. A row is held in memory as a whole, nothing more.
     """
     schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType)])
-    for name, kind in (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")):
+    for name, kind in (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("form_sha256", "string")):
         schema.add(name, kind)
     if with_files:
         schema.add("media", "binary").add("tile", "binary")
-    write, decode = WRITERS[form], READERS[form]
-
     def row(data: bytes) -> tuple:
         payload = payload_of(data)
-        media = write(np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH))
-        pixels = decode(media)
-        back = np.ascontiguousarray(pixels).tobytes()
+        stored = [WRITERS[form](np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH)) for form in forms]
+        pixels, *others = (READERS[form](x) for form, x in zip(forms, stored, strict=True))
+        if not all(np.array_equal(pixels, x) for x in others):
+            raise ValueError("the forms decode to different samples")
+        media, back = stored[0], np.ascontiguousarray(pixels).tobytes()
+        digests = [hashlib.sha256(x).hexdigest() for x in stored]
         feature = f"{difference_hash(pixels)}:{pixels.mean():.4f}"
-        values = (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+        values = (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), digests[0], feature, ",".join(digests))
         return (*values, media, npy_tile(pixels)) if with_files else values
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in by_bytes(batch, 1):
                 rows = [row(x.encode("utf-8")) for x in part.column(1).to_pylist()]
                 columns = [pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)

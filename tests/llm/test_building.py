@@ -124,12 +124,13 @@ def test_mixed_texts_have_the_words_that_were_taken(spark):
 @pytest.mark.parametrize("form", ["pgm", "bmp"])
 def test_media_round_trip(spark, form):
     texts = [None, "", "x" * 64, "é" * 77, "a" * 5000, "a" * 5000, "\0" * 3]
-    out = media.media_columns(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), form=form)
+    out = media.media_columns(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), forms=(form, "pgm" if form == "bmp" else "bmp"))
     for r in out.collect():
         raw = (texts[r.doc_id] or "").encode()
         back = np.ascontiguousarray(media.READERS[form](bytes(r.media))).tobytes()
         assert back == raw + bytes(len(back) - len(raw)) and len(back) % 64 == 0 < len(back) <= len(raw) + 64
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]))
+        assert r.form_sha256.split(",")[0] == r.media_sha256 and len(r.form_sha256) == 129
         assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(bytes(r.media)).hexdigest())
         assert np.load(io.BytesIO(bytes(r.tile))).shape == (64, 64)
     rows = {r.doc_id: r.feature for r in out.collect()}
@@ -143,6 +144,7 @@ def test_media_query_makes_the_tiles(spark, tmp_path):
     out = {r.doc_id: r for r in media.op8_media(spark, str(tmp_path)).collect()}
     for i, t in enumerate(texts):
         pixels = np.frombuffer(media.payload_of((t or "").encode()), dtype=np.uint8).reshape(-1, media.WIDTH)
+        assert out[i].form_sha256 == ",".join(hashlib.sha256(write(pixels)).hexdigest() for write in (media.write_pgm, media.write_bmp))
         assert out[i].tile_sha256 == hashlib.sha256(media.npy_tile(pixels)).hexdigest() and len(out) == len(texts)
 
 
