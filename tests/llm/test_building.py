@@ -282,3 +282,21 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     assert {r.doc_id: r.doc_tokens for r in seen[4]} == {i: len(encoded(t)) for i, t in text.items()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
     assert os.path.isdir(tmp_path)
+
+
+def test_pipeline_stages_take_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _kept string, score double, size string, first long"
+    rows = [(k, None if k % 5 == 0 else "" if k % 5 == 1 else f"line one\nwords of {k % 3} here and there", None, None if k % 2 else "s", None, "x", 9.5, "y", 3) for k in range(15)]
+    rows += [(None, "no id at all here", None, None, None, "x", 9.5, "y", 3)] * 2 + [(14, rows[14][1], *rows[14][2:])]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, table in (("odd", rows), ("empty", [])):
+        docs_now = spark.createDataFrame(table, schema)
+        for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs_now, str(tmp_path))
+            assert stage_name == "packing" or out.columns == docs_now.columns
+            out.write.parquet(f"{tmp_path}/{name}-{k}")
+            docs_now = spark.read.parquet(f"{tmp_path}/{name}-{k}")
+            assert stage_name == "packing" or all((r._kept, r.score, r["size"], r["first"]) == ("x", 9.5, "y", 3) for r in docs_now.collect())
+        assert (docs_now.count() > 0) == bool(table)
