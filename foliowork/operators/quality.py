@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliowork.functions.text import agreement, artifact_penalty, col, lines, tokens, trim_all
@@ -85,8 +85,11 @@ def quality_score(
 
 def select_best(candidates: DataFrame, by: str = "doc_id", score: str = "overall", markdown: str = "markdown", order: str = "ord") -> DataFrame:
     """One candidate of each document: the best score, then the longer text, then the first."""
-    first = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), F.desc(F.length(col(markdown))), order))
-    return candidates.withColumn("_first", first).filter("_first = 1").drop("_first")
+    length = F.length(col(markdown))
+    # The least of these is the first in order; nulls of score and length come last. Each task sends on one row of a document.
+    place = F.struct(F.col(score).isNull(), -F.col(score), length.isNull(), -length, F.col(order))
+    best = candidates.groupBy(by).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in candidates.columns)), place).alias("best"))
+    return best.select(*(F.col("best").getField(c).alias(c) for c in candidates.columns))
 
 
 def quality_select(basic: DataFrame, secondary) -> DataFrame:

@@ -147,17 +147,17 @@ def merge_lines(text: Column | str) -> Column:
     def bar_row(t: Column) -> Column:
         return F.regexp_like(t, F.lit(r"^\|.*\|"))
 
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
+    def joined(own: Column) -> Column:
+        """Every line with what parts it from the one before, which alone decides it."""
 
-    def step(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc["out"], -1)
-        goes_on = acc["open"] & (t != "") & ~bar_row(t) & ~F.regexp_like(last, F.lit("[.!?:]$"))
-        extra = (t == "") & (F.size(acc["out"]) > 0) & (last == "")
-        joined = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, t)))
-        out = F.when(goes_on, joined).when(extra, acc["out"]).otherwise(F.concat(acc["out"], F.array(t)))
-        return F.struct(out.alias("out"), ((t != "") & ~bar_row(t)).alias("open"))
-
-    return F.array_join(F.aggregate(own, zero, step)["out"], "\n")
+        def piece(t: Column, k: Column) -> Column:
+            last = F.get(own, k - 1)
+            goes_on = (t != "") & (last != "") & ~bar_row(t) & ~bar_row(last) & ~F.regexp_like(last, F.lit("[.!?:]$"))
+            return F.when(k == 0, t).when((t == "") & (last == ""), "").when(goes_on, F.concat(F.lit(" "), t)).otherwise(F.concat(F.lit("\n"), t))
+
+        return F.array_join(F.transform(own, piece), "")
+
+    return F.get(F.transform(F.array(own), joined), 0)  # the lines are cut once
 
 
 def chunk_paragraphs(text: Column | str, most: int = 3000) -> Column:

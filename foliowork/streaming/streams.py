@@ -19,6 +19,8 @@ from foliowork.operators.rules import DEFAULT_EXCLUDES, match_rules
 from foliowork.sources.readers import admission, decode_text
 
 WATERMARK = "10 minutes"
+#: Seconds without news after which a file or a job is forgotten.
+FORGET = 7 * 86400
 
 
 def watch(spark: SparkSession, path: str, include: str = "", exclude: str = DEFAULT_EXCLUDES, per_trigger: int = 1000) -> DataFrame:
@@ -36,10 +38,16 @@ def debounce(events: DataFrame, key: str, gap: str = "800 milliseconds", waterma
     return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("scan_at"), "n")
 
 
-def stable(listings: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """(folder, name, size, modified, seen_at): listing rows whose signature is that of the scan before, long enough ago."""
+def stable(listings: DataFrame, seconds: float = 1.0, forget: float = FORGET) -> DataFrame:
+    """(folder, name, size, modified, seen_at): listing rows whose signature is that of the scan before, long enough ago.
+
+    A file that no listing has named for `forget` seconds is forgotten; named again, it starts anew.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("seen_at")
         last = state.get if state.exists else None
         out = []
@@ -49,27 +57,35 @@ def stable(listings: DataFrame, seconds: float = 1.0) -> DataFrame:
                 out.append((key[0], key[1], r.size_, r.modified, r.seen_at))
             last = (int(r.size_), float(r.modified), at)
         state.update(last)
+        state.setTimeoutDuration(int(forget * 1000))
         yield pd.DataFrame(out, columns=["folder", "name", "size", "modified", "seen_at"])
 
     rows = listings.select("folder", "name", F.col("size").alias("size_"), "modified", "seen_at")
     schema = "folder string, name string, size long, modified double, seen_at timestamp"
-    return rows.groupBy("folder", "name").applyInPandasWithState(step, schema, "size long, modified double, at double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("folder", "name").applyInPandasWithState(step, schema, "size long, modified double, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def job_state(progress: DataFrame) -> DataFrame:
-    """(job_id, stage, ts) whenever a job's stage is known anew; a finished job stays, unless it is cancelled."""
+def job_state(progress: DataFrame, forget: float = FORGET) -> DataFrame:
+    """(job_id, stage, ts) whenever a job's stage is known anew; a finished job stays, unless it is cancelled.
+
+    A job without progress for `forget` seconds is forgotten, finished or not.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
         stage, at = state.get if state.exists else (None, None)
         for r in rows.itertuples():
             if stage not in FINISHED or r.stage == "cancelled":
                 stage, at = r.stage, r.ts
         state.update((stage, at))
+        state.setTimeoutDuration(int(forget * 1000))
         yield pd.DataFrame([(key[0], stage, at)], columns=["job_id", "stage", "ts"])
 
     kind = progress.schema["job_id"].dataType.simpleString()
-    return progress.groupBy("job_id").applyInPandasWithState(step, f"job_id {kind}, stage string, ts timestamp", "stage string, ts timestamp", "update", GroupStateTimeout.NoTimeout)
+    return progress.groupBy("job_id").applyInPandasWithState(step, f"job_id {kind}, stage string, ts timestamp", "stage string, ts timestamp", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stalled(progress: DataFrame, seconds: int = 60, watermark: str = "1 second") -> DataFrame:

@@ -58,6 +58,14 @@ def test_streamed_job_states_match_the_batch_form(spark, tmp_path):
     assert {(r.job_id, r.stage) for r in out} == want
 
 
+def test_streamed_listings_are_stable_after_two_scans(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    rows = [("f", "a", 5, 1.0, at(0)), ("f", "b", 5, 1.0, at(0)), ("f", "a", 5, 1.0, at(2)), ("f", "b", 6, 2.0, at(2)), ("f", "b", 6, 2.0, at(4)), ("f", "c", 1, 1.0, at(4)), ("f", "c", 1, 1.0, at(4))]
+    schema = "folder string, name string, size long, modified double, seen_at timestamp"
+    out = run(M.stable(stream(spark, rows, schema, tmp_path / "in", 1)), "append", "stable_files", tmp_path / "c").collect()
+    assert sorted((r.name, r.size, r.seen_at.second) for r in out) == [("a", 5, 2), ("b", 6, 4)]
+
+
 def test_stalls_and_debounce(spark, tmp_path):
     rows = [(1, datetime(2024, 1, 1, 0, 0, 0), 1, "processing"), (1, datetime(2024, 1, 1, 0, 2, 0), 2, "processing"), (1, datetime(2024, 1, 1, 0, 2, 10), 3, "complete")]
     schema = "job_id int, ts timestamp, seq int, stage string"
