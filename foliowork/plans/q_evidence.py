@@ -18,16 +18,16 @@ def _pages(spark, sf):
     return doc_pages(read(spark, sf, "documents"))
 
 
-_SAMPLE = f"""{PAGES}, counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS page_count FROM doc_pages),
+SAMPLE = f"""{PAGES}, counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS page_count FROM doc_pages),
  sampled AS (SELECT * FROM counted WHERE page IN (0, page_count // 2, page_count - 1))"""
 
 
-@query(f"WITH {_SAMPLE} SELECT doc_id, page, page_count FROM sampled")
+@query(f"WITH {SAMPLE} SELECT doc_id, page, page_count FROM sampled")
 def page_sampling(spark, sf):
     return E.sample_pages(_pages(spark, sf)).select("doc_id", "page", "page_count")
 
 
-_PER_PAGE = f"""own AS (SELECT doc_id, page_count, length({sql_trim('text')}) AS chars, list_filter(list_transform({sql_lines('text')}, lambda t: {sql_trim('t')}), lambda t: t <> '') AS ls FROM sampled),
+PER_PAGE = f"""own AS (SELECT doc_id, page_count, length({sql_trim('text')}) AS chars, list_filter(list_transform({sql_lines('text')}, lambda t: {sql_trim('t')}), lambda t: t <> '') AS ls FROM sampled),
  pp AS (SELECT doc_id, page_count, chars, len(ls) AS n, len(list_filter(ls, lambda t: length(t) <= 32)) AS short, len(list_filter(ls, lambda t: regexp_matches(t, '^-?\\d+(\\.\\d+)?$'))) AS num,
   len(list_filter(ls, lambda t: contains(t, '|') OR contains(t, chr(9)) OR regexp_matches(t, '\\S\\s{{2,}}\\S\\s{{2,}}\\S'))) AS tables, array_to_string(ls, ' ') AS j FROM own),
  evidence AS (SELECT doc_id, max(page_count) AS page_count, count(*) AS sampled_pages, (sum(chars) // count(*))::BIGINT AS avg_chars, (sum(n) // count(*))::BIGINT AS avg_lines,
@@ -36,7 +36,7 @@ _PER_PAGE = f"""own AS (SELECT doc_id, page_count, length({sql_trim('text')}) AS
   sum(tables)::BIGINT AS table_lines, sum(tables) >= 2 AS table_like FROM pp GROUP BY doc_id)"""
 
 
-@query(f"WITH {_SAMPLE}, {_PER_PAGE} SELECT * FROM evidence")
+@query(f"WITH {SAMPLE}, {PER_PAGE} SELECT * FROM evidence")
 def page_evidence(spark, sf):
     return E.page_evidence(E.sample_pages(_pages(spark, sf)))
 
@@ -53,7 +53,7 @@ def _full_evidence(spark, sf):
     )
 
 
-_FULL = f"""{_SAMPLE}, {_PER_PAGE}, e AS (SELECT evidence.* REPLACE (CASE WHEN doc_id % 6 = 0 THEN doc_id % 160 ELSE avg_chars END AS avg_chars), lang AS language, doc_id % 13 <> 0 AS vision, doc_id % 20 AS seen_lines, (doc_id % 10) / 10.0::DOUBLE AS seen_confidence, doc_id % 3 AS pages_with_text,
+_FULL = f"""{SAMPLE}, {PER_PAGE}, e AS (SELECT evidence.* REPLACE (CASE WHEN doc_id % 6 = 0 THEN doc_id % 160 ELSE avg_chars END AS avg_chars), lang AS language, doc_id % 13 <> 0 AS vision, doc_id % 20 AS seen_lines, (doc_id % 10) / 10.0::DOUBLE AS seen_confidence, doc_id % 3 AS pages_with_text,
  1 + (doc_id // 7) % 3 AS columns, (doc_id // 5) % 2 AS dense_pages, (doc_id % 5 = 0)::INT AS rotated, (doc_id % 7 = 0)::INT AS oversized, 0 AS rectangles, (doc_id % 4)::DOUBLE AS skew, doc_id % 11 = 0 AS mixed
  FROM evidence JOIN documents USING (doc_id)), f AS (SELECT *, avg_chars < 80 AND vision AND pages_with_text > 0 AND seen_lines > 8 AND seen_confidence > 0.35 AS is_scan, avg_lines > 45 AND short_ratio > 0.45 AS packed FROM e),
  r AS (SELECT *, CASE WHEN is_scan THEN 'visionOCR' WHEN table_like OR rtl OR columns > 1 OR dense_pages > 0 OR packed THEN 'enhanced' ELSE 'pdfKit' END AS pathway,
@@ -259,20 +259,11 @@ def stage_progress(spark, sf):
 _NOUNS, _VERBS = ("tion", "ment", "heit", "ness"), ("is", "was", "are", "be", "est")
 
 
-@query(rf"""WITH l AS (SELECT doc_id, {sql_trim("split_part(coalesce(text, ''), chr(10), 2)")} AS t FROM documents), w AS (SELECT *, list_transform({sql_tokens('lower(t)')}, lambda w: regexp_replace(w, '[^\p{{L}}]', '', 'g')) AS w FROM l),
- f AS (SELECT *, len(list_intersect(w, {list(_VERBS)})) > 0 AS verb, len(list_filter(w, lambda x: regexp_matches(x, '(tion|ment|heit|ness)$'))) > 0 AS noun FROM w),
- c AS (SELECT *, CASE WHEN t = '' THEN 0.0 ELSE least(greatest(round(0.5 + CASE WHEN noun AND NOT verb AND length(t) < 60 THEN 0.3 ELSE 0.0 END - CASE WHEN verb THEN 0.3 ELSE 0.0 END - CASE WHEN length(t) > 100 THEN 0.2 ELSE 0.0 END - CASE WHEN regexp_matches(t, '[.,]$') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(t, '^\p{{Lu}}') THEN 0.1 ELSE 0.0 END, 6), 0.0), 1.0) END::DOUBLE AS c FROM f)
- SELECT doc_id, c AS confidence, CASE WHEN t = '' THEN 0 WHEN c > 0.7 AND length(t) < 40 THEN 1 WHEN c > 0.5 AND length(t) < 80 THEN 2 ELSE 3 END::BIGINT AS level FROM c""")
-def heading_confidence(spark, sf):
-    line = F.coalesce(F.get(F.split(col("text"), "\n", -1), 1), F.lit(""))
-    return read(spark, sf, "documents").select("doc_id", R.heading_confidence(line, _NOUNS, _VERBS).alias("h")).select("doc_id", "h.*")
-
-
 @query(rf"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, line_no, {sql_trim('line')} AS t FROM (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM s)), w AS (SELECT *, list_transform({sql_tokens('lower(t)')}, lambda w: regexp_replace(w, '[^\p{{L}}]', '', 'g')) AS w FROM l),
  f AS (SELECT *, len(list_intersect(w, {list(_VERBS)})) > 0 AS verb, len(list_filter(w, lambda x: regexp_matches(x, '(tion|ment|heit|ness)$'))) > 0 AS noun FROM w),
  c AS (SELECT *, CASE WHEN t = '' THEN 0.0 ELSE least(greatest(round(0.5 + CASE WHEN noun AND NOT verb AND length(t) < 60 THEN 0.3 ELSE 0.0 END - CASE WHEN verb THEN 0.3 ELSE 0.0 END - CASE WHEN length(t) > 100 THEN 0.2 ELSE 0.0 END - CASE WHEN regexp_matches(t, '[.,]$') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(t, '^\p{{Lu}}') THEN 0.1 ELSE 0.0 END, 6), 0.0), 1.0) END::DOUBLE AS c FROM f)
  SELECT doc_id, line_no, c AS confidence, CASE WHEN t = '' THEN 0 WHEN c > 0.7 AND length(t) < 40 THEN 1 WHEN c > 0.5 AND length(t) < 80 THEN 2 ELSE 3 END::BIGINT AS level FROM c""")
-def heading_confidence_all(spark, sf):
+def heading_confidence(spark, sf):
     """Every line of a document."""
     lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split(col("text"), "\n", -1)).alias("line_no", "line"))
     return lines.select("doc_id", "line_no", R.heading_confidence("line", _NOUNS, _VERBS).alias("h")).select("doc_id", "line_no", "h.*")

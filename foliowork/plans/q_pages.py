@@ -8,9 +8,10 @@ from foliowork.functions import text as X
 from foliowork.operators import html as H
 from foliowork.operators import tables as T
 from foliowork.plans import jobs
+from foliowork.plans.q_evidence import PER_PAGE, SAMPLE
 from foliowork.plans.q_runs import _results, results
-from foliowork.plans.q_text import passage_pairs
-from foliowork.plans.tables import PAGES, book, doc_pages, read, sql_lines, sql_trim, structured
+from foliowork.plans.q_text import PAIRS, passage_pairs, sql_distance, sql_word_rates
+from foliowork.plans.tables import book, doc_pages, read, sql_lines, sql_tokens, sql_trim, structured
 from foliowork.sources import readers as R
 from foliowork.sources import sinks as K
 from foliowork.sources.scratch import scratch_folder
@@ -105,14 +106,6 @@ def modal_widths(spark, sf):
     return T.modal_width(rows, ("doc_id",))
 
 
-@query(f"SELECT doc_id AS table_id, generate_subscripts(ls, 1) - 1 AS row, unnest(ls) AS key FROM (SELECT doc_id, {sql_lines(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS ls FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM (SELECT doc_id, unnest({sql_lines(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}) AS l FROM documents) GROUP BY doc_id, l HAVING count(*) > 1)")
-def grid_stitching(spark, sf):
-    """Lines as rows, read in strips of four that overlap by two; documents without repeated lines come back whole."""
-    own = F.split(X.col("text"), "\n", -1)
-    docs = read(spark, sf, "documents").filter(F.size(F.array_distinct(own)) == F.size(own))
-    return T.stitch(line_strips(docs)).select("table_id", "row", F.get("cells", 0).alias("key"))
-
-
 def line_strips(docs):
     """(table_id, strip, rows): lines as rows, in strips of four that overlap by two."""
     rows = docs.withColumn("own", F.split(X.col("text"), "\n", -1))
@@ -120,9 +113,13 @@ def line_strips(docs):
     return rows.select(F.col("doc_id").alias("table_id"), F.posexplode(F.transform(starts, lambda s: F.transform(F.slice("own", s + 1, F.lit(4)), lambda t: F.array(t, F.upper(t))))).alias("strip", "rows"))
 
 
-@query(None)
-def grid_stitching_all(spark, sf):
-    """All documents, those with repeated lines too, of which strips may take more than the overlap away."""
+@query(f"""WITH l AS (SELECT doc_id, ls, list_transform(ls, lambda t: lower({sql_trim('t')})) AS k FROM (SELECT doc_id, {sql_lines("coalesce(text, '')")} AS ls FROM documents)),
+ s AS (SELECT doc_id, ls, k, list_transform(range(1, greatest(len(ls) - 3, 0) + 2, 2), lambda a: range(a, least(a + 3, len(ls)) + 1)) AS strips FROM l),
+ o AS (SELECT doc_id, ls, list_reduce(strips, lambda acc, x: list_concat(acc, list_slice(x, 1 + list_max(list_filter([0, 1, 2, 3, 4], lambda j: j = 0 OR (j <= len(acc) AND j <= len(x)
+  AND list_transform(list_slice(acc, len(acc) - j + 1, len(acc)), lambda i: k[i]) = list_transform(list_slice(x, 1, j), lambda i: k[i])))), len(x)))) AS places FROM s)
+ SELECT doc_id AS table_id, generate_subscripts(places, 1) - 1 AS row, ls[unnest(places)] AS key FROM o""")
+def grid_stitching(spark, sf):
+    """All documents, lines as rows; where lines repeat, strips may take more than the overlap away."""
     return T.stitch(line_strips(read(spark, sf, "documents"))).select("table_id", "row", F.get("cells", 0).alias("key"))
 
 
@@ -263,18 +260,33 @@ def convert_corpus(spark, sf):
     return jobs.convert(texts.unionByName(pages), "json").select("doc_id", "kind", "pathway", "overall", F.length("text").alias("n"), "file_ext")
 
 
-@query(f"WITH {PAGES}, c AS (SELECT doc_id, count(*) AS n FROM doc_pages GROUP BY 1) SELECT doc_id, n > 0 AS routed FROM c")
+@query(f"""WITH {SAMPLE}, {PER_PAGE}, r AS (SELECT *, avg_chars < 80 AND avg_lines > 8 AS is_scan, table_like OR rtl OR (avg_lines > 45 AND short_ratio > 0.45) AS layout FROM evidence)
+ SELECT doc_id, CASE WHEN is_scan THEN 'visionOCR' WHEN layout THEN 'enhanced' ELSE 'pdfKit' END AS pathway, CASE WHEN is_scan THEN 'scannedOrUnknown' WHEN layout THEN 'digitalComplex' ELSE 'native' END AS bucket,
+  CASE WHEN is_scan THEN 0.86 WHEN layout THEN 0.78 WHEN avg_lines <= 14 AND (numeric_ratio >= 0.35 OR axis) THEN 0.74 ELSE 0.70 END::DOUBLE AS confidence, CASE WHEN rtl THEN 'vision' ELSE 'model' END AS engine,
+  '' AS hints, CASE WHEN is_scan THEN 'ai_required' WHEN layout THEN 'ai_recommended' ELSE 'basic' END AS advice FROM r""")
 def triage_documents(spark, sf):
-    return jobs.triage(doc_pages(read(spark, sf, "documents"))).select("doc_id", F.col("pathway").isNotNull().alias("routed"))
+    return jobs.triage(doc_pages(read(spark, sf, "documents"))).withColumn("hints", F.array_join("hints", ";"))
 
 
-@query(None)
-def evaluation_run(spark, sf):
+def _evaluated(spark, sf):
+    """Neighbouring passages as outputs of an engine that is done with every fifth; the last passage has no output."""
     b = read(spark, sf, "benchmark").select(F.col("item_id").alias("key"), "text")
     outputs = passage_pairs(spark, sf).select(F.col("item_id").alias("key"), F.col("text").alias("markdown"))
     done = b.select("key", F.lit("alpha").alias("engine"), F.when(F.col("key") % 5 == 0, "ok").otherwise("timeout").alias("status"))
-    rows, _, _ = jobs.evaluate(b, outputs, done, "alpha", b.count())
-    return rows
+    return jobs.evaluate(b, outputs, done, "alpha", b.count())
+
+
+@query(None)
+def evaluation_run(spark, sf):
+    return _evaluated(spark, sf)[0]
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, p AS (SELECT b.item_id, b.reference, coalesce(x.text, '') AS text FROM b LEFT JOIN pairs x USING (item_id) WHERE b.item_id % 5 > 0 OR x.item_id IS NULL), {sql_word_rates('p')},
+ c AS (SELECT p.*, least(1.0, {sql_distance('reference', 'text')} / length(reference)) AS cer, least(1.0, wer) AS wer, list_distinct({sql_tokens('reference')}) AS rs, list_distinct({sql_tokens('text')}) AS hs FROM p JOIN word_rates USING (item_id))
+ SELECT count(*) AS total, count(*) AS successful, 0::BIGINT AS failed, avg(cer) AS avg_cer, min(cer) AS min_cer, max(cer) AS max_cer, avg(wer) AS avg_wer, avg(len(list_intersect(rs, hs)) / len(rs)) AS avg_completeness, (1 - avg(cer)) * 100 AS overall_percent FROM c""")
+def evaluation_summary(spark, sf):
+    """Error rates of what a run still had to compare."""
+    return _evaluated(spark, sf)[2]
 
 
 @query(None)

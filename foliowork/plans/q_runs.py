@@ -12,7 +12,7 @@ from foliowork.operators.rules import search_history
 from foliowork.operators.structure import structure
 from foliowork.plans.q_evidence import _STAGE, stage_column
 from foliowork.plans.q_structure import _counts, _sql_lines
-from foliowork.plans.q_text import _PAIRS, passage_pairs
+from foliowork.plans.q_text import PAIRS, passage_pairs, sql_distance, sql_word_rates
 from foliowork.plans.tables import STRUCTURED, book, read, sql_tokens, sql_trim, structured
 
 query, QUERIES, ORACLES = book()
@@ -140,30 +140,17 @@ def format_distribution(spark, sf):
 
 
 @query(f"""WITH {_results('r')}, b AS (SELECT doc_id, 'fast' AS pathway, status, blocked_reason, overall_percent FROM r WHERE doc_id % 19 > 0 UNION ALL SELECT doc_id, 'slow', CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE status END, NULL, 100 - overall_percent FROM r WHERE doc_id % 19 > 0),
- g AS (SELECT doc_id, bool_or(status = 'expected_blocked' AND blocked_reason IS NOT DISTINCT FROM 'password_required') AS pw, max(overall_percent) FILTER (status = 'scored') AS best, max_by(pathway, overall_percent) FILTER (status = 'scored') AS p FROM b GROUP BY doc_id)
- SELECT doc_id, CASE WHEN coalesce(pw, false) THEN 'password_required' WHEN best IS NULL THEN 'unsupported' WHEN best < 70 THEN 'degraded_output' ELSE 'success' END AS expected_status, CASE WHEN coalesce(pw, false) THEN 'password_required' WHEN best IS NULL THEN 'no_scored_pathway' ELSE p END AS status_source,
- CASE WHEN NOT coalesce(pw, false) THEN best END AS best_percent FROM r LEFT JOIN g USING (doc_id) WHERE best IS NULL OR best <> 50""")
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overall_percent DESC, pathway) AS k FROM b WHERE status = 'scored'), g AS (SELECT doc_id, bool_or(status = 'expected_blocked' AND blocked_reason IS NOT DISTINCT FROM 'password_required') AS pw FROM b GROUP BY doc_id)
+ SELECT r.doc_id, CASE WHEN coalesce(pw, false) THEN 'password_required' WHEN k.doc_id IS NULL THEN 'unsupported' WHEN k.overall_percent < 70 THEN 'degraded_output' ELSE 'success' END AS expected_status, CASE WHEN coalesce(pw, false) THEN 'password_required' WHEN k.doc_id IS NULL THEN 'no_scored_pathway' ELSE k.pathway END AS status_source,
+ CASE WHEN NOT coalesce(pw, false) THEN k.overall_percent END AS best_percent FROM r LEFT JOIN g ON g.doc_id = r.doc_id LEFT JOIN k ON k.doc_id = r.doc_id AND k.k = 1""")
 def expected_status(spark, sf):
-    # equal scores of both pathways are left out, since engines break such ties differently; expected_status_all has them
-    return _expected_status(spark, sf).filter("best_percent is null or best_percent <> 50")
-
-
-def _expected_status(spark, sf):
+    """All documents, those with equal scores of both pathways too."""
     r = results(spark, sf).filter(F.col("doc_id") % 19 > 0)
     fast = r.select("doc_id", F.lit("fast").alias("pathway"), "status", "blocked_reason", "overall_percent")
     slow = r.select("doc_id", F.lit("slow").alias("pathway"), F.when(F.col("doc_id") % 3 == 0, "failed").otherwise(F.col("status")).alias("status"), F.lit(None).cast("string").alias("blocked_reason"), (100 - F.col("overall_percent")).alias("overall_percent"))
     return G.expected_status(results(spark, sf), fast.unionByName(slow))
 
 
-@query(f"""WITH {_results('r')}, b AS (SELECT doc_id, 'fast' AS pathway, status, blocked_reason, overall_percent FROM r WHERE doc_id % 19 > 0 UNION ALL SELECT doc_id, 'slow', CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE status END, NULL, 100 - overall_percent FROM r WHERE doc_id % 19 > 0),
- k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overall_percent DESC, pathway) AS k FROM b WHERE status = 'scored'), g AS (SELECT doc_id, bool_or(status = 'expected_blocked' AND blocked_reason IS NOT DISTINCT FROM 'password_required') AS pw FROM b GROUP BY doc_id)
- SELECT r.doc_id, CASE WHEN coalesce(pw, false) THEN 'password_required' WHEN k.doc_id IS NULL THEN 'unsupported' WHEN k.overall_percent < 70 THEN 'degraded_output' ELSE 'success' END AS expected_status, CASE WHEN coalesce(pw, false) THEN 'password_required' WHEN k.doc_id IS NULL THEN 'no_scored_pathway' ELSE k.pathway END AS status_source,
- CASE WHEN NOT coalesce(pw, false) THEN k.overall_percent END AS best_percent FROM r LEFT JOIN g ON g.doc_id = r.doc_id LEFT JOIN k ON k.doc_id = r.doc_id AND k.k = 1""")
-def expected_status_all(spark, sf):
-    """All documents, those with equal scores of both pathways too."""
-    return _expected_status(spark, sf)
-
-
 @query(f"""WITH {_results('r')}, g AS (SELECT category AS dataset, pathway AS name, avg(overall_percent) AS o, avg(elapsed_seconds) / 50 AS c, max(overall_percent) AS h FROM r GROUP BY 1, 2), l AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY name DESC) AS n FROM g)
  SELECT dataset, greatest(75, floor(o * 0.85::DOUBLE))::BIGINT AS overall_min, least(0.10::DOUBLE, c * 1.5::DOUBLE) AS cer_max, greatest(60, floor(h * 0.9::DOUBLE))::BIGINT AS recall_min FROM l WHERE n = 1""")
 def threshold_bootstrap(spark, sf):
@@ -236,18 +223,18 @@ def side_by_side(spark, sf):
     return V.side_by_side(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), out, key, ["alpha", "beta"])
 
 
-_RATES = f"""{_PAIRS}, rates AS (SELECT item_id AS id, levenshtein(r, h) / length(r) AS cer, CASE WHEN item_id % 7 = 0 THEN 'failed' END AS error, {_complete('reference', 'text')} AS completeness FROM norm)"""
+_RATES = f"""{PAIRS}, rates AS (SELECT item_id AS id, {sql_distance('r', 'h')} / length(r) AS cer, CASE WHEN item_id % 7 = 0 THEN 'failed' END AS error, {_complete('reference', 'text')} AS completeness FROM norm)"""
 
 
 def _rates(spark, sf):
     p = passage_pairs(spark, sf).withColumnRenamed("item_id", "id")
     error = F.when(F.col("id") % 7 == 0, "failed")
-    return p.select("id", X.cer("reference", "text").alias("cer"), X.completeness("reference", "text").alias("completeness"), error.alias("error"))
+    return p.select("id", X.cer("reference", "text").alias("cer"), X.wer("reference", "text").alias("wer"), X.completeness("reference", "text").alias("completeness"), error.alias("error"))
 
 
-@query(f"WITH {_RATES} SELECT count(*) AS total, count(*) FILTER (error IS NULL) AS successful, count(*) FILTER (error IS NOT NULL) AS failed, avg(cer) FILTER (error IS NULL) AS avg_cer, min(cer) FILTER (error IS NULL) AS min_cer, max(cer) FILTER (error IS NULL) AS max_cer, avg(cer / 2) FILTER (error IS NULL) AS avg_wer, avg(completeness) FILTER (error IS NULL) AS avg_completeness, (1 - avg(cer) FILTER (error IS NULL)) * 100 AS overall_percent FROM rates")
+@query(f"WITH RECURSIVE {_RATES}, {sql_word_rates('pairs')} SELECT count(*) AS total, count(*) FILTER (error IS NULL) AS successful, count(*) FILTER (error IS NOT NULL) AS failed, avg(cer) FILTER (error IS NULL) AS avg_cer, min(cer) FILTER (error IS NULL) AS min_cer, max(cer) FILTER (error IS NULL) AS max_cer, avg(wer) FILTER (error IS NULL) AS avg_wer, avg(completeness) FILTER (error IS NULL) AS avg_completeness, (1 - avg(cer) FILTER (error IS NULL)) * 100 AS overall_percent FROM rates JOIN word_rates ON item_id = id")
 def fidelity_summary(spark, sf):
-    return V.fidelity_summary(_rates(spark, sf).withColumn("wer", F.col("cer") / 2))
+    return V.fidelity_summary(_rates(spark, sf))
 
 
 @query(f"WITH {_RATES} SELECT CASE WHEN c < 0.01 THEN 'excellent' WHEN c < 0.05 THEN 'good' WHEN c < 0.1 THEN 'fair' ELSE 'poor' END AS band, count(*) AS n FROM (SELECT cer / (1 + (id % 4) * (id % 4) * 10) AS c FROM rates) GROUP BY 1")
@@ -269,17 +256,9 @@ def answer_containment(spark, sf):
     return V.qa_hits(d.select("doc_id", F.lit("q").alias("question"), answer.alias("answer")), d).select("doc_id", "answered", "hit")
 
 
-@query("""WITH h AS (SELECT item_id % 20 AS doc_id, contains(d.text, b.text) AS hit FROM benchmark b JOIN documents d ON d.doc_id = b.item_id % 20 + 0)
- SELECT doc_id, count(*) AS qa_count, count(*) FILTER (hit) / count(*) AS hit_rate, count(*) FILTER (hit) / count(*) AS exact_rate FROM h GROUP BY doc_id""")
-def qa_summary(spark, sf):
-    b = read(spark, sf, "benchmark").select((F.col("item_id") % 20).alias("doc_id"), F.lit("q").alias("question"), F.col("text").alias("answer"))
-    d = read(spark, sf, "documents")
-    return V.qa_summary(V.qa_hits(b, d)).select("doc_id", "qa_count", "hit_rate", "exact_rate")
-
-
 @query("""WITH q AS (SELECT doc_id, lower(substr(coalesce(text, ''), 1 + (doc_id % 3) * 40, 12)) AS answer FROM documents UNION ALL SELECT doc_id, lower(substr(coalesce(text, ''), 50, 12)) || '##' FROM documents), n AS (SELECT q.doc_id, array_to_string(list_filter(string_split_regex(lower(answer), '\\s+'), lambda t: t <> ''), ' ') AS a,
  array_to_string(list_filter(string_split_regex(lower(coalesce(d.text, '')), '\\s+'), lambda t: t <> ''), ' ') AS t FROM q JOIN documents d ON d.doc_id = q.doc_id) SELECT doc_id, count(*) AS qa_count, count(*) FILTER (a <> '' AND contains(t, a)) / count(*) AS hit_rate, count(*) FILTER (a <> '' AND contains(t, a)) / count(*) AS exact_rate FROM n GROUP BY doc_id""")
-def qa_summary_all(spark, sf):
+def qa_summary(spark, sf):
     """Every document is asked for a stretch of its own text, and for one with marks behind it that it hardly has."""
     d = read(spark, sf, "documents")
     own = F.lower(F.substring(X.col("text"), 1 + (F.col("doc_id") % 3) * 40, F.lit(12)))
@@ -288,13 +267,26 @@ def qa_summary_all(spark, sf):
     return V.qa_summary(V.qa_hits(asked.select("doc_id", "question", "answer"), d)).select("doc_id", "qa_count", "hit_rate", "exact_rate")
 
 
-@query(f"""WITH p AS (SELECT b.item_id, d.doc_id, contains(d.text, b.text) AS hit FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))) SELECT item_id, count(*) AS candidates, count(*) FILTER (hit) AS holding FROM p GROUP BY item_id""")
+#: Neighbouring words of a passage by which documents that may hold it are found.
+KEY_WORDS = 5
+
+
+@query("SELECT item_id, count(*) AS holding FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def passage_containment(spark, sf):
-    opening = F.substring("text", 1, 40)
-    b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), opening.alias("opening"))
+    """Documents that hold a passage whole; they share the first five of its words that must be whole words there too.
+
+    Passages with fewer such words have no key and are looked for in every text.
+    """
+    b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+", -1).alias("w"))
     d = read(spark, sf, "documents").select("doc_id", "text")
-    pairs = d.join(F.broadcast(b), F.contains("text", "opening"))  # the passages are a small table of their own
-    return pairs.groupBy("item_id").agg(F.count("*").alias("candidates"), F.count_if(F.contains("text", "passage")).alias("holding"))
+    keyed = F.size("w") >= KEY_WORDS + 2  # the first and the last word may go on in a document
+    keys = b.filter(keyed).select("item_id", F.xxhash64(F.array_join(F.slice("w", 2, KEY_WORDS), " ")).alias("key"))
+    w = d.select("doc_id", F.split("text", r"\s+", -1).alias("w"))
+    at = F.sequence(F.lit(1), F.size("w") - KEY_WORDS + 1)
+    windows = w.filter(F.size("w") >= KEY_WORDS).select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, KEY_WORDS), " "))))).alias("key"))
+    found = windows.join(keys, "key").select("doc_id", "item_id").join(d, "doc_id").join(b.select("item_id", "passage"), "item_id")
+    short = d.join(b.filter(~keyed).select("item_id", "passage"), F.contains("text", "passage"))
+    return found.filter(F.contains("text", "passage")).select("item_id").unionAll(short.select("item_id")).groupBy("item_id").agg(F.count("*").alias("holding"))
 
 
 @query(rf"SELECT count(*) AS total, avg(c) AS avg_confidence, min(c) AS min_confidence, max(c) AS max_confidence, sum(a)::BIGINT AS artifacts, avg(a) AS avg_artifacts, avg(v) AS avg_coverage FROM (SELECT (doc_id % 100) / 100.0::DOUBLE AS c, len(regexp_extract_all(coalesce(text, ''), '[�\x{{00AD}}ﬁﬂﬀ]')) AS a, least(1.0, len({sql_tokens(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}) / 50.0) AS v FROM documents)")
@@ -315,17 +307,19 @@ def mean_similarity(spark, sf):
     return V.mean_similarity(read(spark, sf, "documents").select(F.col("source").alias("engine"), (F.col("doc_id") % 100 / 100.0).alias("sim")))
 
 
+_RUNS = f"""ch AS (SELECT doc_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM (SELECT doc_id, {sql_trim('converted')} AS t FROM structured)),
+ runs AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM ch WHERE c NOT IN ('-', '|', '=', ' ', chr(9), chr(10), chr(13))),
+ long AS (SELECT doc_id, count(*) AS n_runs FROM (SELECT doc_id, c, g FROM runs GROUP BY ALL HAVING count(*) >= 9) GROUP BY doc_id)"""
 _ART = rf"(len(regexp_extract_all({sql_trim('converted')}, '[�\x{{00AD}}]')) + len(regexp_extract_all({sql_trim('converted')}, '\n\d{{1,3}}\n')) + len(regexp_extract_all({sql_trim('converted')}, '[A-Za-z]-\s+[a-z]')))"
 
 
-@query(f"""WITH {STRUCTURED}, {_sql_lines('original', 'o')}, {_sql_lines('converted', 'c')}, a AS ({_counts('o', 't_')}), b AS ({_counts('c', 'o_')}),
- j AS (SELECT doc_id, a.*, b.*, len({sql_tokens('converted')}) / greatest(len({sql_tokens('original')}), 1) AS ratio, {sql_trim('converted')} <> '' AS ok, {_ART} AS art, converted FROM a JOIN b USING (doc_id) JOIN structured USING (doc_id))
- SELECT doc_id, (CASE WHEN t_headings = 0 THEN 1.0 ELSE least(1.0, o_headings / t_headings) END * 30 + CASE WHEN t_tables = o_tables THEN 1.0 ELSE least(t_tables, o_tables) / greatest(t_tables, o_tables, 1) END * 25 + CASE WHEN ratio BETWEEN 0.8 AND 1.2 THEN 1.0 ELSE greatest(0.0, 1 - abs(1 - ratio)) END * 30 + ok::INT * 10) AS overall_percent FROM j""")
+@query(f"""WITH {STRUCTURED}, {_RUNS}, {_sql_lines('original', 'o')}, {_sql_lines('converted', 'c')}, a AS ({_counts('o', 't_')}), b AS ({_counts('c', 'o_')}),
+ j AS (SELECT doc_id, a.*, b.*, len({sql_tokens('converted')}) / greatest(len({sql_tokens('original')}), 1) AS ratio, {sql_trim('converted')} <> '' AS ok, {_ART} + coalesce(n_runs, 0) AS art FROM a JOIN b USING (doc_id) JOIN structured USING (doc_id) LEFT JOIN long USING (doc_id))
+ SELECT doc_id, (CASE WHEN t_headings = 0 THEN 1.0 ELSE least(1.0, o_headings / t_headings) END * 30 + CASE WHEN t_tables = o_tables THEN 1.0 ELSE least(t_tables, o_tables) / greatest(t_tables, o_tables, 1) END * 25 + CASE WHEN ratio BETWEEN 0.8 AND 1.2 THEN 1.0 ELSE greatest(0.0, 1 - abs(1 - ratio)) END * 30 + ok::INT * 10 + (art = 0)::INT * 5) AS overall_percent FROM j""")
 def corpus_score(spark, sf):
     s = structured(read(spark, sf, "documents"))
     frame = s.select("doc_id", F.col("original").alias("truth"), F.col("converted").alias("text"), structure("original").alias("truth_structure"), structure("converted").alias("text_structure"))
-    clean = F.when(X.artifact_count("text") == 0, 5.0).otherwise(0.0)  # the SQL has no rule for runs of one character
-    return V.corpus_score(frame).select("doc_id", (F.col("overall_percent") - clean).alias("overall_percent"))
+    return V.corpus_score(frame).select("doc_id", "overall_percent")
 
 
 @query("SELECT key FROM (SELECT doc_id AS key FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50) ORDER BY key")
@@ -457,23 +451,13 @@ def history_merge(spark, sf):
     return J.merge_history(records(spark, sf, True), records(spark, sf, False)).select("id", F.unix_seconds("created_at").alias("stamp"), "version")
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 ORDER BY doc_id DESC")
-def newest_first(spark, sf):
-    return J.newest_first(records(spark, sf, False)).select("id")
-
-
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 AND (contains(lower(source), 'src1') OR contains(lower(coalesce(text, '')), 'src1'))")
-def history_search(spark, sf):
-    return search_history(records(spark, sf, False), " SRC1 ", columns=("title", "lang")).select("id")
-
-
 @query("SELECT doc_id AS id FROM documents ORDER BY doc_id DESC")
-def newest_first_all(spark, sf):
+def newest_first(spark, sf):
     return J.newest_first(_records(read(spark, sf, "documents"), False)).select("id")
 
 
 @query("SELECT doc_id AS id FROM documents WHERE contains(lower(source), 'src1') OR contains(lower(coalesce(text, '')), 'src1')")
-def history_search_all(spark, sf):
+def history_search(spark, sf):
     return search_history(_records(read(spark, sf, "documents"), False), " SRC1 ", columns=("title", "lang")).select("id")
 
 

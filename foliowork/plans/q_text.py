@@ -81,35 +81,45 @@ def token_overlap(spark, sf):
     )
 
 
-#: Pairs of neighbouring benchmark passages, ASCII characters only, since engines count edits in different units.
 def passage_pairs(spark, sf):
-    ascii_only = F.regexp_replace(X.col("text"), r"[^\x00-\x7F]", "")
-    b = read(spark, sf, "benchmark").select("item_id", ascii_only.alias("reference"))
+    """(item_id, reference, text): every benchmark passage with the next one."""
+    b = read(spark, sf, "benchmark").select("item_id", X.col("text").alias("reference"))
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("reference").alias("text"))
     return b.join(other, "item_id")
 
 
-_PAIRS = r"""b AS (SELECT item_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g') AS reference FROM benchmark),
+def sql_distance(a: str, b: str) -> str:
+    """Edit distance in code points. The SQL engine counts bytes, so the characters of a pair (up to 127) get one byte each."""
+    code = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c: chr(list_position(list_distinct(string_split({a} || {b}, '')), c)::INT)), '')"
+    return f"levenshtein({code(a)}, {code(b)})"
+
+
+PAIRS = r"""b AS (SELECT item_id, coalesce(text, '') AS reference FROM benchmark),
  pairs AS (SELECT x.item_id, x.reference, y.reference AS text FROM b x JOIN b y ON y.item_id = x.item_id + 1),
  norm AS (SELECT item_id, reference, text, array_to_string(list_filter(string_split_regex(reference, '\s+'), lambda t: t <> ''), ' ') AS r, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda t: t <> ''), ' ') AS h FROM pairs)"""
 
 
-@query(f"""WITH {_PAIRS} SELECT item_id, CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(r, h) / length(r) END AS cer,
- CASE WHEN length(reference) = 0 THEN CASE WHEN length(text) = 0 THEN 0.0 ELSE 1.0 END ELSE least(1.0, levenshtein(reference, text) / length(reference)) END AS capped FROM norm""")
+@query(f"""WITH {PAIRS} SELECT item_id, CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END ELSE {sql_distance('r', 'h')} / length(r) END AS cer,
+ CASE WHEN length(reference) = 0 THEN CASE WHEN length(text) = 0 THEN 0.0 ELSE 1.0 END ELSE least(1.0, {sql_distance('reference', 'text')} / length(reference)) END AS capped FROM norm""")
 def cer_pairs(spark, sf):
     return passage_pairs(spark, sf).select("item_id", X.cer("reference", "text").alias("cer"), X.cer("reference", "text", cap=True).alias("capped"))
 
 
-@query(f"""WITH {_PAIRS} SELECT item_id, CASE WHEN greatest(length(reference), length(text)) = 0 THEN 0.0 ELSE levenshtein(reference, text) / greatest(length(reference), length(text)) END AS distance FROM norm""")
+@query(f"""WITH {PAIRS} SELECT item_id, CASE WHEN greatest(length(reference), length(text)) = 0 THEN 0.0 ELSE {sql_distance('reference', 'text')} / greatest(length(reference), length(text)) END AS distance FROM norm""")
 def normalised_edit_distance(spark, sf):
     return passage_pairs(spark, sf).select("item_id", X.norm_lev("reference", "text").alias("distance"))
 
 
-@query(rf"""WITH RECURSIVE {_PAIRS}, w AS (SELECT item_id, {sql_tokens('reference')} AS r, {sql_tokens('text')} AS h FROM pairs),
+def sql_word_rates(pairs: str) -> str:
+    """CTEs up to `word_rates` (item_id, wer): the table of edit distances over the words of (item_id, reference, text), a row at a time."""
+    return rf"""w AS (SELECT item_id, {sql_tokens('reference')} AS r, {sql_tokens('text')} AS h FROM {pairs}),
  cells AS (SELECT item_id, 0 AS i, range(0, len(h) + 1) AS line, r, h FROM w
   UNION ALL SELECT item_id, i + 1, list_reduce(list_concat([[(i + 1)::BIGINT]], list_transform(range(1, len(h) + 1), lambda j: [j])),
-   lambda acc, x: list_append(acc, least(acc[len(acc)] + 1, line[x[1] + 1] + 1, line[x[1]] + CASE WHEN r[i + 1] = h[x[1]] THEN 0 ELSE 1 END))), r, h FROM cells WHERE i < len(r))
- SELECT item_id, line[len(line)] / len(r) AS wer, least(1.0, line[len(line)] / len(r)) AS capped FROM cells WHERE i = len(r)""")
+   lambda acc, x: list_append(acc, least(acc[len(acc)] + 1, line[x[1] + 1] + 1, line[x[1]] + CASE WHEN r[i + 1] = h[x[1]] THEN 0 ELSE 1 END))), r, h FROM cells WHERE i < len(r)),
+ word_rates AS (SELECT item_id, CASE WHEN len(r) > 0 THEN line[len(line)] / len(r) WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END AS wer FROM cells WHERE i = len(r))"""
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {sql_word_rates('pairs')} SELECT item_id, wer, least(1.0, wer) AS capped FROM word_rates")
 def wer_pairs(spark, sf):
     return passage_pairs(spark, sf).select("item_id", X.wer("reference", "text").alias("wer"), X.wer("reference", "text", cap=True).alias("capped"))
 
@@ -121,15 +131,7 @@ def hyphen_repair(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.sha2(X.clean_hyphens(broken), 256).alias("fixed"))
 
 
-def _heading_rules(spark, sf, shorten):
-    own = F.posexplode(F.split(X.col("text"), "\n", -1)).alias("line_no", "raw")
-    n, raw = F.col("line_no") + 1, F.col("raw")
-    line = F.when(n % 3 == 0, F.concat(F.lit("2."), n, F.lit(" "), raw)).when(n % 3 == 1, F.upper(F.replace(shorten(raw), F.lit("ß"), F.lit("s")))).otherwise(raw)
-    rows = read(spark, sf, "documents").select("doc_id", own).select("doc_id", F.col("line_no").cast("long").alias("line_no"), line.alias("line"))
-    return rows.select("doc_id", "line_no", X.heading_markup("line").alias("heading"), X.first_line_heading("line").alias("first_line"))
-
-
-_LINE = f"(SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, CASE WHEN generate_subscripts(ls, 1) % 3 = 0 THEN '2.' || generate_subscripts(ls, 1) || ' ' || unnest(ls) WHEN generate_subscripts(ls, 1) % 3 = 1 THEN upper(replace(substr(unnest(ls), 1, 30), 'ß', 's')) ELSE unnest(ls) END AS line FROM (SELECT doc_id, {sql_lines(_T)} AS ls FROM documents))"
+_LINE = f"(SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, CASE WHEN generate_subscripts(ls, 1) % 3 = 0 THEN '2.' || generate_subscripts(ls, 1) || ' ' || unnest(ls) WHEN generate_subscripts(ls, 1) % 3 = 1 THEN upper(replace(unnest(ls), 'ß', 's')) ELSE unnest(ls) END AS line FROM (SELECT doc_id, {sql_lines(_T)} AS ls FROM documents))"
 
 
 @query(rf"""WITH l AS {_LINE}, x AS (SELECT *, regexp_extract(line, '^(\d+(?:\.\d+)*)\.?\s+[A-Z]', 1) AS num, regexp_replace(line, '\P{{L}}', '', 'g') AS letters FROM l)
@@ -137,16 +139,12 @@ _LINE = f"(SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, CASE WHEN g
   WHEN num <> '' THEN repeat('#', least(len(string_split(num, '.')) + 1, 6)::INT) || ' ' || line WHEN length(letters) >= 2 AND NOT regexp_matches(letters, '\P{{Lu}}') THEN '# ' || line END AS heading,
   CASE WHEN length(line) < 80 AND regexp_matches(line, '\p{{L}}') AND NOT regexp_matches(line, '[.,]$') THEN '## ' || line ELSE line END AS first_line FROM x""")
 def heading_rules(spark, sf):
-    return _heading_rules(spark, sf, lambda raw: F.substring(raw, 1, 30))
-
-
-@query(rf"""WITH l AS {_LINE.replace('substr(unnest(ls), 1, 30)', 'unnest(ls)')}, x AS (SELECT *, regexp_extract(line, '^(\d+(?:\.\d+)*)\.?\s+[A-Z]', 1) AS num, regexp_replace(line, '\P{{L}}', '', 'g') AS letters FROM l)
- SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '\.{{4,}}') OR length(line) > 80 OR regexp_matches(line, '[.,;]$') THEN NULL
-  WHEN num <> '' THEN repeat('#', least(len(string_split(num, '.')) + 1, 6)::INT) || ' ' || line WHEN length(letters) >= 2 AND NOT regexp_matches(letters, '\P{{Lu}}') THEN '# ' || line END AS heading,
-  CASE WHEN length(line) < 80 AND regexp_matches(line, '\p{{L}}') AND NOT regexp_matches(line, '[.,]$') THEN '## ' || line ELSE line END AS first_line FROM x""")
-def heading_rules_all(spark, sf):
     """Whole lines, those beyond the rules' 80 characters too."""
-    return _heading_rules(spark, sf, lambda raw: raw)
+    own = F.posexplode(F.split(X.col("text"), "\n", -1)).alias("line_no", "raw")
+    n, raw = F.col("line_no") + 1, F.col("raw")
+    line = F.when(n % 3 == 0, F.concat(F.lit("2."), n, F.lit(" "), raw)).when(n % 3 == 1, F.upper(F.replace(raw, F.lit("ß"), F.lit("s")))).otherwise(raw)
+    rows = read(spark, sf, "documents").select("doc_id", own).select("doc_id", F.col("line_no").cast("long").alias("line_no"), line.alias("line"))
+    return rows.select("doc_id", "line_no", X.heading_markup("line").alias("heading"), X.first_line_heading("line").alias("first_line"))
 
 
 @query(rf"""WITH p AS (SELECT doc_id, generate_subscripts({sql_lines(_T)}, 1) - 1 AS line_no, replace(unnest({sql_lines(_T)}), ' ', chr(10)) AS page FROM documents),
@@ -203,14 +201,8 @@ def metadata_markdown(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.metadata_markdown(entry).alias("markdown"))
 
 
-@query("""SELECT page_id, 'https://a.example/' || substr(url, 8, 5) || '?q=%20x&r=é' || 'ü%2F' AS decoded FROM pages""")
-def url_decoding(spark, sf):
-    url = F.concat(F.lit("https://a.example/"), F.expr("substring(url, 8, 5)"), F.lit("?q=%20x&r=%C3%A9%C3%BC"))
-    return read(spark, sf, "pages").select("page_id", F.concat(X.decode_non_ascii(url), X.decode_non_ascii(F.lit("%2F"))).alias("decoded"))
-
-
 @query("""SELECT page_id, 'https://a.example/' || url || '?q=%20x&r=é' || 'ü%2F' AS decoded FROM pages""")
-def url_decoding_all(spark, sf):
+def url_decoding(spark, sf):
     url = F.concat(F.lit("https://a.example/"), F.col("url"), F.lit("?q=%20x&r=%C3%A9%C3%BC"))
     return read(spark, sf, "pages").select("page_id", F.concat(X.decode_non_ascii(url), X.decode_non_ascii(F.lit("%2F"))).alias("decoded"))
 

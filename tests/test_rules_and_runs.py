@@ -89,11 +89,11 @@ def test_queries_over_all_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     out = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
     ids = set(range(len(texts)))
-    asked = {r.doc_id: r for r in out("qa_summary_all")}
+    asked = {r.doc_id: r for r in out("qa_summary")}
     assert set(asked) == ids and all(r.qa_count == 2 for r in asked.values()) and asked[0].hit_rate == 0.5 and asked[4].hit_rate == 0
-    assert [r.id for r in out("newest_first_all")] == sorted(ids, reverse=True)
-    assert {r.id for r in out("history_search_all")} == {i for i in ids if i % 4 == 1 or i == 2}
-    status = {r.doc_id: r for r in out("expected_status_all")}
+    assert [r.id for r in out("newest_first")] == sorted(ids, reverse=True)
+    assert {r.id for r in out("history_search")} == {i for i in ids if i % 4 == 1 or i == 2}
+    status = {r.doc_id: r for r in out("expected_status")}
     ties = [r for r in status.values() if r.best_percent == 50]
     assert set(status) == ids and ties and all(r.status_source == "fast" for r in ties)
 
@@ -107,7 +107,7 @@ def test_queries_over_all_documents(spark, tmp_path):
             lines += strip[n:]
         want[i] = lines
     got = {}
-    for r in sorted(out("grid_stitching_all"), key=lambda r: r.row):
+    for r in sorted(out("grid_stitching"), key=lambda r: r.row):
         got.setdefault(r.table_id, []).append(r.key)
     assert got == want and set(got) == ids
 
@@ -123,10 +123,10 @@ def test_queries_over_whole_texts(spark, tmp_path):
     passages = [(1, "a b c " + tail + ". x. y. z. same"), (2, "a b c " + tail + ". x. y. z. other end"), (3, "a b c " + tail + ". x. y. z. other end")]
     spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
-    rules = {(r.doc_id, r.line_no): r for r in out("heading_rules_all")}
+    rules = {(r.doc_id, r.line_no): r for r in out("heading_rules")}
     assert rules[1, 0].heading is None and rules[1, 0].first_line == long.upper() and rules[1, 1].first_line == "## second" and len(rules) == 4
-    assert [r.decoded for r in out("url_decoding_all")] == ["https://a.example/https://b.example/a%20b/é?x=1?q=%20x&r=éü%2F"]
-    lines = {(r.doc_id, r.line_no): (r.confidence, r.level) for r in out("heading_confidence_all")}
+    assert [r.decoded for r in out("url_decoding")] == ["https://a.example/https://b.example/a%20b/é?x=1?q=%20x&r=éü%2F"]
+    lines = {(r.doc_id, r.line_no): (r.confidence, r.level) for r in out("heading_confidence")}
     assert lines == {(1, 0): (0.3, 3), (1, 1): (0.5, 3), (1, 2): (0.9, 1), (2, 0): (0.0, 0)}
     trees = {r.item_id: (round(r.structural, 6), r.skipped) for r in out("table_tree_similarity")}
     assert trees == {1: (round(1 - 1 / 23, 6), False), 2: (1.0, False)}
