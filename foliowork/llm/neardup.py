@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from foliowork.llm.components import connected_components
 from foliowork.llm.quality import _texts
-from foliowork.llm.shared import broadcast_if_small, read, shared_folder, text_of, write_table
+from foliowork.llm.shared import bitmap, broadcast_if_small, is_marked, read, shared_folder, text_of, write_table
 from foliowork.llm.shingles import by_bytes, shingle_sets
 
 COORDINATES, MATCHES = 64, 30
@@ -251,9 +252,18 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     candidates = write_table(_in_order(dealt.join(signatures, "v").select(*place, "v", "data"), _candidates(order), where), f"{folder}/candidates")
 
     needed = candidates.groupBy("v").agg(F.collect_list(F.struct("group", "left", "right")).alias("needed")).join(classes.select("v", "digest"), "v")
-    path = f"{folder}/needed"
-    needed = broadcast_if_small(write_table(needed, path), path, 1 << 20)
-    sets = texts.join(needed, texts["id"] == needed["v"]).select("v", "needed", "digest", "text").mapInArrow(_data, T.StructType([*where.fields, T.StructField("data", T.BinaryType())]))
+    needed = write_table(needed, f"{folder}/needed")
+    marks = spark.sparkContext.broadcast(bitmap(needed.select(F.xxhash64("v").alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def may_be_needed(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in hashes:
+            yield pd.Series(is_marked(marks.value, part.to_numpy()))
+
+    # Most texts are in no candidate pair: only their ids' hashes meet the bitmap, and the few that pass are shuffled.
+    few = texts.filter(may_be_needed(F.xxhash64("id")))
+    whole = few.join(needed.hint("merge"), few["id"] == needed["v"]).select("v", "needed", "digest", "text")
+    sets = whole.mapInArrow(_data, T.StructType([*where.fields, T.StructField("data", T.BinaryType())]))
     links = _in_order(sets, _links, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
     joined = connected_components(links, f"{folder}/links")
 

@@ -26,14 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliowork.llm.quality import _texts
-from foliowork.llm.shared import broadcast_if_small, drop_folder, read, shared_folder, text_of, write_table
+from foliowork.llm.shared import bitmap, broadcast_if_small, drop_folder, is_marked, read, shared_folder, text_of, write_table
 from foliowork.llm.shingles import mixed, powers
 from foliowork.llm.suffixes import repeated_starts
 
 LENGTH, ANCHOR = 200, 96
-#: Bits of a bitmap for each marked anchor, and of its address at most. False hits only cost work: the contexts that they let
-#: through are true ones, and a context that is alone goes no further.
-BITS_EACH, ADDRESS = 8, 28
 #: Bytes that one array step works on, bytes of a shard's text, contexts of one anchor in one block.
 CHUNK, SHARD, BLOCK = 1 << 18, 2_000_000, 2048
 _PLACE = 28  # low bits of a compared value that hold the position
@@ -111,24 +108,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "context", "key1", "key2", "place"])
 
 
-def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap with the bits of all hashes in a column, of a size that follows their number; its words are made by Spark."""
-    address = min(ADDRESS, max(16, (BITS_EACH * hashes.count()).bit_length()))
-    bit = hashes.select(F.expr(f"{column} & {(1 << address) - 1}L").alias("bit"))
-    words = bit.groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (address - 6), dtype=np.uint64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-def _marked(bitmap):
+def _marked(marks):
     """The contexts whose anchors are marked."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bitmap.value
         for batch in batches:
-            bit = batch.column(0).to_numpy().view(np.uint64) & np.uint64(64 * len(words) - 1)  # low bits: the high ones of least hashes are small
-            yield batch.filter(pa.array((words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            yield batch.filter(pa.array(is_marked(marks.value, batch.column(0).to_numpy())))
 
     return task
 
@@ -254,8 +239,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     row = "anchor long, context long, key1 long, key2 long, place long"
     every = write_table(texts.mapInArrow(_contexts, row), f"{folder}/every")
     shared = write_table(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), f"{folder}/shared")
-    bitmap = spark.sparkContext.broadcast(_bitmap(shared, "anchor"))
-    marked = write_table(every.mapInArrow(_marked(bitmap), row), f"{folder}/contexts")
+    marks = spark.sparkContext.broadcast(bitmap(shared, "anchor"))
+    marked = write_table(every.mapInArrow(_marked(marks), row), f"{folder}/contexts")
     drop_folder(spark, f"{folder}/every")
     one = [F.first(c).alias(c) for c in (*keys, "place")]
     kinds = write_table(marked.groupBy("anchor", "context").agg(F.count("*").alias("n"), *one), f"{folder}/kinds")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,3 +100,24 @@ def broadcast_if_small(table: DataFrame, path: str, most: int = 4 << 20) -> Data
     row = sum((16 * F.greatest(F.size(c), F.lit(0)) for c in longs), row)
     decoded = table.agg(F.sum(row.cast("long"))).first()[0] or 0
     return F.broadcast(table) if decoded <= 8 * most else table
+
+
+#: Bits of a bitmap for each marked hash, and of its address at most. False hits only cost work: what they let through is
+#: joined or compared afterwards.
+BITS_EACH, ADDRESS = 8, 28
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with the bits of all hashes in a column, of a size that follows their number; its words are made by Spark."""
+    address = min(ADDRESS, max(16, (BITS_EACH * hashes.count()).bit_length()))
+    bit = hashes.select(F.expr(f"{column} & {(1 << address) - 1}L").alias("bit"))
+    words = bit.groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (address - 6), dtype=np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def is_marked(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of hashes are set; low bits, since the high ones of least hashes are small."""
+    bit = hashes.view(np.uint64) & np.uint64(64 * len(words) - 1)
+    return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
