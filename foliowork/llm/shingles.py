@@ -44,7 +44,8 @@ def powers(base: int, n: int) -> np.ndarray:
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and how many each text has; a word is a run of bytes that are no white space.
 
-    A word's hash is a polynomial in the values of its bytes, mixed with its length.
+    A word's hash sums a scattered value of each byte at its place, mixed with its length: no algebra joins the places, so that
+    words cannot be written that collide, as they can for a polynomial modulo a power of two.
     """
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     inside = ~_SPACE[data]
@@ -61,7 +62,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     letters = data[inside]
     heads = np.cumsum(lengths) - lengths
     place = np.arange(len(letters)) - np.repeat(heads, lengths)
-    sums = np.add.reduceat(_VALUE[letters] * powers(_BASE, int(lengths.max()))[place], heads)
+    sums = np.add.reduceat(mixed(_VALUE[letters] ^ (place.astype(np.uint64) * np.uint64(_BASE))), heads)
     counts = np.diff(np.searchsorted(starts, offsets))
     return mixed(sums + lengths.astype(np.uint64) * np.uint64(_STEP)), counts
 
