@@ -30,7 +30,8 @@ class LineRuns:
     """The levelled store in a folder that driver and executors share; opened again on the folder, it goes on.
 
     A run's folder is named run-LEVEL-NUMBER-BUCKETS. Merging takes all runs below the new one's level, so a run stands for all
-    runs of lower levels and numbers: those that a lost driver left behind are passed over.
+    runs of lower levels and numbers: those that a lost driver left behind are passed over. So are runs whose writing broke off;
+    their numbers are never used again.
     """
 
     def __init__(self, spark: SparkSession, folder: str, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN):
@@ -38,7 +39,7 @@ class LineRuns:
         found = [tuple(map(int, name.split("-")[1:])) for name in written(spark, folder) if name.startswith("run-")]
         found = [x for x in found if not any(y[0] > x[0] and y[1] > x[1] for y in found)]
         self.buckets = found[0][2] if found else int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.number = max((x[1] for x in found), default=0)
+        self.number = max((int(name.split("-")[2]) for name in written(spark, folder, whole=False) if name.startswith("run-")), default=0)
         self.levels: list[list[tuple[str, str]]] = [[] for _ in range(max((x[0] for x in found), default=0) + 1)]
         for level, number, _ in sorted(found, key=lambda x: x[1]):
             table, path = f"foliowork_run_{uuid.uuid4().hex}", f"{folder}/run-{level}-{number}-{self.buckets}"
@@ -127,7 +128,8 @@ def dedup_lines(
         drop_folder(spark, f"{folder}/runs")
 
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(whole_row(others).alias("row"), docs[id_column].alias("id"), text_of(text_column).alias("text")).withColumn("own", F.xxhash64("text"))
+    carried = [c for c in others if c != text_column] or [id_column]  # the text itself is shuffled once
+    rows = docs.select(whole_row(carried).alias("row"), docs[id_column].alias("id"), text_of(text_column).alias("text")).withColumn("own", F.xxhash64("text"))
     lines = rows.select("id", "own", F.posexplode(_keys(F.col("text"))).alias("place", "key")).filter("key is not null")
     settled = broadcast_if_small(settled, f"{folder}/settled")
     dropped = lines.join(settled, "key", "left_semi").groupBy("id", "own").agg(F.collect_set("place").alias("dropped")).withColumnsRenamed({"id": "its_id", "own": "its_own"})

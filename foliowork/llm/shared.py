@@ -42,14 +42,14 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the tables below a folder that were written to their end, in order."""
+def written(spark: SparkSession, folder: str, whole: bool = True) -> list[str]:
+    """Names of the tables below a folder, in order; of those only that were written to their end, if asked for `whole` ones."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = where.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(where):
         return []
     paths = [status.getPath() for status in files.listStatus(where)]
-    return sorted(p.getName() for p in paths if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return sorted(p.getName() for p in paths if not whole or files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
 def whole_row(columns: list[str]) -> Column:
