@@ -140,12 +140,12 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", source_column: str = "s
     spark = docs.sparkSession
     folder = shared_folder(spark, "mix")
     carried = [docs[c].alias(f"_{c}") for c in carry]
-    rows = docs.select(docs[id_column].alias("id"), docs[source_column].cast("string").alias("source"), F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long").alias("size"), *carried)
-    sizes = write_table(rows.select("id", "source", "size"), f"{folder}/sizes")
+    rows = docs.select(docs[id_column].alias("id"), docs[source_column].cast("string").alias("source"), F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_of(text_column)).alias("own"), *carried)
+    sizes = write_table(rows.select("id", "source", "size", "own"), f"{folder}/sizes")
     targets = broadcast_if_small(source_targets(sizes.select("source", "size"), folder), f"{folder}/targets")
 
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    number = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
+    number = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long").bitwiseXOR(F.col("own"))  # rows of one id or of none are spread as well
 
     def deal(own: DataFrame) -> DataFrame:
         return (
@@ -162,7 +162,7 @@ def mix_plan(docs: DataFrame, id_column: str = "doc_id", source_column: str = "s
     shards = broadcast_if_small(write_table(due, f"{folder}/shards"), f"{folder}/shards")
     dealt = deal(rows if carry else sizes).join(shards, (F.col("place") == F.col("of")) & (F.col("shard") == F.col("of_shard")), "left").drop("of", "of_shard")
     shard = Window.partitionBy("place", "shard")
-    order = shard.orderBy("digest", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = shard.orderBy("digest", "id", "size", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("source"), F.col("shard"))), 1, 8), 16, 10).cast("long")
     planned = (
         dealt.withColumn("first", F.sum("size").over(order) - F.col("size"))
