@@ -12,6 +12,7 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foliowork.llm import media, mixing, packing
@@ -76,6 +77,15 @@ def test_small_sources_and_short_texts_reach_their_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK for s in "de")
 
 
+def test_rows_of_one_id_are_dealt_to_many_shards(spark):
+    texts = [f"only{k} " * (1 + k % 9) for k in range(2000)]
+    rows = [(None, t, "a") for t in texts] + [(k, t, "b") for k, t in enumerate(texts)]
+    plan = mixing.mix_plan(docs(spark, rows))
+    assert plan.filter("source = 'a'").select("start").distinct().count() > 8  # 16 shards
+    got = {r.source: r for r in plan.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()}
+    assert all(abs(r.taken - r.target) < 0.02 * r.target and r.n == 2000 for r in got.values())
+
+
 def highest_quotients(votes, most, house):
     """The rule itself, seat by seat; of equal quotients the earlier party's."""
     seats = [0] * len(votes)

@@ -82,6 +82,25 @@ def test_line_runs_count_over_batches_compact_and_open_again(spark):
     runs.close()
 
 
+def test_line_runs_open_again_after_broken_writes(spark):
+    folder = shared_folder(spark, "t")
+    counts = lambda texts: count_batches(table(spark, texts), "doc_id", "text", 1).select("key", "n")
+    runs = LineRuns(spark, folder, min_docs=3, fan_in=2)
+    runs.add(counts(["a\nb"]))
+    runs.close()
+    # A run of level 0 and a compaction that both broke off: files without the mark of a whole write.
+    for name in (f"run-0-2-{runs.buckets}", f"run-1-3-{runs.buckets}"):
+        counts(["x"]).write.parquet(f"{folder}/{name}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    runs = LineRuns(spark, folder, min_docs=3, fan_in=2)
+    assert [len(x) for x in runs.levels] == [1] and runs.number == 3
+    for texts in (["a"], ["a\nc"]):
+        runs.add(counts(texts))
+    assert {bytes(r.key) for r in runs.settled().collect()} == {hashlib.md5(b"a").digest()}
+    runs.close()
+
+
 CLASH = "doc_id long, text string, _id string, _text string, _dropped string, _kept string, id string, row string, own string, kept string, dropped string, place string, source string"
 
 
@@ -152,6 +171,15 @@ def test_shingles_do_not_run_across_texts():
     assert [len(s) for s in sets] == [1, 2, 0, 1] and sets[0] == sets[3]
 
 
+def test_mirrored_words_are_different_words(spark):
+    word = "a"
+    while len(word) < 1024:  # a word and its mirror image, whose polynomial hashes modulo 2 ** 64 are equal
+        word += word.translate(str.maketrans("ab", "ba"))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    rows = near_groups(table(spark, [word, mirror, word.upper(), f"{word} x y z u v", f"{mirror} x y z u v"])).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
+
+
 def naive_repeats(texts, length=200):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
