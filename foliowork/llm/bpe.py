@@ -77,7 +77,8 @@ class Bpe:
         with open(tokenizer_file, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
-        kinds = [x["type"] for x in file["normalizer"]["normalizers"]], [x["type"] for x in file["pre_tokenizer"]["pretokenizers"]]
+        steps = (file["normalizer"] or {}).get("normalizers", []), (file["pre_tokenizer"] or {}).get("pretokenizers", [])
+        kinds = tuple([x["type"] for x in own] for own in steps)
         special = file["added_tokens"]
         plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in special)
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or model["type"] != "BPE" or model["dropout"] or model["ignore_merges"] or file["decoder"] or not plain:
@@ -93,7 +94,7 @@ class Bpe:
         self.inner, self.last = [vocab[c] for c in letters], [vocab[c + self.end] for c in letters]
         #: Pairs of bytes that some token holds inside itself, and at its end where that is a word's end.
         self.joined, self.joined_last = self._pairs(vocab)
-        pattern = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        pattern = steps[1][0]["pattern"]["Regex"]
         for name, own in ((r"[\p{L}]", f"[{_letters('L')}]"), (r"\p{L}", _letters("L")), (r"\p{N}", _letters("N")), (r"\s", _SPACES)):
             pattern = pattern.replace(name, own)
         self.piece = re.compile(pattern)

@@ -99,29 +99,33 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Record
         yield held, [0, held.num_rows]
 
 
-def _height(nodes: int) -> int:
+def _height(nodes: int, levels: int) -> int:
     """Levels of a slice over a tree of so many nodes: until one is left, or all of them."""
-    return min(LEVELS, max(nodes - 1, 0).bit_length())
+    return min(levels, max(nodes - 1, 0).bit_length())
 
 
-def _up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _up(levels: int):
     """(tree, block, pos, n, digest), sorted, to the block's top nodes as (tree, pos, n, digest) of the next slice."""
-    for batch, cuts in _whole_blocks(batches):
-        tree, block, n = (batch.column(k).to_numpy() for k in (0, 1, 3))
-        digest, starts = batch.column(4).to_pylist(), cuts[:-1]
-        tops = [sweep_up(digest[a:b], _height(int(n[a])))[-1][0] for a, b in zip(starts, cuts[1:], strict=True)]
-        columns = [tree[starts], block[starts], (n[starts] + (1 << LEVELS) - 1) >> LEVELS, tops]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["tree", "pos", "n", "digest"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in _whole_blocks(batches):
+            tree, block, n = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            digest, starts = batch.column(4).to_pylist(), cuts[:-1]
+            tops = [sweep_up(digest[a:b], _height(int(n[a]), levels))[-1][0] for a, b in zip(starts, cuts[1:], strict=True)]
+            columns = [tree[starts], block[starts], (n[starts] + (1 << levels) - 1) >> levels, tops]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["tree", "pos", "n", "digest"])
+
+    return task
 
 
-def _down(names: list[str]):
+def _down(names: list[str], levels: int):
     """(tree, block, pos, n, digest, suffix, carried ...), in which a block's message has no digest and comes first, to the block's nodes with their own suffixes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, cuts in _whole_blocks(batches):
             n, digest, suffix, proofs = batch.column(3).to_numpy(), batch.column(4).to_pylist(), batch.column(5), []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                proofs += sweep_down(sweep_up(digest[a + 1 : b], _height(int(n[a + 1]))), suffix[a].as_py())
+                proofs += sweep_down(sweep_up(digest[a + 1 : b], _height(int(n[a + 1]), levels)), suffix[a].as_py())
             nodes = batch.filter(batch.column(4).is_valid())
             columns = [*nodes.columns[:5], pa.array(proofs, type=pa.list_(pa.string())), *nodes.columns[6:]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -139,7 +143,7 @@ def _sweeps(nodes: DataFrame, carried: list[str], suffixes: DataFrame | None, fo
     slices, most = [nodes], nodes.agg(F.max("n")).first()[0] or 0
     while most > 1:
         own = slices[-1].select("tree", block, "pos", "n", "digest").repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
-        slices.append(write_table(own.mapInArrow(_up, "tree long, pos long, n long, digest string"), f"{folder}/slice-{len(slices)}"))
+        slices.append(write_table(own.mapInArrow(_up(LEVELS), "tree long, pos long, n long, digest string"), f"{folder}/slice-{len(slices)}"))
         most = (most + (1 << LEVELS) - 1) >> LEVELS
     roots = write_table(slices[-1].select("tree", "digest"), f"{folder}/roots")
     down = suffixes(roots).select("tree", F.lit(0).cast("long").alias("pos"), "suffix")
@@ -149,7 +153,7 @@ def _sweeps(nodes: DataFrame, carried: list[str], suffixes: DataFrame | None, fo
         message = down.select("tree", F.col("pos").alias("block"), F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("digest"), "suffix", *none)
         rows = level.select("tree", block, "pos", "n", "digest", F.lit(None).cast("array<string>").alias("suffix"), *own)
         rows = rows.union(message).repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
-        down = rows.mapInArrow(_down(rows.columns), T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]))
+        down = rows.mapInArrow(_down(rows.columns, LEVELS), T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]))
         if k:
             down = write_table(down.select("tree", "pos", "suffix"), f"{folder}/suffixes-{k}")
     if len(slices) == 1:  # every tree is one leaf
