@@ -1,15 +1,11 @@
-"""HTML pages as tables of tags, as Markdown, as cells and as links.
-
-Pages are cut into tags and texts by expressions; there is no tree. A block's start closes what was open, and marks that
-stay open end with their block. That differs from a tree parser where blocks are nested in inline marks.
-"""
+"""HTML pages as tables of tags, as cells and as links. Pages are cut into tags and texts by expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliowork.functions.text import col, decode_non_ascii, let, md_escape, md_escape_block
+from foliowork.functions.text import col
 
 #: What is dropped with all its content, and tags that stand for a plain block or a plain inline part.
 DROPPED = ("script", "style", "head", "noscript", "template", "svg")
@@ -19,12 +15,6 @@ CONTAINERS = (*BLOCK_FOLDS, "div", "form", "fieldset", "address", "body", "html"
 TOKEN = r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<![^>]*>|[^<]+|<"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
-# Marks that carry structure through the folding of white space.
-BLOCK, LINE, INDENT, ROW, CELL, PLAIN, BREAK = "\x1e", "\x1d", "\x1c", "\x1b", "\x1a", "\x11", "\x01"
-QUOTE_IN, QUOTE_OUT, RAW_LINE, RAW_SPACE, LINK, LINK_TEXT, LINK_END = "\x18", "\x17", "\x16", "\x15", "\x14", "\x13", "\x12"
-EMPHASIS = {"strong": ("\x02", "\x03", "**"), "em": ("\x04", "\x05", "*"), "del": ("\x06", "\x07", "~~")}
-SAME_AS = {"b": "strong", "i": "em", "s": "del", "strike": "del"}
-
 
 def visible(html: Column | str) -> Column:
     """The page without comments and without dropped elements and their content."""
@@ -73,135 +63,8 @@ def fold_tags(tags: DataFrame) -> DataFrame:
     return tags.withColumn("tag", F.when(F.col("tag").isin(*BLOCK_FOLDS), "div").when(F.col("tag").isin(*INLINE_FOLDS), "span").otherwise(F.col("tag")))
 
 
-def _balanced(block: Column) -> Column:
-    """Emphasis marks of a block: what is open at its end is closed, spaces move outside, empty ones go."""
-    for start, stop, mark in EMPHASIS.values():
-        opened = F.length(block) - F.length(F.replace(block, F.lit(start), F.lit("")))
-        closed = F.length(block) - F.length(F.replace(block, F.lit(stop), F.lit("")))
-        block = F.concat(block, F.repeat(F.lit(stop), F.greatest(opened - closed, F.lit(0))))
-        for _ in range(2):  # an inner mark first, then the one around it
-            block = F.regexp_replace(block, f"{start}([ \\t\\n\\r]*){stop}", "$1")
-            block = F.regexp_replace(block, f"{start}([ \\t\\n\\r]*)([^{start}{stop}]*?)([ \\t\\n\\r]*){stop}", f"$1{mark.replace('*', chr(92) + '*')}$2{mark.replace('*', chr(92) + '*')}$3")
-        block = F.regexp_replace(block, f"[{start}{stop}]", "")
-    return block
-
-
 def _collapsed(x: Column) -> Column:
-    x = F.regexp_replace(F.regexp_replace(x, "[ \\t\\n\\r\\f]+", " "), f" ?{BREAK} ?", "  \n")
-    return F.regexp_replace(x, r"^[ \t]+|[ \t]+$", "")
-
-
-def _links(x: Column) -> Column:
-    x = F.regexp_replace(x, f"{LINK}[ \\t\\n\\r]*{LINK_TEXT}[^{LINK_END}]*{LINK_END}", "")
-    return F.regexp_replace(F.regexp_replace(x, f"{LINK}([^{LINK}{LINK_TEXT}]*){LINK_TEXT}([^{LINK_END}]*){LINK_END}", r"[$1]($2)"), f"[{LINK}{LINK_TEXT}{LINK_END}]", "")
-
-
-def _table(block: Column) -> Column:
-    def after_first(parts: Column) -> Column:
-        return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-
-    rows = F.transform(F.filter(F.split(block, LINE, -1), lambda r: F.contains(r, F.lit(ROW))), lambda r: F.transform(let(F.split(r, CELL, -1), after_first), lambda c: F.replace(_collapsed(F.replace(c, F.lit(ROW), F.lit(""))), F.lit("|"), F.lit("\\|"))))
-    rows = F.filter(rows, lambda r: F.size(r) > 0)
-
-    def draw(own: Column, width: Column) -> Column:
-        def line(cells: Column) -> Column:
-            return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-
-        def padded(r: Column) -> Column:
-            return F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0))))
-
-        rule = F.array(line(F.array_repeat(F.lit("---"), width)))
-        return let(F.transform(own, lambda r: line(padded(r))), lambda drawn: F.array_join(F.concat(F.slice(drawn, 1, 1), rule, after_first(drawn)), "\n"))
-
-    return let(rows, lambda own: F.when(F.size(own) > 0, let(F.array_max(F.transform(own, lambda r: F.size(r))), lambda width: draw(own, width))).otherwise(""))
-
-
-def _block(raw: Column) -> Column:
-    """One block's text from what was collected between two block marks."""
-
-    def finish(x: Column) -> Column:
-        listed = F.array_join(F.filter(F.transform(F.split(x, LINE, -1), lambda t: F.replace(_collapsed(t), F.lit(INDENT), F.lit("  "))), lambda t: F.trim(t) != ""), "\n")
-        plain = F.when(x.startswith(PLAIN), md_escape_block(_collapsed(F.replace(x, F.lit(PLAIN), F.lit(""))))).otherwise(_collapsed(F.replace(x, F.lit(PLAIN), F.lit(""))))
-        text = F.when(F.contains(x, F.lit(ROW)), _table(x)).when(F.contains(x, F.lit(LINE)), listed).otherwise(plain)
-        return F.replace(F.replace(text, F.lit(RAW_LINE), F.lit("\n")), F.lit(RAW_SPACE), F.lit(" "))
-
-    return let(_links(_balanced(raw)), finish)
-
-
-def _step(acc: Column, token: Column) -> Column:
-    """One token's piece of text with structure marks, and the state after it: open lists, links, raw text."""
-    name, closing = tag_name(token), token.startswith("</")
-    lists, links, raw = acc["lists"], acc["links"], acc["raw"]
-    opens = ~closing
-    in_list = F.size(lists) > 0
-    top = F.element_at(lists, -1)
-    href = attribute(token, "href")
-    number = F.when(F.regexp_like(attribute(token, "start"), F.lit(r"^-?\d+$")), attribute(token, "start").cast("int")).otherwise(1)
-    depth = F.greatest(F.size(lists) - 1, F.lit(0))
-    item = F.concat(F.lit(LINE), F.repeat(F.lit(INDENT), depth), F.when(top["ordered"], F.concat(top["n"].cast("string"), F.lit(". "))).otherwise("- "))
-    box = F.when(F.regexp_like(token, F.lit(r"(?i)\schecked\b")), "[x] ").otherwise("[ ] ")
-    text = F.when(raw == "pre", F.replace(F.replace(unescape(token), F.lit("\n"), F.lit(RAW_LINE)), F.lit(" "), F.lit(RAW_SPACE))).when(raw == "code", unescape(token)).otherwise(md_escape(unescape(token)))
-    emphasis = F.lit("")
-    for tag, (start, stop, _) in EMPHASIS.items():
-        names = [tag, *(k for k, v in SAME_AS.items() if v == tag)]
-        emphasis = F.when(name.isin(*names), F.when(closing, stop).otherwise(start)).otherwise(emphasis)
-    piece = (
-        F.when(name == "", F.when(token.startswith("<!"), "").otherwise(text))
-        .when(F.regexp_like(name, F.lit("^h[1-6]$")), F.when(closing, F.lit(BLOCK)).otherwise(F.concat(F.lit(BLOCK), F.repeat(F.lit("#"), F.substring(name, 2, 1).cast("int")), F.lit(" "))))
-        .when(name == "p", F.when(closing, F.lit(BLOCK)).otherwise(F.lit(BLOCK + PLAIN)))
-        .when(name.isin(*CONTAINERS, "table", "dl"), F.when(in_list, F.lit(" ")).otherwise(BLOCK))
-        .when(name == "hr", F.lit(f"{BLOCK}---{BLOCK}"))
-        .when(name == "br", F.lit(BREAK))
-        .when(name.isin("ul", "ol"), F.when(F.size(lists) <= F.when(closing, 1).otherwise(0), F.lit(BLOCK)).otherwise(""))
-        .when((name == "li") & opens & in_list, item)
-        .when((name == "input") & (F.lower(attribute(token, "type")) == "checkbox"), box)
-        .when(name == "dt", F.when(closing, F.lit(EMPHASIS["strong"][1])).otherwise(F.lit(LINE + EMPHASIS["strong"][0])))
-        .when(name == "dd", F.when(closing, F.lit("")).otherwise(F.lit(LINE)))
-        .when(name == "blockquote", F.when(closing, F.lit(BLOCK + QUOTE_OUT + BLOCK)).otherwise(F.lit(BLOCK + QUOTE_IN + BLOCK)))
-        .when(name == "pre", F.when(closing, F.lit(f"{RAW_LINE}```{BLOCK}")).otherwise(F.lit(f"{BLOCK}```{RAW_LINE}")))
-        .when((name == "code") & (raw != "pre"), F.lit("`"))
-        .when((name == "caption"), F.when(closing, F.lit(EMPHASIS["strong"][1] + BLOCK)).otherwise(F.lit(EMPHASIS["strong"][0])))
-        .when((name == "tr") & opens, F.lit(LINE + ROW))
-        .when(name.isin("td", "th") & opens, F.lit(CELL))
-        .when((name == "a") & opens & (href != ""), F.lit(LINK))
-        .when((name == "a") & closing & (F.coalesce(F.element_at(links, -1), F.lit("")) != ""), F.concat(F.lit(LINK_TEXT), F.element_at(links, -1), F.lit(LINK_END)))
-        .when((name == "img") & (attribute(token, "src") != ""), F.concat(F.lit("!["), attribute(token, "alt"), F.lit("]("), decode_non_ascii(attribute(token, "src")), F.lit(")")))
-        .otherwise(emphasis)
-    )
-    added = F.concat(lists, F.array(F.struct((name == "ol").alias("ordered"), number.alias("n"))))
-    counted = F.concat(F.slice(lists, 1, depth), F.array(F.struct(top["ordered"].alias("ordered"), (top["n"] + 1).alias("n"))))
-    now_lists = F.when(name.isin("ul", "ol") & opens, added).when(name.isin("ul", "ol") & closing, F.slice(lists, 1, depth)).when((name == "li") & opens & in_list, counted).otherwise(lists)
-    now_links = F.when((name == "a") & opens, F.concat(links, F.array(decode_non_ascii(href)))).when((name == "a") & closing, F.slice(links, 1, F.greatest(F.size(links) - 1, F.lit(0)))).otherwise(links)
-    now_raw = F.when(name == "pre", F.when(closing, "").otherwise("pre")).when((name == "code") & (raw != "pre"), F.when(closing, "").otherwise("code")).otherwise(raw)
-    return F.struct(F.concat(acc["out"], piece).alias("out"), now_lists.alias("lists"), now_links.alias("links"), now_raw.alias("raw"))
-
-
-def to_markdown(html: Column | str) -> Column:
-    """A page as Markdown: blocks with a blank line between, ending in a line break.
-
-    Null and empty pages, and pages without visible text, give a lone line break.
-    """
-    zero = F.struct(F.lit("").alias("out"), F.array().cast("array<struct<ordered:boolean,n:int>>").alias("lists"), F.array().cast("array<string>").alias("links"), F.lit("").alias("raw"))
-    marked = F.aggregate(tokens(html), zero, _step)["out"]
-    pieces = F.filter(F.transform(F.split(marked, BLOCK, -1), lambda b: F.when(b.isin(QUOTE_IN, QUOTE_OUT), b).otherwise(_block(b))), lambda b: b != "")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("inside"))
-
-    def quoted(acc: Column, b: Column) -> Column:
-        depth = acc["depth"] + F.when(b == QUOTE_IN, 1).when(b == QUOTE_OUT, -1).otherwise(0)
-        mark = b.isin(QUOTE_IN, QUOTE_OUT)
-        lined = F.regexp_replace(F.regexp_replace(b, "(?m)^(?=.)", "> "), "(?m)^$", ">")
-        joined = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat(F.element_at(acc["out"], -1), F.lit("\n>\n"), lined)))
-        goes_on = (acc["depth"] > 0) & acc["inside"]
-        out = F.when(mark, acc["out"]).when(goes_on, joined).otherwise(F.concat(acc["out"], F.array(F.when(acc["depth"] > 0, lined).otherwise(b))))
-        return F.struct(out.alias("out"), depth.alias("depth"), F.when(mark, F.lit(False)).otherwise(acc["depth"] > 0).alias("inside"))
-
-    joined = F.array_join(F.aggregate(pieces, start, quoted)["out"], "\n\n")
-    return F.concat(F.regexp_replace(F.regexp_replace(joined, "\n{3,}", "\n\n"), r"^\s+|\s+$", ""), F.lit("\n"))
-
-
-def pages_to_markdown(pages: DataFrame, id_column: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, markdown). Everything is computed in the page's own row."""
-    return pages.select(id_column, to_markdown(html).alias("markdown"))
+    return F.regexp_replace(F.regexp_replace(x, "[ \\t\\n\\r\\f]+", " "), r"^[ \t]+|[ \t]+$", "")
 
 
 def page_tables(pages: DataFrame, id_column: str = "page_id", html: str = "html") -> DataFrame:

@@ -6,27 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliowork.functions.text import cer, completeness, wer
-from foliowork.operators.evidence import page_evidence, sample_pages
+from foliowork.operators.evidence import detect_language, document_type, page_evidence, sample_pages
 from foliowork.operators.evaluate import fidelity_summary, mean_similarity, stable_sample, todo
-from foliowork.operators.html import to_markdown
 from foliowork.operators.quality import quality_score
 from foliowork.operators.rules import advise, classify_content, engine, hints, recommend
-from foliowork.operators.structure import insert_tables, line_table, merge_lines, missing_tables, reflow, repair_headings, retention, structure, table_blocks
-from foliowork.operators.tables import sequence_ratio
+from foliowork.operators.structure import insert_tables, line_table, merge_lines, missing_tables, reflow, repair_headings, retention, structure, table_blocks, title, validate_content
+from foliowork.operators.tables import cells_to_markdown, csv_cells, sequence_ratio
+from foliowork.operators.walker import pages_to_markdown
 from foliowork.sources.sinks import render
 
 
+def extract(src: DataFrame) -> DataFrame:
+    """The documents (doc_id, ext, text and others) with `raw`, what their kind of file says, as Markdown.
+
+    Pages go through the walker, comma-separated files through their cells; other texts are their own Markdown. Each kind is a
+    branch of one plan; ids are unique. A file without a single cell, and a null text, is an empty Markdown.
+    """
+    ext = F.lower("ext")
+    kept = tuple(c for c in src.columns if c != "doc_id")
+    pages = pages_to_markdown(src.filter(ext.isin("html", "htm")), "doc_id", "text", keep=kept).withColumnRenamed("markdown", "raw")
+    files = src.filter(ext == "csv")
+    drawn = cells_to_markdown(csv_cells(files)).withColumnRenamed("markdown", "raw")
+    tables = files.join(drawn, "doc_id", "left").withColumn("raw", F.coalesce("raw", F.lit("")))
+    texts = src.filter(ext.isNull() | ~ext.isin("html", "htm", "csv")).withColumn("raw", F.coalesce("text", F.lit("")))
+    return pages.unionByName(tables).unionByName(texts)
+
+
+def finish(raw: DataFrame) -> DataFrame:
+    """Extracted documents with `markdown`, the refined text, and what is known of it: title, language, type, score and validity.
+
+    Texts have broken lines merged and paragraphs put together; pages and tables have their lines already. `retention` is the
+    share of structure kept, `retention_ratio`, `warnings` and `passed` say whether words, tables or lists were lost.
+    """
+    laid_out = F.lower("ext").isin("html", "htm", "csv")
+    refined = raw.withColumn("markdown", F.when(laid_out, F.col("raw")).otherwise(reflow(merge_lines("raw"))["markdown"]))
+    checked = validate_content(refined.withColumn("retention", retention(structure("raw"), structure("markdown"))), "raw", "markdown")
+    scored = quality_score(checked.withColumn("pages", F.lit(1))).withColumnRenamed("language", "language_confidence")
+    return scored.withColumns({"title": title("markdown"), "language": detect_language("markdown")["lang"], "type": document_type("markdown"), "route": classify_content("ext")})
+
+
 def convert(src: DataFrame, mode: str = "markdown") -> DataFrame:
-    """Documents (doc_id, ext, text) as rendered Markdown with route, quality and validity, in one plan without shuffles.
+    """Documents (doc_id, ext, text) as rendered Markdown with route, title, language, type, quality and validity, in one plan.
 
-    HTML pages go through the page walker, other texts through line merging; both are reflowed into paragraphs.
+    What a kind of file needs is shuffled by document: the blocks of pages, the cells of tables. Texts stay in their rows.
     """
-    routed = src.withColumn("route", classify_content("ext"))
-    markdown = F.when(F.lower("ext") == "html", to_markdown("text")).otherwise(reflow(merge_lines("text"))["markdown"])
-    scored = quality_score(routed.withColumns({"markdown": markdown, "pages": F.lit(1)}))
-    meta = {"title": F.coalesce("title", F.lit("")) if "title" in src.columns else F.col("doc_id").cast("string"), "source_name": F.col("doc_id").cast("string"), "type": F.lit("general"), "pipeline": F.col("route.capability"), "created_at": F.lit("1970-01-01").cast("timestamp")}
-    named = scored.withColumnRenamed("language", "language_confidence").withColumns(meta).withColumn("language", F.lit("en"))
-    return render(named, mode).select("doc_id", "route.kind", "route.pathway", "overall", "reasons", "text", "file_ext")
+    done = finish(extract(src))
+    meta = {"source_name": F.col("doc_id").cast("string"), "pipeline": F.col("route.capability"), "created_at": F.lit("1970-01-01").cast("timestamp")}
+    own = ("retention", "retention_ratio", "warnings", "passed")
+    return render(done.withColumns(meta), mode).select("doc_id", "route.kind", "route.pathway", "title", "language", "type", "overall", "reasons", *own, "text", "file_ext")
 
 
 def triage(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliowork.functions import text as X
 from foliowork.operators import html as H
 from foliowork.operators import tables as T
+from foliowork.operators.walker import pages_to_markdown
 from foliowork.plans import jobs
 from foliowork.plans.q_evidence import PER_PAGE, SAMPLE
 from foliowork.plans.q_runs import _results, results
@@ -47,12 +48,12 @@ def page_links(spark, sf):
 
 @query(None)
 def page_markdown(spark, sf):
-    return H.pages_to_markdown(read(spark, sf, "pages"))
+    return pages_to_markdown(read(spark, sf, "pages"))
 
 
 @query(rf"""WITH {_VIS}, h AS (SELECT page_id, unnest(regexp_extract_all(x, '<h1\b[^>]*>([^<]*)', 1, 'i')) AS t FROM vis) SELECT page_id, '# ' || regexp_replace(replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '&amp;', '&'), '([\\`*_\[\]])', '\\\1', 'g') AS heading FROM h WHERE trim(t) <> ''""")
 def page_outline(spark, sf):
-    m = H.pages_to_markdown(read(spark, sf, "pages"))
+    m = pages_to_markdown(read(spark, sf, "pages"))
     return m.select("page_id", F.explode(F.filter(F.split("markdown", "\n", -1), lambda t: t.startswith("# "))).alias("heading"))
 
 
@@ -253,11 +254,19 @@ def baseline_replacement(spark, sf):
 # Jobs
 
 
+def _inputs(spark, sf):
+    """Every document as plain text, as a table of comma-separated words for one in three, and every page."""
+    docs = read(spark, sf, "documents")
+    texts = docs.filter("doc_id % 3 > 0").select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), F.lit("txt").alias("ext"), "text")
+    tables = docs.filter("doc_id % 3 = 0").select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), F.lit("csv").alias("ext"), F.regexp_replace(X.col("text"), " +", ",").alias("text"))
+    pages = read(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("doc_id"), F.lit("html").alias("ext"), F.col("html").alias("text"))
+    return texts.unionByName(tables).unionByName(pages)
+
+
 @query(None)
 def convert_corpus(spark, sf):
-    texts = read(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), F.lit("txt").alias("ext"), "text")
-    pages = read(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("doc_id"), F.lit("html").alias("ext"), F.col("html").alias("text"))
-    return jobs.convert(texts.unionByName(pages), "json").select("doc_id", "kind", "pathway", "overall", F.length("text").alias("n"), "file_ext")
+    out = jobs.convert(_inputs(spark, sf), "json")
+    return out.select("doc_id", "kind", "pathway", "language", "type", "title", "overall", "retention", "retention_ratio", "warnings", "passed", F.length("text").alias("n"), "file_ext")
 
 
 @query(f"""WITH {SAMPLE}, {PER_PAGE}, r AS (SELECT *, avg_chars < 80 AND avg_lines > 8 AS is_scan, table_like OR rtl OR (avg_lines > 45 AND short_ratio > 0.45) AS layout FROM evidence)
