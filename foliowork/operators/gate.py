@@ -19,7 +19,7 @@ def compare(results: DataFrame, baseline: DataFrame, policy: dict[str, float] |
     p = POLICY | (policy or {})
     known = baseline.select("pathway").distinct().withColumnRenamed("pathway", "_p")
     b = baseline.select("pathway", "doc_id", F.col("status").alias("b_status"), F.col("overall_percent").alias("b_score"), F.col("elapsed_seconds").alias("b_seconds"), F.lit(True).alias("_there"))
-    joined = results.join(F.broadcast(known), F.col("pathway") == F.col("_p"), "left_semi").join(b, ["pathway", "doc_id"], "left")
+    joined = results.join(known, F.col("pathway") == F.col("_p"), "left_semi").join(b, ["pathway", "doc_id"], "left")
     delta = F.coalesce("overall_percent", F.lit(0.0)) - F.coalesce("b_score", F.lit(0.0))
     missing, changed = F.col("_there").isNull(), F.col("status") != F.coalesce("b_status", F.lit("scored"))
     scored = ~missing & ~changed & ~F.col("status").isin("expected_blocked", "environment_blocked")
@@ -35,7 +35,7 @@ def uncovered(docs: DataFrame, registry: DataFrame, exempt: list[str] | None = N
     `registry` has pathway, release_status and valid_formats (array).
     """
     taken = registry.filter(F.col("release_status") == "shipping").select(F.explode("valid_formats").alias("format")).distinct()
-    out = docs.join(F.broadcast(taken), "format", "left_anti")
+    out = docs.join(taken, "format", "left_anti")
     return out.filter(~F.col("format").isin(*exempt)) if exempt else out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliowork.sources.scratch import scratch_folder
+
 FINISHED = ("complete", "failed", "cancelled")
 
 
@@ -66,10 +68,28 @@ def first_sightings(listings: DataFrame) -> DataFrame:
     return listings.groupBy("folder", "name", "size", "modified").agg(F.min("seen_at").alias("seen_at"))
 
 
-def debounce(events: DataFrame, key: str, gap: str = "800 milliseconds") -> DataFrame:
-    """(key, start, scan_at, n): bursts of events less than `gap` apart; the scan starts when a burst is over."""
-    window = F.session_window("ts", gap)
-    return events.groupBy(key, window.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("scan_at"), "n")
+def _sessions(rows: DataFrame, within: list[str], gap: str) -> DataFrame:
+    """Rows (key, start, last, n ...) of one window each put together where the next starts before the last one's gap is over."""
+    order = Window.partitionBy(*within).orderBy("start", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)) + F.expr(f"INTERVAL {gap}")
+    begins = F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)
+    numbered = rows.withColumn("_begins", begins).withColumn("_session", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*within, "_session").agg(F.min("start").alias("start"), F.max("last").alias("last"), F.sum("n").alias("n"))
+
+
+def debounce(events: DataFrame, key: str, gap: str = "800 milliseconds", time_slice: int = 3600) -> DataFrame:
+    """(key, start, scan_at, n): bursts of events less than `gap` apart; the scan starts when a burst is over.
+
+    Bursts are put together inside slices of `time_slice` seconds first, in as many tasks as there are slices of a key. Only a
+    slice's first and last burst can go on in another slice; just these meet again, two rows for each slice at most.
+    """
+    sliced = events.select(F.col(key), F.col("ts").alias("start"), F.col("ts").alias("last"), F.lit(1).cast("long").alias("n"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / time_slice).alias("_slice"))
+    parts = _sessions(sliced, [key, "_slice"], gap)
+    inner = Window.partitionBy(key, "_slice")
+    marked = parts.withColumn("_border", (F.col("_session") == 1) | (F.col("_session") == F.max("_session").over(inner)))
+    border = _sessions(marked.filter("_border").select(key, "start", "last", "n"), [key], gap)
+    whole = marked.filter("not _border").select(key, "start", "last", "n").unionByName(border.select(key, "start", "last", "n"))
+    return whole.select(key, "start", (F.col("last") + F.expr(f"INTERVAL {gap}")).alias("scan_at"), "n")
 
 
 def log_tail(logs: DataFrame, now, most: int = 200, seconds: int = 900) -> DataFrame:
@@ -101,20 +121,38 @@ def directory_size(listing: DataFrame) -> DataFrame:
     return listing.filter(~F.col("name").startswith(".")).groupBy("folder").agg(F.sum("size").alias("bytes"))
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank") -> DataFrame:
+    """The frame with each row's rank in its key, from 1 on, in the order of other columns; a key may fill many tasks.
+
+    Rows are sorted over all tasks by key and order, and written; a row's rank is its place in its task plus the number of
+    the key's rows in tasks before, which are counted in one small row for each key and task. Equal rows have some order.
+    """
+    path = scratch_folder(df.sparkSession, "ranked")
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    counts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rows")
+    shifts = counts.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col("_part").alias("_p"), (before - F.col("_first") + 1).alias("_shift"))
+    same = F.col("_part") == F.col("_p")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    return rows.join(shifts, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(rank))
+
+
 def unique_names(df: DataFrame, order: str = "doc_id", folder: str = "folder", name: str = "name", ext: str = "ext") -> DataFrame:
     """The frame with file_name: unsafe characters become -, and equal names of a folder are numbered from 2 to 999.
 
-    Beyond that the order column makes the name unique.
+    Beyond that the order column makes the name unique. One name may be that of all documents.
     """
-    clean = F.regexp_replace(F.col(name), r'[/\\:*?"<>|]', "-")
-    n = F.row_number().over(Window.partitionBy(folder, clean, ext).orderBy(order))
+    clean = df.withColumn("_clean", F.regexp_replace(F.col(name), r'[/\\:*?"<>|]', "-"))
     suffix = F.when(F.col(ext) != "", F.concat(F.lit("."), F.col(ext))).otherwise("")
     number: Column = F.when(F.col("_n") == 1, "").when(F.col("_n") <= 999, F.concat(F.lit(" "), F.col("_n"))).otherwise(F.concat(F.lit(" "), F.col(order).cast("string")))
-    return df.withColumn("_n", n).withColumn("file_name", F.concat(clean, number, suffix)).drop("_n")
+    return ranked(clean, [folder, "_clean", ext], [order], "_n").withColumn("file_name", F.concat("_clean", number, suffix)).drop("_n", "_clean")
 
 
 def route_outputs(outputs: DataFrame, folders: DataFrame) -> DataFrame:
     """Outputs with `dest`, by their folder's mode: sameFolder, chosenFolder, or historyOnly, which writes no file."""
-    joined = outputs.join(F.broadcast(folders), "folder")
+    joined = outputs.join(folders, "folder")
     dest = F.when(F.col("mode") == "sameFolder", F.col("folder")).when(F.col("mode") == "chosenFolder", F.col("chosen"))
     return joined.withColumn("dest", dest).filter("dest is not null").drop("mode", "chosen")

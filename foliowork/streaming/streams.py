@@ -6,17 +6,17 @@ state is dropped; rows later than it are left out.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foliowork.operators.html import to_markdown
 from foliowork.operators.jobs import FINISHED
 from foliowork.operators.rules import DEFAULT_EXCLUDES, match_rules
 from foliowork.sources.readers import admission, decode_text
+from foliowork.streaming.ordered import in_order
 
 WATERMARK = "10 minutes"
 #: Seconds without news after which a file or a job is forgotten.
@@ -38,54 +38,68 @@ def debounce(events: DataFrame, key: str, gap: str = "800 milliseconds", waterma
     return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("scan_at"), "n")
 
 
-def stable(listings: DataFrame, seconds: float = 1.0, forget: float = FORGET) -> DataFrame:
+def _moment(micros: pd.Series) -> pd.Series:
+    return pd.to_datetime(micros, unit="us")
+
+
+def stable(listings: DataFrame, seconds: float = 1.0, forget: float = FORGET, watermark: str = WATERMARK) -> DataFrame:
     """(folder, name, size, modified, seen_at): listing rows whose signature is that of the scan before, long enough ago.
 
-    A file that no listing has named for `forget` seconds is forgotten; named again, it starts anew.
+    Scans are taken in the order of their event time, once the watermark has passed them. A file that no listing has named for
+    `forget` seconds of event time is forgotten; named again, it starts anew.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("seen_at")
-        last = state.get if state.exists else None
-        out = []
-        for r in rows.itertuples():
-            at = r.seen_at.timestamp()
-            if last is not None and (last[0], last[1]) == (r.size_, r.modified) and at - last[2] >= seconds:
-                out.append((key[0], key[1], r.size_, r.modified, r.seen_at))
-            last = (int(r.size_), float(r.modified), at)
-        state.update(last)
-        state.setTimeoutDuration(int(forget * 1000))
-        yield pd.DataFrame(out, columns=["folder", "name", "size", "modified", "seen_at"])
+    def fold(last: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        rows = rows.reset_index(drop=True)
+        before = rows.shift(1)
+        if last is not None:
+            before.loc[0, ["time_us", "size", "modified"]] = last
+        same = (rows["size"] == before["size"]) & (rows["modified"] == before["modified"]) & (rows["time_us"] - before["time_us"] >= seconds * 1e6)
+        kept, end = rows[same], rows.iloc[-1]
+        out = pd.DataFrame({"size": kept["size"], "modified": kept["modified"], "seen_at": _moment(kept["time_us"])})
+        return (int(end["time_us"]), int(end["size"]), float(end["modified"])), out
+
+    state, out = "at_us long, size long, modified double", "size long, modified double, seen_at timestamp"
+    return in_order(listings, ["folder", "name"], "seen_at", ["size", "modified"], state, out, fold, watermark, forget)
+
 
-    rows = listings.select("folder", "name", F.col("size").alias("size_"), "modified", "seen_at")
-    schema = "folder string, name string, size long, modified double, seen_at timestamp"
-    return rows.groupBy("folder", "name").applyInPandasWithState(step, schema, "size long, modified double, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def new_signatures(listings: DataFrame, include: str = "", exclude: str = DEFAULT_EXCLUDES, forget: float = FORGET, watermark: str = WATERMARK) -> DataFrame:
+    """(path, size, modified, seen_at): admitted files of the listings (path, size, modified, seen_at), once for each signature.
 
+    A file that changes is given again; one that is listed again as it was is not, however often and across restarts: its
+    signature is kept as long as listings name it, and `forget` seconds of event time beyond.
+    """
+    named = listings.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).filter(match_rules("name", include, exclude))
+    admitted = admission(named.withColumnRenamed("size", "length")).filter("verdict = 'ok'").withColumnRenamed("length", "size")
+
+    def fold(last: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        known = set() if last is None else set(zip(last[0], last[1], strict=True))
+        first = rows.drop_duplicates(["size", "modified"])
+        new = first[[x not in known for x in zip(first["size"], first["modified"], strict=True)]]
+        known |= set(zip(new["size"], new["modified"], strict=True))
+        sizes, dates = (list(x) for x in zip(*sorted(known), strict=True))
+        return (sizes, dates), pd.DataFrame({"size": new["size"], "modified": new["modified"], "seen_at": _moment(new["time_us"])})
+
+    state, out = "sizes array<long>, dates array<double>", "size long, modified double, seen_at timestamp"
+    return in_order(admitted, ["path"], "seen_at", ["size", "modified"], state, out, fold, watermark, forget)
 
-def job_state(progress: DataFrame, forget: float = FORGET) -> DataFrame:
+
+def job_state(progress: DataFrame, forget: float = FORGET, watermark: str = WATERMARK) -> DataFrame:
     """(job_id, stage, ts) whenever a job's stage is known anew; a finished job stays, unless it is cancelled.
 
-    A job without progress for `forget` seconds is forgotten, finished or not.
+    Reports are taken in the order of ts and seq, once the watermark has passed them. A job without progress for `forget`
+    seconds of event time is forgotten, finished or not.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        stage, at = state.get if state.exists else (None, None)
-        for r in rows.itertuples():
-            if stage not in FINISHED or r.stage == "cancelled":
-                stage, at = r.stage, r.ts
-        state.update((stage, at))
-        state.setTimeoutDuration(int(forget * 1000))
-        yield pd.DataFrame([(key[0], stage, at)], columns=["job_id", "stage", "ts"])
+    def fold(last: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        stage, at = (None, None) if last is None else last
+        ended = rows["stage"].isin(FINISHED).cumsum().shift(1, fill_value=0) > 0
+        counted = rows[(rows["stage"] == "cancelled") | ~(ended | (stage in FINISHED))]
+        if len(counted):
+            stage, at = counted["stage"].iloc[-1], int(counted["time_us"].iloc[-1])
+        return (stage, at), pd.DataFrame({"stage": [stage], "ts": _moment(pd.Series([at]))})
 
-    kind = progress.schema["job_id"].dataType.simpleString()
-    return progress.groupBy("job_id").applyInPandasWithState(step, f"job_id {kind}, stage string, ts timestamp", "stage string, ts timestamp", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return in_order(progress, ["job_id"], "ts", ["seq", "stage"], "stage string, at long", "stage string, ts timestamp", fold, watermark, forget)
 
 
 def stalled(progress: DataFrame, seconds: int = 60, watermark: str = "1 second") -> DataFrame:
@@ -124,15 +138,17 @@ def match_handoffs(requests: DataFrame, responses: DataFrame, seconds: int = 600
     return asked.join(answers, on, "leftOuter").select("id", F.coalesce("answer", F.lit("timeout")).alias("status"))
 
 
-def convert_stream(files: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query that turns arriving files into Markdown with a quality score and hands each batch to `sink`.
+def arriving(files: DataFrame) -> DataFrame:
+    """Watched files as documents (doc_id, ext, text, name, mtime): the path is the id."""
+    return files.select(F.col("path").alias("doc_id"), "ext", decode_text("content").alias("text"), "name", "mtime")
+
+
+def convert_stream(docs: DataFrame, store: str, checkpoint: str, mode: str = "markdown"):
+    """Start a query that converts arriving documents (doc_id, ext, text, name, mtime) into a store of documents and history.
 
-    The sink gets (doc_id, markdown, overall, source_name) and the batch's number, and must take a batch twice as once.
+    Each batch is written below its number and counts once its commit is there, so a batch that broke off and comes again
+    takes the place of what was left of it: every document is there once. See sources.store for reading.
     """
-    from foliowork.operators.quality import quality_score
+    from foliowork.sources.store import write_batch
 
-    text = decode_text("content")
-    markdown = F.when(F.col("ext") == "html", to_markdown(text)).otherwise(text)
-    converted = files.select(F.col("path").alias("doc_id"), F.col("name").alias("source_name"), markdown.alias("markdown"), F.lit(1).alias("pages"))
-    scored = quality_score(converted).select("doc_id", "source_name", "markdown", "overall")
-    return scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return docs.writeStream.foreachBatch(lambda batch, n: write_batch(batch, n, store, mode)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
