@@ -58,13 +58,13 @@ def _letters(kind: str) -> str:
 class _Memo(dict):
     """Ids of pieces, computed when first asked for; bounded."""
 
-    def __init__(self, ids_of):
-        self.ids_of = ids_of
+    def __init__(self, ids_of, share: int = 1):
+        self.ids_of, self.share = ids_of, share
 
     def __missing__(self, piece):
         ids = self.ids_of(piece)
         if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO // self.share:
                 self.clear()
             self[piece] = ids
         return ids
@@ -102,35 +102,53 @@ class Bpe:
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if special else None
         self.of_text = _Memo(lambda piece: self.encode_piece(piece.encode("utf-8")))
         self.of_letters = _Memo(lambda piece: self.encode_piece(bytes(self.byte[c] for c in piece)))
+        self.of_fragment, self.of_last_fragment = _Memo(self.of_inner, 4), _Memo(self.of_last, 4)
 
-    def _pairs(self, vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        inside, at_end = np.zeros((256, 256), dtype=bool), np.zeros((256, 256), dtype=bool)
+    def _pairs(self, vocab: dict[str, int]) -> tuple[bytearray, bytearray]:
+        inside, at_end = bytearray(1 << 16), bytearray(1 << 16)
         for token in vocab:
             ends = bool(self.end) and token.endswith(self.end)
             own = [self.byte[c] for c in (token[: -len(self.end)] if ends else token)]
             stop = len(own) - 1
             for k in range(stop):
-                (at_end if ends and k == stop - 1 else inside)[own[k], own[k + 1]] = True
+                (at_end if ends and k == stop - 1 else inside)[own[k] << 8 | own[k + 1]] = 1
         return inside, at_end if self.end else inside
 
     def cuts(self, data: bytes) -> list[int]:
         """Places in a piece between bytes that no token joins."""
-        own = np.frombuffer(data, dtype=np.uint8)
-        free = ~self.joined[own[:-1], own[1:]]
-        free[-1:] = ~self.joined_last[own[-2:-1], own[-1:]]
-        return (np.flatnonzero(free) + 1).tolist()
+        if len(data) > LONG:
+            own = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+            free = np.frombuffer(self.joined, dtype=bool)[own[:-1] << 8 | own[1:]] ^ True
+            out = (np.flatnonzero(free[:-1]) + 1).tolist()
+        else:
+            joined = self.joined
+            out = [k for k, (a, b) in enumerate(zip(data[:-2], data[1:]), 1) if not joined[a << 8 | b]]
+        if len(data) > 1 and not self.joined_last[data[-2] << 8 | data[-1]]:
+            out.append(len(data) - 1)
+        return out
 
     def encode_piece(self, data: bytes) -> list[int]:
-        """Ids of one piece, fragment by fragment."""
-        ids = [self.inner[b] for b in data]
-        ids[-1] = self.last[data[-1]]
-        if len(ids) < 2:
-            return ids
+        """Ids of one piece, fragment by fragment; fragments inside a piece are remembered like pieces."""
+        cuts = self.cuts(data)
+        if not cuts:
+            return self.of_last(data)
         out, start = [], 0
-        for stop in (*self.cuts(data), len(data)):
-            out += self.merge(ids[start:stop])
+        for stop in cuts:
+            out += self.of_fragment[data[start:stop]]
             start = stop
-        return out
+        return out + self.of_last_fragment[data[start:]]
+
+    def of_inner(self, data: bytes) -> list[int]:
+        """Ids of a fragment that does not end its piece."""
+        inner = self.inner
+        return self.merge([inner[b] for b in data])
+
+    def of_last(self, data: bytes) -> list[int]:
+        """Ids of a fragment that ends its piece."""
+        inner = self.inner
+        ids = [inner[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        return self.merge(ids)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge the pair of the least rank, the leftmost of equal ones, until no pair can be merged."""
@@ -140,12 +158,12 @@ class Bpe:
         ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) < none:
             at = ranks.index(best)
-            ids[at : at + 2] = [self.made[best]]
-            del ranks[at]
+            ids[at] = own = self.made[best]
+            del ids[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = rank(ids[at - 1] << 32 | ids[at], none)
+                ranks[at - 1] = rank(ids[at - 1] << 32 | own, none)
             if at < len(ranks):
-                ranks[at] = rank(ids[at] << 32 | ids[at + 1], none)
+                ranks[at] = rank(own << 32 | ids[at + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
