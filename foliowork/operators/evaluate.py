@@ -137,9 +137,23 @@ def corpus_score(df: DataFrame) -> DataFrame:
 
 
 def stable_sample(df: DataFrame, n: int, seed: int = 7, key: str = "key") -> DataFrame:
-    """The same n rows for every caller, whatever the order and partitioning: the least seeded hashes, sorted by key."""
-    chosen = df.withColumn("_rank", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).orderBy("_rank", key).limit(n)
-    return chosen.drop("_rank").orderBy(key)
+    """The same n rows for every caller, whatever the order and partitioning: those with the least seeded hashes.
+
+    Rows are counted by the first four digits of their hash; those below the digits at which n is reached are in, and only the
+    rows with just these digits, one in 65,536, are put in order. Keys are unique; a null key counts as its own hash.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    ranked = df.withColumns({"_rank": digest, "_head": F.substring(digest, 1, 4)})
+    below, edge = 0, None
+    for head, rows in sorted(tuple(r) for r in ranked.groupBy("_head").count().collect()):  # 65,536 rows at most
+        if below + rows > n:
+            edge = head
+            break
+        below += rows
+    if edge is None:
+        return df
+    rim = ranked.filter(F.col("_head") == edge).orderBy("_rank", key).limit(n - below)
+    return ranked.filter(F.col("_head") < edge).unionByName(rim).drop("_rank", "_head")
 
 
 def check_sample(sample: DataFrame, n: int, available: DataFrame, key: str = "key") -> DataFrame:

@@ -107,12 +107,15 @@ def document_type(text: Column | str) -> Column:
 
 
 def language_votes(text: Column | str, prefix: int) -> Column:
-    """Array of struct(hits, lang), one per language that has hits, in a prefix of the text."""
-    words = F.filter(F.split(F.lower(F.substring(col(text), 1, prefix)), r"[^\p{L}]+", -1), lambda w: w != "")
+    """Array of struct(hits, lang), one per language that has hits, in a prefix of the text.
+
+    A language's hits are the letter runs that are one of its words: one pass of one pattern for each language.
+    """
+    lowered = F.lower(F.substring(col(text), 1, prefix))
 
     def votes(lang: str) -> Column:
-        known = F.array(*map(F.lit, STOP_WORDS[lang]))
-        return F.struct(F.size(F.filter(words, lambda w: F.array_contains(known, w))).cast("long").alias("hits"), F.lit(lang).alias("lang"))
+        words = "|".join(sorted(STOP_WORDS[lang], key=len, reverse=True))
+        return F.struct(F.regexp_count(lowered, F.lit(rf"(?<!\p{{L}})(?:{words})(?!\p{{L}})")).cast("long").alias("hits"), F.lit(lang).alias("lang"))
 
     return F.filter(F.array(*map(votes, STOP_WORDS)), lambda v: v["hits"] > 0)
 
@@ -231,20 +234,23 @@ def first_seen(values: Column, most: int = 10) -> Column:
     return F.slice(F.array_distinct(values), 1, most)
 
 
-def key_phrases(text: Column | str, most: int = 10) -> Column:
-    """The ten most frequent runs of two to four words between stop words and marks; ties in alphabetical order."""
-    stop = F.array(*map(F.lit, sorted({w for words in STOP_WORDS.values() for w in words})))
-    marked = F.transform(tokens(F.regexp_replace(F.lower(F.substring(col(text), 1, 8000)), r"([.,;:!?|])", " $1 ")), lambda w: F.when(F.array_contains(stop, w) | F.regexp_like(w, F.lit(r"^[^\p{L}]")), "|").otherwise(w))
-    runs = F.filter(F.transform(F.split(F.array_join(marked, " "), r"\|", -1), lambda r: F.trim(r)), lambda r: F.size(F.split(r, " ")).between(2, 4))
-    zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.array().cast("array<struct<n:int,phrase:string>>").alias("done"))
+def phrases(text: Column | str, least: int = 2) -> Column:
+    """Maximal runs of `least` and more words between stop words and marks, in lower case, of the first 8,000 characters."""
+    stop = "|".join(sorted({w for words in STOP_WORDS.values() for w in words}))
+    parts = F.regexp_extract_all(F.lower(F.substring(col(text), 1, 8000)), F.lit(r"\p{L}+|[^\p{L}\s]"), F.lit(0))
+    marked = F.transform(parts, lambda w: F.when(F.regexp_like(w, F.lit(rf"^(?:{stop}|[^\p{{L}}])$")), "|").otherwise(w))
+    runs = F.transform(F.split(F.array_join(marked, " "), r"\|", -1), lambda r: F.trim(r))
+    return F.filter(runs, lambda r: F.size(F.split(r, " ")) >= least)
 
-    def step(acc: Column, r: Column) -> Column:
-        same = r == acc["last"]
-        closed = F.when(acc["run"] > 0, F.concat(acc["done"], F.array(F.struct((-acc["run"]).alias("n"), acc["last"].alias("phrase"))))).otherwise(acc["done"])
-        return F.struct(r.alias("last"), F.when(same, acc["run"] + 1).otherwise(1).alias("run"), F.when(same, acc["done"]).otherwise(closed).alias("done"))
 
-    counted = F.aggregate(F.concat(F.array_sort(runs), F.array(F.lit("~"))), zero, step)["done"]
-    return F.transform(F.slice(F.array_sort(counted), 1, most), lambda p: p["phrase"])
+def key_phrases(df: DataFrame, text: str = "text", most: int = 10) -> DataFrame:
+    """(doc_id, rank, phrase, n): the most frequent phrases of each document; ties in alphabetical order.
+
+    Runs are found in the row; each distinct one of a document is one row of the count, and ranked inside its document.
+    """
+    counted = df.select("doc_id", F.explode(phrases(text)).alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "phrase"))
+    return counted.withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id", "rank", "phrase", "n")
 
 
 #: Words with a tone, for the lexicon form of the score.

@@ -92,6 +92,14 @@ def select_best(candidates: DataFrame, by: str = "doc_id", score: str = "overall
     return best.select(*(F.col("best").getField(c).alias(c) for c in candidates.columns))
 
 
+def union_candidates(*outputs: DataFrame) -> DataFrame:
+    """The outputs of several engines, one below the other, with `ord`, the engine's place; columns that one lacks are null."""
+    stacked = outputs[0].withColumn("ord", F.lit(0))
+    for place, more in enumerate(outputs[1:], 1):
+        stacked = stacked.unionByName(more.withColumn("ord", F.lit(place)), allowMissingColumns=True)
+    return stacked
+
+
 def quality_select(basic: DataFrame, secondary) -> DataFrame:
     """The better of two engines' outputs, where the second runs only for documents that need it.
 
@@ -100,10 +108,9 @@ def quality_select(basic: DataFrame, secondary) -> DataFrame:
     """
     from foliowork.operators.rules import needs_secondary
 
-    scored = quality_score(basic).withColumn("ord", F.lit(0))
+    scored = quality_score(basic)
     needy = scored.filter(needs_secondary(F.col("pages"), F.col("scanned"), F.col("special"), F.col("overall"))).select(*basic.columns)
-    second = quality_score(secondary(needy)).withColumn("ord", F.lit(1))
-    return select_best(scored.unionByName(second))
+    return select_best(union_candidates(scored, quality_score(secondary(needy))))
 
 
-__all__ = ["BUDGET_SCORE", "coverage", "quality_score", "quality_select", "select_best", "structure_score"]
+__all__ = ["BUDGET_SCORE", "coverage", "quality_score", "quality_select", "select_best", "structure_score", "union_candidates"]

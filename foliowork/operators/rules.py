@@ -281,22 +281,24 @@ def degenerate(text: Column | str) -> Column:
     from foliowork.functions.text import let, lines, tokens
 
     x = col(text)
-    zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
     def step(acc: Column, t: Column) -> Column:
         run = F.when(t == acc["last"], acc["run"] + 1).otherwise(1)
         return F.struct(t.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
 
-    def most(values: Column) -> Column:
-        return F.aggregate(F.array_sort(values), zero, step)["most"]
+    def most(values: Column, empty) -> Column:
+        counted = lambda own: F.aggregate(F.sort_array(own), F.struct(empty.alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")), step)["most"]
+        return let(values, lambda own: F.when(F.size(own) - F.size(F.array_distinct(own)) < 5, 0).otherwise(counted(own)))
 
     own = F.filter(F.transform(lines(x), trim_all), lambda t: t != "")
     words = tokens(x)
-    grams = let(words, lambda w: F.when(F.size(w) >= 12, F.transform(F.sequence(F.lit(1), F.size(w) - 11), lambda i: F.md5(F.array_join(F.slice(w, i, F.lit(12)), " ")))).otherwise(F.array().cast("array<string>")))
+    # Windows of twelve words by the hashes of their words' hashes: words are hashed once, and windows are numbers.
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    grams = let(hashed, lambda w: F.when(F.size(w) >= 17, F.transform(F.sequence(F.lit(1), F.size(w) - 11), lambda i: F.xxhash64(F.slice(w, i, F.lit(12))))).otherwise(F.array().cast("array<long>")))
     return F.array_compact(
         F.array(
             F.when(trim_all(x) == "", "empty"), F.when(F.size(words) > 3500, "too many words"), F.when(F.octet_length(x) > 120_000, "too many bytes"),
-            F.when(most(own) >= 6, "repeated line"), F.when(most(grams) >= 6, "repeated phrase"),
+            F.when(most(own, F.lit("")) >= 6, "repeated line"), F.when(most(grams, F.lit(0).cast("long")) >= 6, "repeated phrase"),
         )
     )
 

@@ -295,7 +295,11 @@ def duplication_penalty(text: Column | str) -> Column:
         more = F.when(same, F.when(acc["run"] == 1, 2).otherwise(1)).otherwise(0)
         return F.struct(t.alias("last"), F.when(same, acc["run"] + 1).otherwise(1).cast("long").alias("run"), (acc["repeated"] + more).alias("repeated"))
 
-    return let(own, lambda kept: F.when(F.size(kept) > 4, F.aggregate(F.array_sort(kept), zero, step)["repeated"] / F.size(kept)).otherwise(0.0))
+    def share(kept: Column) -> Column:
+        repeated = F.aggregate(F.sort_array(kept), zero, step)["repeated"] / F.size(kept)
+        return F.when((F.size(kept) <= 4) | (F.size(F.array_distinct(kept)) == F.size(kept)), 0.0).otherwise(repeated)
+
+    return let(own, share)
 
 
 def title(text: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,66 +119,92 @@ def sequence_ratio(pairs: DataFrame, reference: str = "reference", text: str = "
     return pairs.withColumn("sim", ratio(col(reference), col(text)))
 
 
-def _tree(rows: list[list[tuple[str, int, int]]]) -> tuple[list[tuple], list[int], list[int]]:
-    """A table as a tree in post-order: labels, leftmost leaves, and the key roots."""
-    labels, left = [], []
-    for row in rows:
-        first = len(labels)
-        for cell in row:
-            labels.append(("cell", *cell))
-            left.append(len(labels) - 1)
-        labels.append(("row", "", 1, 1))
-        left.append(first)
-    labels.append(("table", "", 1, 1))
-    left.append(0)
-    roots = sorted({x: i for i, x in enumerate(left)}.values())
-    return labels, left, roots
+def _text_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Normalised edit distances of all texts of one list to all of the other, a whole column of pairs at a time."""
+    out = np.zeros((len(a), len(b)))
+    sizes = np.array([len(y) for y in b])
+    wide = int(sizes.max(initial=0))
+    letters = np.zeros((len(b), wide), dtype=np.int64)
+    for k, y in enumerate(b):
+        letters[k, : len(y)] = [ord(c) for c in y]
+    step, rows = np.arange(wide + 1), np.arange(len(b))
+    for i, x in enumerate(a):
+        line = np.tile(step, (len(b), 1))
+        for n, c in enumerate(x, 1):
+            best = np.minimum(line[:, 1:] + 1, line[:, :-1] + (letters != ord(c)))
+            line = _cheapest(np.concatenate((np.full((len(b), 1), n), best), axis=1))
+        longest = np.maximum(sizes, len(x))
+        out[i] = line[rows, sizes] / np.where(longest > 0, longest, 1)
+    return out
+
+
+def _cheapest(cost: np.ndarray) -> np.ndarray:
+    """Costs at each place when every step to the right costs one more: a running minimum."""
+    step = np.arange(cost.shape[-1])
+    return np.minimum.accumulate(cost - step, axis=-1) + step
 
 
 def tree_similarity(truth: list, other: list, structural: bool = False) -> float:
     """One minus the edit distance of two tables' trees over the larger number of nodes.
 
     Renaming costs 1 where kind or spans differ, else the normalised edit distance of the texts, or nothing if only
-    the structure counts.
+    the structure counts. A tree has three levels, so distances of its parts are known from the cells up: those of two rows
+    are edit distances of their cells, all rows of the other table at a time; the tables' forests are then compared a node by
+    all nodes of the other.
     """
-    a, al, ar = _tree(truth)
-    b, bl, br = _tree(other)
-
-    def text_distance(x: str, y: str) -> float:
-        if x == y:
-            return 0.0
-        line = list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
-            last, line[0] = line[0], i
-            for j, q in enumerate(y, 1):
-                last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (p != q))
-        return line[-1] / max(len(x), len(y))
-
-    def rename(x: tuple, y: tuple) -> float:
-        if x[0] != y[0] or x[2:] != y[2:]:
-            return 1.0
-        return 0.0 if structural else text_distance(x[1], y[1])
-
-    distance = [[0.0] * len(b) for _ in a]
-    for i in ar:
-        for j in br:
-            x0, y0 = al[i], bl[j]
-            m, n = i - x0 + 2, j - y0 + 2
-            forest = [[0.0] * n for _ in range(m)]
-            for x in range(1, m):
-                forest[x][0] = x
-            for y in range(1, n):
-                forest[0][y] = y
-            for x in range(1, m):
-                for y in range(1, n):
-                    p, q = x + x0 - 1, y + y0 - 1
-                    both = min(forest[x - 1][y] + 1, forest[x][y - 1] + 1)
-                    if al[p] == x0 and bl[q] == y0:
-                        forest[x][y] = min(both, forest[x - 1][y - 1] + rename(a[p], b[q]))
-                        distance[p][q] = forest[x][y]
-                    else:
-                        forest[x][y] = min(both, forest[al[p] - x0][bl[q] - y0] + distance[p][q])
-    return 1 - distance[-1][-1] / max(len(a), len(b))
+    cells_a, cells_b = ([c for row in t for c in row] for t in (truth, other))
+    nodes = max(len(truth) + len(cells_a), len(other) + len(cells_b)) + 1
+    if not cells_a or not cells_b:  # rows alone are renamed for nothing
+        return 1 - (abs(len(truth) - len(other)) + len(cells_a) + len(cells_b)) / nodes
+    spans = [np.array([c[1:] for c in cells]) for cells in (cells_a, cells_b)]
+    rename = (spans[0][:, None, :] != spans[1][None, :, :]).any(axis=2).astype(float)
+    if not structural:
+        (texts_a, at_a), (texts_b, at_b) = (np.unique(np.array([c[0] for c in cells], dtype=object), return_inverse=True) for cells in (cells_a, cells_b))
+        rename = np.maximum(rename, _text_distances(list(texts_a), list(texts_b))[at_a][:, at_b])
+
+    widths_a, widths_b = (np.array([len(r) for r in t]) for t in (truth, other))
+    first_a, first_b = (np.cumsum(w) - w for w in (widths_a, widths_b))
+    # Of each row of `truth` and all rows of `other`: the edit distance of their cells.
+    wide = int(widths_b.max())
+    place = np.minimum(first_b[:, None] + np.arange(wide), len(cells_b) - 1)
+    rows = np.zeros((len(truth), len(other)))
+    for i, (first, width) in enumerate(zip(first_a.tolist(), widths_a.tolist(), strict=True)):
+        line = np.tile(np.arange(wide + 1.0), (len(other), 1))
+        for n in range(width):
+            best = np.minimum(line[:, 1:] + 1, line[:, :-1] + rename[first + n][place])
+            line = _cheapest(np.concatenate((np.full((len(other), 1), n + 1.0), best), axis=1))
+        rows[i] = line[np.arange(len(other)), widths_b]
+
+    def post_order(widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the nodes below the table: the row (from 0) of a row's node or -1 - cell, and the leftmost leaf."""
+        kind, left, cell = [], [], 0
+        for r, w in enumerate(widths.tolist()):
+            left += [len(kind) + k for k in range(w)] + [len(kind)]
+            kind += [-1 - (cell + k) for k in range(w)] + [r]
+            cell += w
+        return np.array(kind), np.array(left)
+
+    (kind_a, left_a), (kind_b, left_b) = post_order(widths_a), post_order(widths_b)
+    is_row_b, at_b = kind_b >= 0, np.where(kind_b >= 0, kind_b, -1 - kind_b)
+    size_b = np.arange(len(kind_b)) - left_b + 1
+    # The cheapest cell of each row for a cell of the other table; a row without cells has none.
+    own_rows = np.where(widths_b > 0)[0]
+    nearest_b = np.ones((len(cells_a), len(other)))
+    nearest_b[:, own_rows] = np.minimum(np.minimum.reduceat(rename, first_b[own_rows], axis=1), 1.0)
+    own_rows = np.where(widths_a > 0)[0]
+    nearest_a = np.ones((len(truth), len(cells_b)))
+    nearest_a[own_rows] = np.minimum(np.minimum.reduceat(rename, first_a[own_rows], axis=0), 1.0)
+    forest = np.zeros((len(kind_a) + 1, len(kind_b) + 1))
+    forest[0] = np.arange(len(kind_b) + 1)
+    for x, (kind, left) in enumerate(zip(kind_a.tolist(), left_a.tolist(), strict=True)):
+        if kind >= 0:
+            subtree = np.where(is_row_b, rows[kind][np.where(is_row_b, at_b, 0)], (x - left) + nearest_a[kind][np.where(is_row_b, 0, at_b)])
+        else:
+            cell = -1 - kind
+            subtree = np.where(is_row_b, size_b - 1 + nearest_b[cell][np.where(is_row_b, at_b, 0)], rename[cell][np.where(is_row_b, 0, at_b)])
+        best = np.minimum(forest[x][1:] + 1, forest[left][left_b] + subtree)
+        forest[x + 1] = _cheapest(np.concatenate(([x + 1.0], best)))
+    return float(1 - forest[-1][-1] / nodes)
 
 
 def table_similarity(pairs: DataFrame, most_nodes: int = 4000) -> DataFrame:

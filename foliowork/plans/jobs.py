@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliowork.functions.text import cer, completeness, wer
+from foliowork.functions.text import cer, completeness, norm_lev, token_f1, wc_meaningful, wer
 from foliowork.operators.evidence import detect_language, document_type, page_evidence, sample_pages
-from foliowork.operators.evaluate import fidelity_summary, mean_similarity, stable_sample, todo
+from foliowork.operators.evaluate import fidelity_summary, leaderboard, mean_similarity, ocr_summary, qa_hits, qa_total, stable_sample, todo
 from foliowork.operators.quality import quality_score
 from foliowork.operators.rules import advise, classify_content, engine, hints, recommend
 from foliowork.operators.structure import insert_tables, line_table, merge_lines, missing_tables, reflow, repair_headings, retention, structure, table_blocks, title, validate_content
-from foliowork.operators.tables import cells_to_markdown, csv_cells, sequence_ratio
+from foliowork.operators.tables import cells_to_markdown, csv_cells, sequence_ratio, table_similarity
 from foliowork.operators.walker import pages_to_markdown
-from foliowork.sources.sinks import render
+from foliowork.sources.sinks import append_results, render
 
 
 def extract(src: DataFrame) -> DataFrame:
@@ -70,17 +72,56 @@ def triage(pages: DataFrame) -> DataFrame:
     return routed.select("doc_id", "r.pathway", "r.bucket", "r.confidence", "engine", "hints", advise(F.col("r.bucket"), F.col("r.confidence"), F.col("language"))["advice"].alias("advice"))
 
 
-def evaluate(truth: DataFrame, outputs: DataFrame, results: DataFrame, engine_name: str, sample: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New result rows of an engine over a stable sample, their mean similarity, and the summary of error rates.
+class Evaluation(NamedTuple):
+    """What an evaluation run gives: `rows` for the result log and, beside each other, its summaries of one row or one for each engine."""
+
+    rows: DataFrame
+    similarity: DataFrame
+    fidelity: DataFrame
+    answers: DataFrame
+    recognition: DataFrame
+    tables: DataFrame
+
 
-    `truth` and `outputs` have key and text (outputs: markdown). Finished keys are left out before anything is compared.
+def compare(truth: DataFrame, outputs: DataFrame, results: DataFrame, engine_name: str, sample: int) -> DataFrame:
+    """The open keys of a stable sample with reference, text, status and all measures of the pair.
+
+    `truth` and `outputs` have key and text (outputs: markdown); finished keys are left out before anything is compared.
     """
     chosen = stable_sample(truth.select("key"), sample)
     open_keys = todo(chosen, results, outputs, engine_name)
     pairs = truth.join(open_keys, "key", "left_semi").select("key", F.col("text").alias("reference")).join(outputs.select("key", F.col("markdown").alias("text")), "key", "left")
-    rows = sequence_ratio(pairs).withColumns({"engine": F.lit(engine_name), "status": F.when(F.col("text").isNull(), "missing").otherwise("ok")})
-    scored = pairs.select(cer("reference", "text", cap=True).alias("cer"), wer("reference", "text", cap=True).alias("wer"), completeness("reference", "text").alias("completeness"), F.lit(None).cast("string").alias("error"))
-    return rows.select("key", "engine", "status", "sim"), mean_similarity(rows), fidelity_summary(scored)
+    return sequence_ratio(pairs).withColumns(
+        {
+            "engine": F.lit(engine_name), "status": F.when(F.col("text").isNull(), "missing").otherwise("ok"), "error": F.lit(None).cast("string"),
+            "gt_words": wc_meaningful("reference"), "md_words": wc_meaningful("text"), "cer": cer("reference", "text", cap=True), "wer": wer("reference", "text", cap=True),
+            "completeness": completeness("reference", "text"), "f1": token_f1("reference", "text"), "ned": norm_lev("reference", "text"),
+        }
+    )
+
+
+def evaluate(
+    truth: DataFrame, outputs: DataFrame, results: DataFrame, engine_name: str, sample: int, questions: DataFrame | None = None, confidences: DataFrame | None = None, tables: DataFrame | None = None, log: str | None = None
+) -> Evaluation:
+    """Run an engine's evaluation over a stable sample: measures of every pair, and the summaries over them.
+
+    `questions` (key, question, answer) are answered from the outputs; `confidences` (key, confidence) are those of recognition;
+    `tables` (key, truth, other) are pairs of tables. Only keys of this run count. Rows are added to the result log at `log`.
+    """
+    rows = compare(truth, outputs, results, engine_name, sample)
+    if log is not None:
+        stored = rows.select("key", "engine", "status", "gt_words", "md_words", "sim", "error")
+        append_results(stored, log)
+    own = rows.select("key", "text")
+    spark = truth.sparkSession
+    asked = questions if questions is not None else spark.createDataFrame([], "key long, question string, answer string")
+    hits = qa_hits(asked.join(own.select("key"), "key", "left_semi").withColumnRenamed("key", "doc_id"), own.withColumnRenamed("key", "doc_id"))
+    sure = confidences if confidences is not None else own.select("key", F.lit(None).cast("double").alias("confidence"))
+    pairs = tables if tables is not None else own.select("key").withColumns({c: F.lit(None).cast("array<array<struct<value:string,colspan:int,rowspan:int>>>") for c in ("truth", "other")}).limit(0)
+    nodes = lambda c: F.aggregate(F.col(c), F.lit(1), lambda acc, r: acc + 1 + F.size(r))
+    scored = table_similarity(pairs.join(own.select("key"), "key", "left_semi"))
+    board = scored.withColumns({"engine": F.lit(engine_name), "truth_nodes": nodes("truth"), "nodes": nodes("other"), "missing": F.col("other").isNull()})
+    return Evaluation(rows, mean_similarity(rows), fidelity_summary(rows), qa_total(hits), ocr_summary(own.join(sure, "key", "left")), leaderboard(board))
 
 
 def repair(docs: DataFrame) -> DataFrame:

@@ -392,9 +392,15 @@ def first_seen_words(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.array_join(E.first_seen(F.split(col("text"), " ", -1)), " ").alias("words"))
 
 
-@query(None)
+_STOPS = ", ".join(f"'{w}'" for w in sorted({w for words in E.STOP_WORDS.values() for w in words}))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(substr({_T}, 1, 8000)), '\\p{{L}}+|[^\\p{{L}}\\s]') AS p FROM documents)),
+ m AS (SELECT *, regexp_matches(w, '^[^\\p{{L}}]$') OR w IN ({_STOPS}) AS stop FROM t), g AS (SELECT *, sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM m),
+ r AS (SELECT doc_id, island, string_agg(w, ' ' ORDER BY i) AS phrase FROM g WHERE NOT stop GROUP BY ALL HAVING count(*) >= 2), c AS (SELECT doc_id, phrase, count(*) AS n FROM r GROUP BY ALL)
+ SELECT doc_id, phrase, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, phrase) AS rank FROM c) WHERE rank <= 10""")
 def key_phrases(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.array_join(E.key_phrases("text"), ";").alias("phrases"))
+    return E.key_phrases(read(spark, sf, "documents"))
 
 
 _TONE = "CASE w " + " ".join(f"WHEN '{w}' THEN {v}" for w, v in E.TONES.items()) + " END"
@@ -475,6 +481,14 @@ def candidate_budget(spark, sf):
     return scored(spark, sf).select("doc_id", R.needs_secondary(F.col("pages"), d % 10 == 0, F.lit(False), F.col("overall")).alias("secondary"))
 
 
+@query(f"WITH {STRUCTURED} SELECT doc_id, 0 AS ord, converted AS markdown, NULL::DOUBLE AS confidence FROM structured UNION ALL SELECT doc_id, 1, original, (doc_id % 10) / 10.0 FROM structured WHERE doc_id % 2 = 0")
+def candidate_union(spark, sf):
+    """One engine's outputs for all documents, and another's, which has a confidence, for half of them."""
+    s = structured(read(spark, sf, "documents"))
+    second = s.filter("doc_id % 2 = 0").select("doc_id", F.col("original").alias("markdown"), (F.col("doc_id") % 10 / 10.0).alias("confidence"))
+    return Q.union_candidates(s.select("doc_id", F.col("converted").alias("markdown")), second).select("doc_id", "ord", "markdown", "confidence")
+
+
 @query(None)
 def quality_selection(spark, sf):
     s = structured(read(spark, sf, "documents"))

@@ -19,6 +19,13 @@ from foliowork.sources.scratch import scratch_folder
 
 query, QUERIES, ORACLES = book()
 
+
+def sql_meaningful_words(x: str) -> str:
+    """Words that remain without comments, pictures and tags."""
+    bare = rf"regexp_replace(regexp_replace(regexp_replace({x}, '<!--.*?-->', ' ', 'gs'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '</?[^>]+>', ' ', 'g')"
+    return rf"len(regexp_extract_all({bare}, '[\p{{L}}\p{{N}}]+(?:[''’-][\p{{L}}\p{{N}}]+)*'))"
+
+
 _VISIBLE = "regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs')"
 for _tag in H.DROPPED:
     _VISIBLE = f"regexp_replace({_VISIBLE}, '<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'gis')"
@@ -129,10 +136,15 @@ def sequence_similarity(spark, sf):
     return T.sequence_ratio(passage_pairs(spark, sf)).select("item_id", "sim")
 
 
+def _word_rows(text):
+    """A text as a table: a row for each sentence, a cell for each word."""
+    cell = lambda w: F.struct(w.alias("value"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"))
+    return F.transform(F.split(X.col(text), r"\. ", -1), lambda r: F.transform(F.split(r, " ", -1), cell))
+
+
 @query(None)
 def table_tree_similarity(spark, sf):
-    rows = lambda c: F.transform(F.split(X.col(c), r"\. ", -1), lambda r: F.transform(F.split(r, " ", -1), lambda w: F.struct(w.alias("value"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"))))
-    p = passage_pairs(spark, sf).select("item_id", rows("reference").alias("truth"), rows("text").alias("other"))
+    p = passage_pairs(spark, sf).select("item_id", _word_rows("reference").alias("truth"), _word_rows("text").alias("other"))
     return T.table_similarity(p).select("item_id", "structural", "total", "skipped")
 
 
@@ -242,6 +254,16 @@ def document_sink(spark, sf):
     return spark.read.parquet(path).select("doc_id", "text", "file_ext")
 
 
+@query("""SELECT doc_id, coalesce(text, '') AS markdown, 'T ' || doc_id AS title, 'json' AS file_ext FROM documents""")
+def document_json(spark, sf):
+    """What readers of the JSON mode get back."""
+    d = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("T "), F.col("doc_id")).alias("title"), F.col("text").alias("markdown"), *(F.lit("x").alias(c) for c in ("source_name", "language", "type", "pipeline")), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit(1).alias("pages"))
+    path = scratch_folder(spark, "sink")
+    K.write_documents(d, path, "json")
+    payload = F.from_json("text", "markdown string, title string")
+    return spark.read.parquet(path).select("doc_id", payload["markdown"].alias("markdown"), payload["title"].alias("title"), "file_ext")
+
+
 @query(f"WITH {_results('r')}, {_results('n', 9)} SELECT pathway, doc_id, overall_percent FROM n WHERE pathway < 'src2' UNION ALL SELECT pathway, doc_id, overall_percent FROM r WHERE pathway >= 'src2'")
 def baseline_replacement(spark, sf):
     path = scratch_folder(spark, "baselines")
@@ -282,12 +304,42 @@ def _evaluated(spark, sf):
     b = read(spark, sf, "benchmark").select(F.col("item_id").alias("key"), "text")
     outputs = passage_pairs(spark, sf).select(F.col("item_id").alias("key"), F.col("text").alias("markdown"))
     done = b.select("key", F.lit("alpha").alias("engine"), F.when(F.col("key") % 5 == 0, "ok").otherwise("timeout").alias("status"))
-    return jobs.evaluate(b, outputs, done, "alpha", b.count())
+    confidences = b.select("key", (F.length(X.col("text")) % 100 / 100.0).alias("confidence"))
+    pairs = b.withColumnRenamed("text", "truth").join(outputs.withColumnRenamed("markdown", "other"), "key", "left")
+    tables = pairs.select("key", _word_rows("truth").alias("truth"), F.when(F.col("other").isNotNull(), _word_rows("other")).alias("other"))
+    questions = b.select("key", F.lit("what is said?").alias("question"), F.element_at(F.split(X.col("text"), " ", -1), 1).alias("answer"))
+    return jobs.evaluate(b, outputs, done, "alpha", b.count(), questions, confidences, tables)
 
 
 @query(None)
 def evaluation_run(spark, sf):
-    return _evaluated(spark, sf)[0]
+    """The rows that a run adds to the result log, read back from it."""
+    path = scratch_folder(spark, "results")
+    K.append_results(_evaluated(spark, sf).rows.select("key", "engine", "status", "gt_words", "md_words", "sim", "error"), path)
+    return R.read_results(spark, path)
+
+
+_EVALUATED = "p AS (SELECT b.item_id, b.reference, x.text FROM b LEFT JOIN pairs x USING (item_id) WHERE b.item_id % 5 > 0 OR x.item_id IS NULL)"
+
+
+@query(rf"""WITH {PAIRS}, {_EVALUATED}, t AS (SELECT *, coalesce(text, '') AS out, list_distinct({sql_tokens('reference')}) AS rs, list_distinct({sql_tokens("coalesce(text, '')")}) AS hs FROM p)
+ SELECT item_id AS key, 'alpha' AS engine, CASE WHEN text IS NULL THEN 'missing' ELSE 'ok' END AS status, {sql_meaningful_words('reference')} AS gt_words, {sql_meaningful_words('out')} AS md_words,
+  len(list_intersect(rs, hs)) / len(rs) AS completeness, CASE WHEN out = '' THEN 1.0 ELSE {sql_distance('reference', 'out')} / greatest(length(reference), length(out)) END AS ned FROM t""")
+def evaluation_rows(spark, sf):
+    """The measures of every pair of a run that SQL can say."""
+    return _evaluated(spark, sf).rows.select("key", "engine", "status", "gt_words", "md_words", "completeness", "ned")
+
+
+@query(rf"""WITH {PAIRS}, {_EVALUATED}, q AS (SELECT item_id, reference, coalesce(text, '') AS out FROM p)
+ SELECT count(*) AS total, avg(length(reference) % 100 / 100.0) AS avg_confidence, min(length(reference) % 100 / 100.0) AS min_confidence, max(length(reference) % 100 / 100.0) AS max_confidence, avg(least(1.0, len({sql_tokens('out')}) / 50.0)) AS avg_coverage FROM q""")
+def evaluation_recognition(spark, sf):
+    return _evaluated(spark, sf).recognition.select("total", "avg_confidence", "min_confidence", "max_confidence", "avg_coverage")
+
+
+@query(None)
+def evaluation_tables(spark, sf):
+    """The leaderboard of a run over tables made of the passages' sentences and words."""
+    return _evaluated(spark, sf).tables
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, p AS (SELECT b.item_id, b.reference, coalesce(x.text, '') AS text FROM b LEFT JOIN pairs x USING (item_id) WHERE b.item_id % 5 > 0 OR x.item_id IS NULL), {sql_word_rates('p')},
@@ -295,7 +347,7 @@ def evaluation_run(spark, sf):
  SELECT count(*) AS total, count(*) AS successful, 0::BIGINT AS failed, avg(cer) AS avg_cer, min(cer) AS min_cer, max(cer) AS max_cer, avg(wer) AS avg_wer, avg(len(list_intersect(rs, hs)) / len(rs)) AS avg_completeness, (1 - avg(cer)) * 100 AS overall_percent FROM c""")
 def evaluation_summary(spark, sf):
     """Error rates of what a run still had to compare."""
-    return _evaluated(spark, sf)[2]
+    return _evaluated(spark, sf).fidelity
 
 
 @query(None)

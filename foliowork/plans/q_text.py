@@ -173,12 +173,12 @@ def markdown_escapes(spark, sf):
     return s.select("doc_id", X.yaml_str("original").alias("yaml"), X.md_escape("original").alias("inline"), X.md_escape_block("original").alias("block"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, 'x Acme Widget Corp. met University of New ' || upper(source) || ' and Acme Widget Corp. again ' || regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g') AS t0 FROM documents), t1 AS (SELECT doc_id, substr(t0, 1, 8000) AS t FROM t)
+@query(r"""WITH t AS (SELECT doc_id, 'x Acme Widget Corp. met University of New ' || upper(source) || ' and Acme Widget Corp. again ' || coalesce(text, '') AS t0 FROM documents), t1 AS (SELECT doc_id, substr(t0, 1, 8000) AS t FROM t)
  SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN list_position(a, a[i]) = i THEN a[i] END), lambda x: x IS NOT NULL), 1, 10), ';') AS names FROM (
  SELECT doc_id, list_filter(list_concat(regexp_extract_all(t, '\b[A-Z][A-Za-z&.-]+(?:\s+[A-Z][A-Za-z&.-]+){0,3}\s+(?:Inc\.?|Corp\.?|Corporation|Company|University|Institute|Laboratory|Labs|LLC|Ltd\.?)\b'),
   regexp_extract_all(t, '\b(?:University|Institute|Laboratory|Labs)\s+of\s+[A-Z][A-Za-z&.-]+(?:\s+[A-Z][A-Za-z&.-]+){0,2}\b')), lambda x: length(x) > 2) AS a FROM t1)""")
 def organisation_names(spark, sf):
-    t = F.concat(F.lit("x Acme Widget Corp. met University of New "), F.upper("source"), F.lit(" and Acme Widget Corp. again "), F.regexp_replace(X.col("text"), r"[^\x00-\x7F]", ""))
+    t = F.concat(F.lit("x Acme Widget Corp. met University of New "), F.upper("source"), F.lit(" and Acme Widget Corp. again "), X.col("text"))
     return read(spark, sf, "documents").select("doc_id", F.array_join(X.organisations(t), ";").alias("names"))
 
 

@@ -1,8 +1,8 @@
 """Inputs that the registered queries share: the given tables, and structured documents derived from them.
 
-The given documents hold hardly any mark-up, so `structured` turns every sixth line of a text into a heading, a list
-item, a table row, a table rule or a blank one, and makes a converted version that has lost or changed some of
-these. The SQL beside it says the same for the oracles.
+The given documents hold hardly any mark-up, so `structured` marks lines as a heading, a list item or a table row with a cell for
+each word, and puts a table rule or a blank line before others; every word of a text stays. A converted version has lost or
+changed some of these. The SQL beside it says the same for the oracles.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _row(line: Column) -> Column:
-    return F.concat(F.lit("| "), F.array_join(F.slice(F.split(line, " ", -1), 1, 3), " | "), F.lit(" |"))
+    return F.concat(F.lit("| "), F.replace(line, F.lit(" "), F.lit(" | ")), F.lit(" |"))
 
 
 def _original(line: Column, i: Column) -> Column:
@@ -51,8 +51,8 @@ def _original(line: Column, i: Column) -> Column:
         F.when(i % 6 == 0, F.concat(level, F.lit(" "), line))
         .when(i % 6 == 2, F.concat(F.lit("- "), line))
         .when(i % 6 == 3, _row(line))
-        .when(i % 6 == 4, F.lit("| --- | --- | --- |"))
-        .when(i % 6 == 5, F.lit(""))
+        .when(i % 6 == 4, F.concat(F.lit("| --- | --- | --- |\n"), line))
+        .when(i % 6 == 5, F.concat(F.lit("\n"), line))
         .otherwise(line)
     )
 
@@ -69,10 +69,10 @@ def structured(docs: DataFrame) -> DataFrame:
     )
 
 
-_ROW = "'| ' || array_to_string(list_slice(string_split(x, ' '), 1, 3), ' | ') || ' |'"
+_ROW = "'| ' || replace(x, ' ', ' | ') || ' |'"
 _ORIGINAL = (
     "CASE WHEN (i-1) % 6 = 0 THEN repeat('#', (((i-1) // 6) % 3 + 1)::INT) || ' ' || x WHEN (i-1) % 6 = 2 THEN '- ' || x "
-    f"WHEN (i-1) % 6 = 3 THEN {_ROW} WHEN (i-1) % 6 = 4 THEN '| --- | --- | --- |' WHEN (i-1) % 6 = 5 THEN '' ELSE x END"
+    f"WHEN (i-1) % 6 = 3 THEN {_ROW} WHEN (i-1) % 6 = 4 THEN '| --- | --- | --- |' || chr(10) || x WHEN (i-1) % 6 = 5 THEN chr(10) || x ELSE x END"
 )
 STRUCTURED = f"""structured AS (
   SELECT doc_id, lang, source,
