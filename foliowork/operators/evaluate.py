@@ -137,7 +137,12 @@ def corpus_score(df: DataFrame) -> DataFrame:
 
 
 def stable_sample(df: DataFrame, n: int, seed: int = 7, key: str = "key") -> DataFrame:
-    """The same n rows for every caller, whatever the order and partitioning: those with the least seeded hashes.
+    """The same n rows for every caller, whatever the order and partitioning: the least seeded hashes, sorted by key."""
+    return sampled(df, n, seed, key).orderBy(key)
+
+
+def sampled(df: DataFrame, n: int, seed: int = 7, key: str = "key") -> DataFrame:
+    """The rows of a stable sample, in no order.
 
     Rows are counted by the first four digits of their hash; those below the digits at which n is reached are in, and only the
     rows with just these digits, one in 65,536, are put in order. Keys are unique; a null key counts as its own hash.

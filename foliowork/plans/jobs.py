@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliowork.functions.text import cer, completeness, norm_lev, token_f1, wc_meaningful, wer
 from foliowork.operators.evidence import detect_language, document_type, page_evidence, sample_pages
-from foliowork.operators.evaluate import fidelity_summary, leaderboard, mean_similarity, ocr_summary, qa_hits, qa_total, stable_sample, todo
+from foliowork.operators.evaluate import fidelity_summary, leaderboard, mean_similarity, ocr_summary, qa_hits, qa_total, sampled, todo
 from foliowork.operators.quality import quality_score
 from foliowork.operators.rules import advise, classify_content, engine, hints, recommend
 from foliowork.operators.structure import insert_tables, line_table, merge_lines, missing_tables, reflow, repair_headings, retention, structure, table_blocks, title, validate_content
@@ -88,7 +88,7 @@ def compare(truth: DataFrame, outputs: DataFrame, results: DataFrame, engine_nam
 
     `truth` and `outputs` have key and text (outputs: markdown); finished keys are left out before anything is compared.
     """
-    chosen = stable_sample(truth.select("key"), sample)
+    chosen = sampled(truth.select("key"), sample)
     open_keys = todo(chosen, results, outputs, engine_name)
     pairs = truth.join(open_keys, "key", "left_semi").select("key", F.col("text").alias("reference")).join(outputs.select("key", F.col("markdown").alias("text")), "key", "left")
     return sequence_ratio(pairs).withColumns(
