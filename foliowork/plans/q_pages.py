@@ -228,8 +228,8 @@ def registry_scan(spark, sf):
     d = read(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("formats"))
     entry = F.struct(F.lit("o").alias("owner"), F.lit("r").alias("runner"), F.lit("shipping").alias("release_status"), F.col("formats").alias("valid_formats"), F.lit(True).alias("baseline_required"))
     path = scratch_folder(spark, "registry")
-    d.agg(F.map_from_entries(F.collect_list(F.struct("source", entry))).alias("pathways")).coalesce(1).write.json(path)
-    return R.read_registry(spark, path).select("pathway", "release_status", "format")
+    K.write_registries(d.select(F.col("source").alias("pathway"), entry.alias("entry")), path)
+    return R.read_registry(spark, f"{path}/*").select("pathway", "release_status", "format")
 
 
 @query("SELECT doc_id AS book, unnest([0, 1])::BIGINT AS pos, unnest(['text/' || lang || ' 2.xhtml', 'cover.html']) AS path FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, unnest([0, 2])::BIGINT, unnest(['cover.html', 'text/' || lang || ' 2.xhtml']) FROM documents WHERE doc_id % 2 = 1")

@@ -74,6 +74,14 @@ def write_baselines(df: DataFrame, path: str, most: int = ENTRIES) -> None:
     named.write.partitionBy("folder", "_part").json(path)
 
 
+def write_registries(df: DataFrame, path: str, most: int = ENTRIES) -> None:
+    """Pathway registries of (pathway, entry) below `path`, in files of about `most` pathways each."""
+    parts = F.greatest(F.ceil(F.count("*") / most), F.lit(1)).alias("_parts")
+    counted = df.crossJoin(F.broadcast(df.agg(parts)))  # one row
+    grouped = counted.withColumn("_part", F.pmod(F.xxhash64("pathway"), "_parts")).groupBy("_part").agg(F.map_from_entries(F.collect_list(F.struct("pathway", "entry"))).alias("pathways"))
+    grouped.write.partitionBy("_part").json(path)
+
+
 def write_history(df: DataFrame, path: str) -> None:
     """One JSON record for each conversion, with ISO dates."""
     df.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").json(path)

@@ -127,3 +127,22 @@ def test_phrases_are_ranked_runs_between_stop_words(spark):
     got = sorted((r.doc_id, r.rank, r.phrase, r.n) for r in E.key_phrases(rows).collect())
     assert got == [(1, 1, "big red house", 2), (1, 2, "small dog", 2), (1, 3, "big red house one", 1), (4, 1, "alpha beta", 1)]
     assert [r.rank for r in E.key_phrases(rows, most=1).collect()] == [1, 1]
+
+
+def test_matching_blocks_are_those_of_the_definition(monkeypatch):
+    import difflib
+
+    draw = random.Random(8)
+    pairs = [([], []), (["a"], []), (["a"] * 300, ["a"] * 300)]
+    for _ in range(250):
+        words = [f"w{k}" for k in range(draw.choice([2, 5, 40, 400]))]
+        a = draw.choices(words, k=draw.randint(0, 320))
+        b = list(a)
+        for _ in range(draw.randint(0, 40)):
+            at = draw.randint(0, len(b))
+            b[at : at + draw.randint(0, 9)] = draw.choices(words, k=draw.randint(0, 9))
+        pairs.append((a, b if draw.random() < 0.7 else draw.choices(words, k=draw.randint(0, 320))))
+    want = [sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) for a, b in pairs]
+    assert [T.matched_words(a, b) for a, b in pairs] == want
+    monkeypatch.setattr(T, "PAIRS_AT_ONCE", 100)  # row by row
+    assert [T.matched_words(a, b) for a, b in pairs[:120]] == want[:120]
