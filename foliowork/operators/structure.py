@@ -120,16 +120,17 @@ def reflow(text: Column | str) -> Column:
     def alone(t: Column) -> Column:
         return t.startswith("#") | (t == "---")
 
-    zero = F.struct(F.array().cast("array<string>").alias("blocks"), F.lit(False).alias("open"))
+    def joined(own: Column) -> Column:
+        """Every line with what parts it from the block before, which only the line before decides; no block holds a line break."""
 
-    def step(acc: Column, t: Column) -> Column:
-        n = F.size(acc["blocks"])
-        joined = F.concat(F.slice(acc["blocks"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(acc["blocks"], -1), t)))
-        added = F.concat(acc["blocks"], F.array(t))
-        blocks = F.when(t == "", acc["blocks"]).when(~alone(t) & acc["open"], joined).otherwise(added)
-        return F.struct(blocks.alias("blocks"), ((t != "") & ~alone(t)).alias("open"))
+        def piece(t: Column, k: Column) -> Column:
+            last = F.coalesce(F.get(own, k - 1), F.lit(""))
+            return F.when(t == "", "").when(~alone(t) & (last != "") & ~alone(last), F.concat(F.lit(" "), t)).otherwise(F.concat(F.lit("\n"), t))
+
+        return F.array_join(F.transform(own, piece), "")
 
-    blocks = F.transform(F.aggregate(own, zero, step)["blocks"], lambda b: F.regexp_replace(b, "  +", " "))
+    parts = F.filter(F.split(let(own, joined), "\n", -1), lambda b: b != "")
+    blocks = F.transform(parts, lambda b: F.regexp_replace(b, "  +", " "))
     body = F.filter(blocks, lambda b: ~alone(b))
     ends = F.transform(body, lambda b: F.greatest(F.regexp_count(b, F.lit(r"[.!?]+(?=\s|$)")), F.lit(1)))
     sentences = F.aggregate(ends, F.lit(0).cast("long"), lambda acc, n: acc + n)

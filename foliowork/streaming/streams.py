@@ -113,17 +113,19 @@ def stalled(progress: DataFrame, seconds: int = 60, watermark: str = "1 second")
             state.remove()
             yield pd.DataFrame([(key[0], pd.Timestamp(at, unit="s"), now - at)], columns=columns)
             return
-        out = []
-        last = state.get if state.exists else None
-        for r in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples():
-            now = r.ts.timestamp()
-            if last is not None and last[0] not in FINISHED and now - last[1] >= seconds:
-                out.append((key[0], pd.Timestamp(last[1], unit="s"), now - last[1]))
-            last = (r.stage, now)
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"]).reset_index(drop=True)
+        rows["at"] = rows["ts"].map(pd.Timestamp.timestamp)
+        before = rows[["stage", "at"]].shift(1)
+        if state.exists:
+            before.loc[0, ["stage", "at"]] = state.get
+        gap = rows["at"] - before["at"]
+        long = before["at"].notna() & ~before["stage"].isin(FINISHED) & (gap >= seconds)
+        last = (rows["stage"].iloc[-1], float(rows["at"].iloc[-1]))
         state.update(last)
         if last[0] not in FINISHED:
             state.setTimeoutTimestamp(max(int((last[1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
+        own = pd.DataFrame({"job_id": key[0], "ts": pd.to_datetime(before["at"][long].astype(float), unit="s"), "gap": gap[long].astype(float)})
+        yield own[columns]
 
     kind = progress.schema["job_id"].dataType.simpleString()
     marked = progress.withWatermark("ts", watermark)
