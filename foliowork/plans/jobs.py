@@ -41,7 +41,8 @@ def finish(raw: DataFrame) -> DataFrame:
     share of structure kept, `retention_ratio`, `warnings` and `passed` say whether words, tables or lists were lost.
     """
     laid_out = F.lower("ext").isin("html", "htm", "csv")
-    refined = raw.withColumn("markdown", F.when(laid_out, F.col("raw")).otherwise(reflow(merge_lines("raw"))["markdown"]))
+    markdown = F.when(laid_out, F.col("raw")).otherwise(reflow(merge_lines("raw"))["markdown"])
+    refined = raw.select("*", F.explode(F.array(markdown)).alias("markdown"))  # a generator: made once, not again in every measure of it
     checked = validate_content(refined.withColumn("retention", retention(structure("raw"), structure("markdown"))), "raw", "markdown")
     scored = quality_score(checked.withColumn("pages", F.lit(1))).withColumnRenamed("language", "language_confidence")
     return scored.withColumns({"title": title("markdown"), "language": detect_language("markdown")["lang"], "type": document_type("markdown"), "route": classify_content("ext")})
