@@ -496,3 +496,15 @@ def quality_selection(spark, sf):
     originals = s.select("doc_id", F.col("original").alias("second"))
     best = Q.quality_select(basic, lambda needy: needy.join(originals, "doc_id").withColumn("markdown", F.col("second")).drop("second"))
     return best.select("doc_id", "ord", "overall")
+
+
+@query(f"""WITH m AS (SELECT doc_id, toxic AS bad FROM labels WHERE toxic IS NOT NULL), k AS (SELECT count(*) FILTER (bad = 0) AS gd, count(*) FILTER (bad = 1) AS bd FROM m JOIN documents USING (doc_id)),
+ l AS (SELECT doc_id, unnest({sql_lines(_T)}) AS t, generate_subscripts({sql_lines(_T)}, 1) AS line FROM documents), w AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(t), '\\p{{L}}+')) AS word FROM l),
+ c AS (SELECT word, count(*) FILTER (bad = 0) AS g, count(*) FILTER (bad = 1) AS b FROM (SELECT DISTINCT doc_id, word FROM w) JOIN m USING (doc_id) GROUP BY word HAVING g + b >= 20),
+ x AS (SELECT word, (g / gd - b / bd) / (g / gd + b / bd) AS tone FROM c, k WHERE gd > 0 AND bd > 0), a AS (SELECT doc_id, line, avg(tone) AS tone FROM w JOIN x USING (word) GROUP BY ALL), s AS (SELECT doc_id, avg(tone) AS sentiment FROM a GROUP BY doc_id)
+ SELECT doc_id, round(sentiment, 9) AS sentiment FROM documents LEFT JOIN s USING (doc_id)""")
+def learned_sentiment(spark, sf):
+    """The tone of every whole text by a lexicon that is learned from the documents marked as toxic or not."""
+    docs = read(spark, sf, "documents")
+    lexicon = E.learn_lexicon(docs, read(spark, sf, "labels").select("doc_id", F.col("toxic").alias("bad")))
+    return E.sentiment_by(docs, lexicon).select("doc_id", F.round("sentiment", 9).alias("sentiment"))

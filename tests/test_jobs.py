@@ -146,3 +146,15 @@ def test_matching_blocks_are_those_of_the_definition(monkeypatch):
     assert [T.matched_words(a, b) for a, b in pairs] == want
     monkeypatch.setattr(T, "PAIRS_AT_ONCE", 100)  # row by row
     assert [T.matched_words(a, b) for a, b in pairs[:120]] == want[:120]
+
+
+def test_a_lexicon_is_learned_and_gives_the_tone_of_lines(spark):
+    docs = [(k, "good day\nyou fool" if k < 4 else "good day now") for k in range(8)] + [(20, None), (21, "good fool\n\nnone here"), (22, "xyz")]
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
+    marks = spark.createDataFrame([(k, int(k < 4)) for k in range(8)] + [(20, None), (99, 1)], "doc_id int, bad int")
+    lexicon = E.learn_lexicon(frame, marks, least=4)
+    tones = {r.word: r.tone for r in lexicon.collect()}
+    assert tones == {"good": 0.0, "day": 0.0, "you": -1.0, "fool": -1.0, "now": 1.0}
+    got = {r.doc_id: r.sentiment for r in E.sentiment_by(frame, lexicon).collect()}
+    assert got[0] == -0.5 and got[5] == pytest.approx(1 / 3) and got[21] == -0.5 and got[20] is None and got[22] is None and len(got) == 11
+    assert E.learn_lexicon(frame, marks.filter("bad = 1"), least=1).count() == 0
