@@ -1,8 +1,9 @@
 """Rows of a key in the order of their event time, whatever micro-batches they came in.
 
-Rows wait in list state until the watermark has passed their time; then they are taken in order, together with the key's
-state. So a replay that cuts the input into other batches gives the same results. A key of which nothing came for a while
-of event time is forgotten, which bounds the state.
+Keys are dealt by hash to buckets, which are the groups of the stateful operator. Rows wait in a bucket's list state until the
+watermark has passed their time; then those of all its keys are taken in order, together with the keys' states, as one table, so
+that a key costs rows and not calls. So a replay that cuts the input into other batches gives the same results. A key of which
+nothing came for a while of event time is forgotten, which bounds the state.
 """
 
 from __future__ import annotations
@@ -10,50 +11,87 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: (state or None, rows in order) to (new state, rows of the result).
-Fold = Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]
+#: Groups of a stateful operator. A bucket's state grows with the keys over this number.
+BUCKETS = 512
+#: (rows in order, rows of state), both with `run`, to (new rows of state with `run`, rows of the result).
+Fold = Callable[[pd.DataFrame, pd.DataFrame], tuple[pd.DataFrame, pd.DataFrame]]
+
+
+def _packed(rows: pd.DataFrame) -> tuple[bytes]:
+    """Rows as one value of state, in Arrow's format: a call and a value for a table, not for each row."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.BufferOutputStream() as sink:
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return (sink.getvalue().to_pybytes(),)
 
 
 class _InOrder(StatefulProcessor):
-    def __init__(self, keys: list[str], columns: list[str], rows: str, state: str, fold: Fold, forget_ms: int):
-        self.keys, self.columns, self.rows, self.kept, self.fold, self.forget_ms = keys, columns, rows, state, fold, forget_ms
+    def __init__(self, keys: list[str], columns: list[str], state_columns: list[str], whole: list[str], fold: Fold, forget_ms: int):
+        self.keys, self.columns, self.state_columns, self.whole, self.fold, self.forget_ms = keys, columns, state_columns, whole, fold, forget_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pending, self.state = handle.getListState("pending", self.rows), handle.getValueState("state", f"last_us long, {self.kept}")
+        self.pending, self.state = handle.getListState("pending", "chunk binary"), handle.getListState("state", "chunk binary")
+
+    def _table(self, state, columns: list[str]) -> pd.DataFrame:
+        parts = [pa.ipc.open_stream(chunk).read_pandas() for (chunk,) in state.get()]
+        table = pd.concat(parts, ignore_index=True)[columns] if parts else pd.DataFrame(columns=columns)
+        return table.astype({k: "Int64" for k in self.whole})  # keys of whole numbers stay whole beside nulls
+
+    def _keep(self, state, rows: pd.DataFrame) -> None:
+        if len(rows):
+            state.put([_packed(rows)])
+        else:
+            state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))[self.columns]
-        self.pending.appendList([tuple(None if pd.isna(x) else x for x in r) for r in new.astype(object).itertuples(index=False)])
-        self.handle.registerTimer(int(new["time_us"].max() // 1000) + 1)
+        self.pending.appendList([_packed(new)])
+        self.handle.registerTimer(int(new["time_us"].min() // 1000) + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        waiting = pd.DataFrame(list(self.pending.get()), columns=self.columns)
-        due = waiting[waiting["time_us"] <= now]
-        last = self.state.get() if self.state.exists() else None
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting, last = self._table(self.pending, self.columns), self._table(self.state, self.state_columns)
+        ready = waiting["time_us"] <= now * 1000
+        due = waiting[ready].sort_values(self.columns, kind="stable", ignore_index=True)
+        last = last.astype({"last_us": "int64"})
+        fresh = last["last_us"] // 1000 + self.forget_ms + 1 > now
         if not len(due):
-            if last is not None and last[0] + self.forget_ms * 1000 <= now:
-                self.state.clear()
+            if not fresh.all():
+                self._keep(self.state, last[fresh])
             return
-        state, out = self.fold(None if last is None else tuple(last[1:]), due.sort_values(self.columns, kind="stable"))
-        newest = int(due["time_us"].max())
-        self.state.update((newest, *state))
-        self.handle.registerTimer(newest // 1000 + self.forget_ms + 1)
-        late = waiting[waiting["time_us"] > now]
+        number = pd.concat([last[self.keys], due[self.keys]]).groupby(self.keys, dropna=False, sort=False).ngroup().to_numpy()
+        last["key"], due["key"] = number[: len(last)], number[len(last) :]
+        due = due.sort_values("key", kind="stable", ignore_index=True)
+        # A run is what a key's rows are between two times of being forgotten; the first may go on from the state.
+        known = due["key"].map(last.drop_duplicates("key").set_index("key")["last_us"])
+        before = due.groupby("key")["time_us"].shift(1).fillna(known)
+        begins = before.isna() | (due["time_us"] > (before // 1000 + self.forget_ms + 1) * 1000)
+        goes_on = ~begins & (due["key"] != due["key"].shift(1))
+        due["run"] = (begins | goes_on).cumsum()
+        run = due.loc[goes_on].set_index("key")["run"]
+        seen = last.assign(run=last["key"].map(run)).dropna(subset="run").astype({"run": "int64"})
+        state, out = self.fold(due, seen)
+        newest = due.groupby("run").tail(1).drop_duplicates("key", keep="last").set_index("run")
+        state = state[state["run"].isin(newest.index)]
+        own = newest.loc[state["run"], [*self.keys, "time_us"]].rename(columns={"time_us": "last_us"}).reset_index(drop=True)
+        kept = pd.concat([own, state.drop(columns="run").reset_index(drop=True)], axis=1)[self.state_columns]
+        others = last.loc[fresh & ~last["key"].isin(due["key"]), self.state_columns]
+        self._keep(self.state, pd.concat([others, kept]) if len(others) else kept)
+        self.handle.registerTimer(int(due["time_us"].max() // 1000) + self.forget_ms + 1)
+        late = waiting[~ready]
+        self._keep(self.pending, late)
         if len(late):
-            self.pending.put([tuple(r) for r in late.astype(object).itertuples(index=False)])
-        else:
-            self.pending.clear()
-        for name, value in zip(self.keys, key, strict=True):
-            out[name] = value
+            self.handle.registerTimer(int(late["time_us"].min() // 1000) + 1)
         if len(out):
             yield out
 
@@ -61,17 +99,19 @@ class _InOrder(StatefulProcessor):
         pass
 
 
-def in_order(rows: DataFrame, keys: list[str], time: str, columns: list[str], state: str, out: str, fold: Fold, watermark: str, forget: float) -> DataFrame:
+def in_order(rows: DataFrame, keys: list[str], time: str, columns: list[str], state: str, out: str, fold: Fold, watermark: str, forget: float, buckets: int = BUCKETS) -> DataFrame:
     """A streaming frame of what `fold` gives for the rows of each key, taken in the order of `time` and then of `columns`.
 
-    `state` and `out` are schemas; the fold's rows have the columns time_us (microseconds) and `columns`, and its result those of
-    `out` without the keys. Keys of which nothing came for `forget` seconds of event time after their last row lose their state.
+    `state` and `out` are schemas without the keys. The fold's rows have the keys, time_us (microseconds), `columns` and `run`, the
+    number of a key's stretch of rows; it gives the rows of state that each run leaves, with `run`, and those of `out` with the keys.
+    Keys of which nothing came for `forget` seconds of event time after their last row lose their state.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    timed = rows.withWatermark(time, watermark).select(*keys, time, F.unix_micros(F.col(time)).alias("time_us"), *columns)
-    own = ["time_us", *columns]
-    schema = ", ".join(f"`{c}` {timed.schema[c].dataType.simpleString()}" for c in own)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    timed = rows.withWatermark(time, watermark).select(bucket, *keys, time, F.unix_micros(F.col(time)).alias("time_us"), *columns)
+    own = ["time_us", *columns, *keys]
+    whole = [k for k in keys if isinstance(timed.schema[k].dataType, T.IntegralType)]
     result = T.StructType([rows.schema[k] for k in keys] + list(T.StructType.fromDDL(out)))
-    processor = _InOrder(keys, own, schema, state, fold, int(forget * 1000))
-    done = timed.groupBy(*keys).transformWithStateInPandas(processor, result, "append", "EventTime")
-    return done
+    state_columns = [*keys, "last_us", *T.StructType.fromDDL(state).names]
+    processor = _InOrder(keys, own, state_columns, whole, fold, int(forget * 1000))
+    return timed.groupBy("bucket").transformWithStateInPandas(processor, result, "append", "EventTime")

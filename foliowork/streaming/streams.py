@@ -49,15 +49,15 @@ def stable(listings: DataFrame, seconds: float = 1.0, forget: float = FORGET, wa
     `forget` seconds of event time is forgotten; named again, it starts anew.
     """
 
-    def fold(last: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        rows = rows.reset_index(drop=True)
-        before = rows.shift(1)
-        if last is not None:
-            before.loc[0, ["time_us", "size", "modified"]] = last
-        same = (rows["size"] == before["size"]) & (rows["modified"] == before["modified"]) & (rows["time_us"] - before["time_us"] >= seconds * 1e6)
-        kept, end = rows[same], rows.iloc[-1]
-        out = pd.DataFrame({"size": kept["size"], "modified": kept["modified"], "seen_at": _moment(kept["time_us"])})
-        return (int(end["time_us"]), int(end["size"]), float(end["modified"])), out
+    def fold(rows: pd.DataFrame, last: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        read = ["run", "time_us", "size", "modified"]
+        both = pd.concat([last.rename(columns={"at_us": "time_us"})[read], rows[read]], ignore_index=True) if len(last) else rows[read]
+        place = both.sort_values("run", kind="stable").index  # a run's state comes before its rows
+        own, before = both.loc[place], both.loc[place].shift(1)
+        same = (own["run"] == before["run"]) & (own["size"] == before["size"]) & (own["modified"] == before["modified"]) & (own["time_us"] - before["time_us"] >= seconds * 1e6)
+        kept = rows[same.loc[range(len(both) - len(rows), len(both))].to_numpy()]
+        end = rows.groupby("run").tail(1)
+        return end[["run", "time_us", "size", "modified"]].rename(columns={"time_us": "at_us"}), kept[["folder", "name", "size", "modified"]].assign(seen_at=_moment(kept["time_us"]))
 
     state, out = "at_us long, size long, modified double", "size long, modified double, seen_at timestamp"
     return in_order(listings, ["folder", "name"], "seen_at", ["size", "modified"], state, out, fold, watermark, forget)
@@ -72,15 +72,13 @@ def new_signatures(listings: DataFrame, include: str = "", exclude: str = DEFAUL
     named = listings.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).filter(match_rules("name", include, exclude))
     admitted = admission(named.withColumnRenamed("size", "length")).filter("verdict = 'ok'").withColumnRenamed("length", "size")
 
-    def fold(last: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        known = set() if last is None else set(zip(last[0], last[1], strict=True))
-        first = rows.drop_duplicates(["size", "modified"])
-        new = first[[x not in known for x in zip(first["size"], first["modified"], strict=True)]]
-        known |= set(zip(new["size"], new["modified"], strict=True))
-        sizes, dates = (list(x) for x in zip(*sorted(known), strict=True))
-        return (sizes, dates), pd.DataFrame({"size": new["size"], "modified": new["modified"], "seen_at": _moment(new["time_us"])})
+    def fold(rows: pd.DataFrame, last: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        signature = ["run", "size", "modified"]
+        known = pd.concat([last[signature].assign(old=True), rows.assign(old=False)], ignore_index=True).drop_duplicates(signature)
+        new = known[~known["old"]]
+        return known[signature], new[["path", "size", "modified"]].astype({"size": "int64"}).assign(seen_at=_moment(new["time_us"]))
 
-    state, out = "sizes array<long>, dates array<double>", "size long, modified double, seen_at timestamp"
+    state, out = "size long, modified double", "size long, modified double, seen_at timestamp"
     return in_order(admitted, ["path"], "seen_at", ["size", "modified"], state, out, fold, watermark, forget)
 
 
@@ -91,13 +89,13 @@ def job_state(progress: DataFrame, forget: float = FORGET, watermark: str = WATE
     seconds of event time is forgotten, finished or not.
     """
 
-    def fold(last: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        stage, at = (None, None) if last is None else last
-        ended = rows["stage"].isin(FINISHED).cumsum().shift(1, fill_value=0) > 0
-        counted = rows[(rows["stage"] == "cancelled") | ~(ended | (stage in FINISHED))]
-        if len(counted):
-            stage, at = counted["stage"].iloc[-1], int(counted["time_us"].iloc[-1])
-        return (stage, at), pd.DataFrame({"stage": [stage], "ts": _moment(pd.Series([at]))})
+    def fold(rows: pd.DataFrame, last: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        ends = rows["stage"].isin(FINISHED).astype("int64")
+        ended = (ends.groupby(rows["run"]).cumsum() - ends > 0) | rows["run"].isin(last.loc[last["stage"].isin(FINISHED), "run"])
+        counted = rows.loc[(rows["stage"] == "cancelled") | ~ended, ["run", "stage", "time_us"]].rename(columns={"time_us": "at"})
+        state = pd.concat([last[["run", "stage", "at"]], counted], ignore_index=True).groupby("run").tail(1)
+        jobs = rows.drop_duplicates("run").set_index("run")["job_id"]
+        return state, pd.DataFrame({"job_id": jobs.loc[state["run"]].array, "stage": state["stage"].array, "ts": _moment(state["at"]).array})
 
     return in_order(progress, ["job_id"], "ts", ["seq", "stage"], "stage string, at long", "stage string, ts timestamp", fold, watermark, forget)
 
