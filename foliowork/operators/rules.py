@@ -327,16 +327,19 @@ def progress(stage: Column, fraction: Column) -> Column:
 
 def heading_confidence(text: Column | str, nouns: tuple[str, ...], verbs: tuple[str, ...]) -> Column:
     """struct(confidence, level) of a line as a heading; nouns and verbs come from small lexicons of endings and words."""
-    from foliowork.functions.text import tokens
+    from foliowork.functions.text import let
 
     t = trim_all(col(text))
-    words = F.transform(tokens(F.lower(t)), lambda w: F.regexp_replace(w, r"[^\p{L}]", ""))
-    has_verb = F.arrays_overlap(words, F.array(*map(F.lit, verbs)))
-    has_noun = F.exists(words, lambda w: F.regexp_like(w, F.lit("(" + "|".join(nouns) + ")$")))
-    phrase = has_noun & ~has_verb
+    words = F.regexp_replace(F.lower(t), r"[^\p{L}\s]+", "")
+    has_verb = F.regexp_like(words, F.lit(rf"(?<!\S)(?:{'|'.join(verbs)})(?!\S)"))
+    has_noun = F.regexp_like(words, F.lit(rf"(?:{'|'.join(nouns)})(?!\S)"))
     n = F.length(t)
-    raw = F.lit(0.5) + F.when(phrase & (n < 60), 0.3).otherwise(0.0) - F.when(has_verb, 0.3).otherwise(0.0) - F.when(n > 100, 0.2).otherwise(0.0)
+    kind = F.when(has_verb, -0.3).when((n < 60) & has_noun, 0.3).otherwise(0.0)
+    raw = F.lit(0.5) + kind - F.when(n > 100, 0.2).otherwise(0.0)
     raw = raw - F.when(F.regexp_like(t, F.lit("[.,]$")), 0.2).otherwise(0.0) + F.when(F.regexp_like(t, F.lit(r"^\p{Lu}")), 0.1).otherwise(0.0)
-    c = F.when(t == "", 0.0).otherwise(F.least(F.greatest(F.round(raw, 6), F.lit(0.0)), F.lit(1.0)))
-    level = F.when(t == "", 0).when((c > 0.7) & (n < 40), 1).when((c > 0.5) & (n < 80), 2).otherwise(3)
-    return F.struct(c.alias("confidence"), level.alias("level"))
+
+    def of(c: Column) -> Column:
+        level = F.when(t == "", 0).when((c > 0.7) & (n < 40), 1).when((c > 0.5) & (n < 80), 2).otherwise(3)
+        return F.struct(c.alias("confidence"), level.alias("level"))
+
+    return let(F.when(t == "", 0.0).otherwise(F.least(F.greatest(F.round(raw, 6), F.lit(0.0)), F.lit(1.0))), of)
