@@ -28,11 +28,10 @@ def coverage(markdown: Column, pages: Column, expected_chars: Column | None = No
 
 def structure_score(markdown: Column, table_like: Column | None = None, figure: Column | None = None) -> Column:
     """Points for headings, lists, table rules and fences; less where an expected table is absent."""
-    own = lines(markdown)
-    trimmed = F.transform(own, trim_all)
-    heading = F.exists(trimmed, lambda t: t.startswith("#"))
-    item = F.exists(trimmed, lambda t: t.startswith("- ") | F.regexp_like(t, F.lit(r"^\d+\.\s")))
-    table = F.exists(own, lambda t: F.regexp_like(t, F.lit(r"^\|[\s\-|:]+\|$")))
+    # A line begins with the text or after a line end; spaces at its ends do not count, so an item has more than its mark.
+    heading = F.regexp_like(markdown, F.lit(r"(?:\A|[\r\n])[ \t\x0B\f]*+#"))
+    item = F.regexp_like(markdown, F.lit(r"(?:\A|[\r\n])[ \t\x0B\f]*+(?:- |\d++\.[ \t\x0B\f])[ \t\x0B\f]*+[^\s]"))
+    table = F.regexp_like(markdown, F.lit(r"(?:\A|[\r\n])\|[ \t\x0B\f\-|:]+\|(?:[\r\n]|\z)"))
     fence = F.contains(markdown, F.lit("```"))
     score = F.lit(0.45)
     for test, points in ((heading, 0.18), (item, 0.10), (table, 0.22), (fence, 0.08)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliowork.functions.text import col
+from foliowork.functions.text import col, trim_all
 from foliowork.operators import evidence as E
 from foliowork.operators import quality as Q
 from foliowork.operators import rules as R
@@ -465,7 +465,7 @@ def quality_by_source(spark, sf):
 @query(f"WITH {_SCORES}, b AS (SELECT lang, doc_id, source, overall, row_number() OVER (PARTITION BY lang ORDER BY overall DESC, n DESC, doc_id) AS r FROM scores) SELECT lang, doc_id, source, overall FROM b WHERE r = 1")
 def best_per_group(spark, sf):
     # the text is trimmed in the SQL as well, so that lengths compare alike
-    s = scored(spark, sf).withColumn("markdown", F.regexp_replace(col("markdown"), r"^\s+|\s+$", ""))
+    s = scored(spark, sf).withColumn("markdown", trim_all(col("markdown")))
     return Q.select_best(s, by="lang", order="doc_id").select("lang", "doc_id", "source", "overall")
 
 
