@@ -13,7 +13,7 @@ from foliowork.operators.evaluate import fidelity_summary, leaderboard, mean_sim
 from foliowork.operators.quality import quality_score
 from foliowork.operators.rules import advise, classify_content, engine, hints, recommend
 from foliowork.operators.structure import insert_tables, line_table, merge_lines, missing_tables, reflow, repair_headings, retention, structure, table_blocks, title, validate_content
-from foliowork.operators.tables import cells_to_markdown, csv_cells, sequence_ratio, table_similarity
+from foliowork.operators.tables import csv_markdown, sequence_ratio, table_similarity
 from foliowork.operators.walker import pages_to_markdown
 from foliowork.sources.sinks import append_results, render
 
@@ -21,15 +21,13 @@ from foliowork.sources.sinks import append_results, render
 def extract(src: DataFrame) -> DataFrame:
     """The documents (doc_id, ext, text and others) with `raw`, what their kind of file says, as Markdown.
 
-    Pages go through the walker, comma-separated files through their cells; other texts are their own Markdown. Each kind is a
+    Pages go through the walker, comma-separated files become tables where they lie; other texts are their own Markdown. Each kind is a
     branch of one plan; ids are unique. A file without a single cell, and a null text, is an empty Markdown.
     """
     ext = F.lower("ext")
     kept = tuple(c for c in src.columns if c != "doc_id")
     pages = pages_to_markdown(src.filter(ext.isin("html", "htm")), "doc_id", "text", keep=kept).withColumnRenamed("markdown", "raw")
-    files = src.filter(ext == "csv")
-    drawn = cells_to_markdown(csv_cells(files)).withColumnRenamed("markdown", "raw")
-    tables = files.join(drawn, "doc_id", "left").withColumn("raw", F.coalesce("raw", F.lit("")))
+    tables = src.filter(ext == "csv").withColumn("raw", csv_markdown("text"))
     texts = src.filter(ext.isNull() | ~ext.isin("html", "htm", "csv")).withColumn("raw", F.coalesce("text", F.lit("")))
     return pages.unionByName(tables).unionByName(texts)
 
@@ -51,7 +49,7 @@ def finish(raw: DataFrame) -> DataFrame:
 def convert(src: DataFrame, mode: str = "markdown") -> DataFrame:
     """Documents (doc_id, ext, text) as rendered Markdown with route, title, language, type, quality and validity, in one plan.
 
-    What a kind of file needs is shuffled by document: the blocks of pages, the cells of tables. Texts stay in their rows.
+    The blocks of pages are shuffled by page; tables and texts stay in their rows.
     """
     done = finish(extract(src))
     meta = {"source_name": F.col("doc_id").cast("string"), "pipeline": F.col("route.capability"), "created_at": F.lit("1970-01-01").cast("timestamp")}
