@@ -75,10 +75,10 @@ _OL, _CL = f"list_distinct({sql_tokens('lower(original)')})", f"list_distinct({s
   len(list_intersect(a, b)) AS shared FROM n""")
 def token_overlap(spark, sf):
     s = structured(read(spark, sf, "documents"))
-    return s.select(
-        "doc_id", X.agreement("converted", "original").alias("agreement"), X.completeness("original", "converted").alias("completeness"),
-        X.token_f1("original", "converted").alias("f1"), X.overlap(X.token_set("original"), X.token_set("converted")).alias("shared"),
-    )
+    sets = F.struct(X.token_set("converted").alias("a"), X.token_set("original").alias("b"))
+    shared = X.let(sets, lambda p: F.struct(X.set_agreement(p["a"], p["b"]).alias("agreement"), X.overlap(p["a"], p["b"]).alias("shared")))
+    measured = s.select("doc_id", F.explode(F.array(shared)).alias("s"), X.completeness("original", "converted").alias("completeness"), X.token_f1("original", "converted").alias("f1"))
+    return measured.select("doc_id", "s.agreement", "completeness", "f1", "s.shared")
 
 
 def passage_pairs(spark, sf):
