@@ -15,9 +15,12 @@ WEIGHTS = {"language": 0.20, "coverage": 0.30, "structure": 0.20, "clean": 0.15,
 LOW, HIGH, LOW_AGREEMENT = 0.45, 0.25, 0.35
 
 
-def coverage(markdown: Column, pages: Column, expected_chars: Column | None = None) -> Column:
-    """Words a page over 180, or how near the length is to what the pages held; a little more for page rules."""
-    score = F.least(F.lit(1.0), F.size(tokens(markdown)) / F.greatest(pages, F.lit(1)) / 180.0)
+def coverage(markdown: Column, pages: Column, expected_chars: Column | None = None, words: Column | None = None) -> Column:
+    """Words a page over 180, or how near the length is to what the pages held; a little more for page rules.
+
+    `words` is the number of words where it is known.
+    """
+    score = F.least(F.lit(1.0), (F.size(tokens(markdown)) if words is None else words) / F.greatest(pages, F.lit(1)) / 180.0)
     if expected_chars is not None:
         ratio = F.length(markdown) / expected_chars
         by_ratio = F.when(ratio < 1, ratio).otherwise(F.greatest(F.lit(0.0), 1.25 - F.least(ratio - 1, F.lit(1.25))))
@@ -29,9 +32,10 @@ def coverage(markdown: Column, pages: Column, expected_chars: Column | None = No
 def structure_score(markdown: Column, table_like: Column | None = None, figure: Column | None = None) -> Column:
     """Points for headings, lists, table rules and fences; less where an expected table is absent."""
     # A line begins with the text or after a line end; spaces at its ends do not count, so an item has more than its mark.
-    heading = F.regexp_like(markdown, F.lit(r"(?:\A|[\r\n])[ \t\x0B\f]*+#"))
+    # A pattern is tried where its mark is in the text at all.
+    heading = F.contains(markdown, F.lit("#")) & F.regexp_like(markdown, F.lit(r"(?:\A|[\r\n])[ \t\x0B\f]*+#"))
     item = F.regexp_like(markdown, F.lit(r"(?:\A|[\r\n])[ \t\x0B\f]*+(?:- |\d++\.[ \t\x0B\f])[ \t\x0B\f]*+[^\s]"))
-    table = F.regexp_like(markdown, F.lit(r"(?:\A|[\r\n])\|[ \t\x0B\f\-|:]+\|(?:[\r\n]|\z)"))
+    table = F.contains(markdown, F.lit("|")) & F.regexp_like(markdown, F.lit(r"(?:\A|[\r\n])\|[ \t\x0B\f\-|:]+\|(?:[\r\n]|\z)"))
     fence = F.contains(markdown, F.lit("```"))
     score = F.lit(0.45)
     for test, points in ((heading, 0.18), (item, 0.10), (table, 0.22), (fence, 0.08)):
@@ -55,12 +59,12 @@ def quality_score(
 
     text = trim_all(text_col(markdown))
     c = {k: F.col(v) if v else None for k, v in (("expected", expected_chars), ("table", table_like), ("figure", figure))}
-    parts = df.withColumn("_text", text).withColumns(
+    parts = df.withColumn("_text", text).withColumn("_words", F.size(tokens(F.col("_text")))).withColumns(
         {
             "language": detect_language("_text", 8000)["confidence"],
-            "coverage": coverage(F.col("_text"), F.col(pages), c["expected"]),
+            "coverage": coverage(F.col("_text"), F.col(pages), c["expected"], F.col("_words")),
             "structure": structure_score(F.col("_text"), c["table"], c["figure"]),
-            "artifacts": artifact_penalty("_text"),
+            "artifacts": artifact_penalty("_text", F.col("_words")),
             "duplication": duplication_penalty("_text"),
         }
     )
@@ -79,7 +83,7 @@ def quality_score(
     empty = F.col("_text") == ""
     scored = parts.withColumns({"overall": F.least(F.greatest(total / weight, F.lit(0.0)), F.lit(1.0)), "reasons": F.array_compact(F.array(*reasons))})
     blank = {"language": F.lit(0.0), "coverage": F.lit(0.0), "structure": F.lit(0.0), "artifacts": F.lit(1.0), "duplication": F.lit(1.0), "overall": F.lit(0.0), "reasons": F.array(F.lit("empty output"))}
-    return scored.withColumns({k: F.when(empty, v).otherwise(F.col(k)) for k, v in blank.items()}).drop("_text")
+    return scored.withColumns({k: F.when(empty, v).otherwise(F.col(k)) for k, v in blank.items()}).drop("_text", "_words")
 
 
 def select_best(candidates: DataFrame, by: str = "doc_id", score: str = "overall", markdown: str = "markdown", order: str = "ord") -> DataFrame:
