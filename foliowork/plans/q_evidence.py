@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliowork.functions.text import col, trim_all
+from foliowork.llm.shared import broadcast_if_small
 from foliowork.operators import evidence as E
 from foliowork.operators import quality as Q
 from foliowork.operators import rules as R
 from foliowork.plans.tables import PAGES, STRUCTURED, book, doc_pages, read, sql_lines, sql_set, sql_tokens, sql_trim, structured
+from foliowork.sources.scratch import scratch_folder
 
 query, QUERIES, ORACLES = book()
 _T = "coalesce(text, '')"
@@ -507,4 +509,7 @@ def learned_sentiment(spark, sf):
     """The tone of every whole text by a lexicon that is learned from the documents marked as toxic or not."""
     docs = read(spark, sf, "documents")
     lexicon = E.learn_lexicon(docs, read(spark, sf, "labels").select("doc_id", F.col("toxic").alias("bad")))
-    return E.sentiment_by(docs, lexicon).select("doc_id", F.round("sentiment", 9).alias("sentiment"))
+    path = scratch_folder(spark, "lexicon")
+    lexicon.write.parquet(path)
+    known = broadcast_if_small(spark.read.schema(lexicon.schema).parquet(path), path)
+    return E.sentiment_by(docs, known).select("doc_id", F.round("sentiment", 9).alias("sentiment"))
