@@ -217,10 +217,12 @@ def match_rules(name: Column | str, include: str = "", exclude: str = DEFAULT_EX
 
     def any_of(patterns: str, default: bool) -> Column:
         own = [p.lower() for p in patterns.replace(",", " ").split()]
-        out = F.lit(default if not own else False)
+        if not own:
+            return F.lit(default)
+        globs = "|".join(f"^{fnmatch.translate(p)}".replace(r"\z", r"\Z") for p in own)  # a name is matched once
+        out = F.regexp_like(x, F.lit(globs))
         for p in own:
-            glob = fnmatch.translate(p).replace(r"\z", r"\Z").replace("(?s:", "(?s:")
-            out = out | F.regexp_like(x, F.lit(f"^{glob}")) | F.contains(x, F.lit(p))
+            out = out | F.contains(x, F.lit(p))
         return out
 
     return any_of(include, True) & ~any_of(exclude, False)
