@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliowork.functions.text import agreement, artifact_penalty, col, lines, tokens, trim_all
+from foliowork.functions.text import agreement, artifact_penalty, col, trim_all, word_count
 from foliowork.operators.evidence import detect_language
 from foliowork.operators.rules import BUDGET_SCORE
 from foliowork.operators.structure import duplication_penalty
@@ -20,7 +20,7 @@ def coverage(markdown: Column, pages: Column, expected_chars: Column | None = No
 
     `words` is the number of words where it is known.
     """
-    score = F.least(F.lit(1.0), (F.size(tokens(markdown)) if words is None else words) / F.greatest(pages, F.lit(1)) / 180.0)
+    score = F.least(F.lit(1.0), (word_count(markdown) if words is None else words) / F.greatest(pages, F.lit(1)) / 180.0)
     if expected_chars is not None:
         ratio = F.length(markdown) / expected_chars
         by_ratio = F.when(ratio < 1, ratio).otherwise(F.greatest(F.lit(0.0), 1.25 - F.least(ratio - 1, F.lit(1.25))))
@@ -48,18 +48,18 @@ def structure_score(markdown: Column, table_like: Column | None = None, figure:
 
 
 def quality_score(
-    df: DataFrame, markdown: str = "markdown", pages: str = "pages", expected_chars: str | None = None, table_like: str | None = None, figure: str | None = None, image_text: str | None = None, image_confidence: str | None = None
+    df: DataFrame, markdown: str = "markdown", pages: str = "pages", expected_chars: str | None = None, table_like: str | None = None, figure: str | None = None, image_text: str | None = None, image_confidence: str | None = None, words: str | None = None
 ) -> DataFrame:
     """The frame with language, coverage, structure, artifacts, duplication, overall and reasons.
 
     The overall score is the weighted mean of the parts that are there. An empty text scores 0, with full penalties and
-    the reason `empty output`. Everything is computed in the row; nothing is shuffled.
+    the reason `empty output`. Everything is computed in the row; nothing is shuffled. `words` names a column with the number of words.
     """
     from foliowork.operators.structure import col as text_col
 
     text = trim_all(text_col(markdown))
     c = {k: F.col(v) if v else None for k, v in (("expected", expected_chars), ("table", table_like), ("figure", figure))}
-    parts = df.withColumn("_text", text).withColumn("_words", F.size(tokens(F.col("_text")))).withColumns(
+    parts = df.withColumn("_text", text).withColumn("_words", F.col(words) if words else word_count(F.col("_text"))).withColumns(
         {
             "language": detect_language("_text", 8000)["confidence"],
             "coverage": coverage(F.col("_text"), F.col(pages), c["expected"], F.col("_words")),

@@ -12,7 +12,7 @@ from foliowork.operators.evidence import detect_language, document_type, page_ev
 from foliowork.operators.evaluate import fidelity_summary, leaderboard, mean_similarity, ocr_summary, qa_hits, qa_total, sampled, todo
 from foliowork.operators.quality import quality_score
 from foliowork.operators.rules import advise, classify_content, engine, hints, recommend
-from foliowork.operators.structure import insert_tables, line_table, merge_lines, missing_tables, reflow, repair_headings, retention, structure, table_blocks, title, validate_content
+from foliowork.operators.structure import MEASURES, insert_tables, judge_content, line_table, measured, merge_lines, missing_tables, reflow, repair_headings, retention, structure, table_blocks, title
 from foliowork.operators.tables import csv_markdown, sequence_ratio, table_similarity
 from foliowork.operators.walker import pages_to_markdown
 from foliowork.sources.sinks import append_results, render
@@ -38,11 +38,12 @@ def finish(raw: DataFrame) -> DataFrame:
     Texts have broken lines merged and paragraphs put together; pages and tables have their lines already. `retention` is the
     share of structure kept, `retention_ratio`, `warnings` and `passed` say whether words, tables or lists were lost.
     """
-    laid_out = F.lower("ext").isin("html", "htm", "csv")
+    laid_out = F.coalesce(F.lower("ext").isin("html", "htm", "csv"), F.lit(False))
     markdown = F.when(laid_out, F.col("raw")).otherwise(reflow(merge_lines("raw"))["markdown"])
     refined = raw.select("*", F.explode(F.array(markdown)).alias("markdown"))  # a generator: made once, not again in every measure of it
-    checked = validate_content(refined.withColumn("retention", retention(structure("raw"), structure("markdown"))), "raw", "markdown")
-    scored = quality_score(checked.withColumn("pages", F.lit(1))).withColumnRenamed("language", "language_confidence")
+    counted = measured(refined, "raw", "markdown", same=laid_out)
+    checked = judge_content(counted.withColumn("retention", retention(F.col("_structure_in"), F.col("_structure_out"))), "raw", "markdown")
+    scored = quality_score(checked.withColumn("pages", F.lit(1)), words="_words_out").drop(*MEASURES).withColumnRenamed("language", "language_confidence")
     return scored.withColumns({"title": title("markdown"), "language": detect_language("markdown")["lang"], "type": document_type("markdown"), "route": classify_content("ext")})
 
 
