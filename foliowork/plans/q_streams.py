@@ -14,6 +14,7 @@ from foliowork.plans.tables import book, read
 from foliowork.sources.scratch import scratch_folder
 from foliowork.sources.store import read_documents_store, read_history_store
 from foliowork.streaming import streams as M
+from foliowork.streaming.ordered import start_stateful
 
 query, QUERIES, ORACLES = book()
 
@@ -32,8 +33,8 @@ def in_two_runs(rows: DataFrame, time: str, last: dict, stream) -> DataFrame:
     for lot in (rows.filter(early), rows.filter(~early).unionByName(closing)):
         lot.write.mode("append").parquet(f"{folder}/in")
         out = stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
-        run = out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        run.awaitTermination()
+        writer = out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        start_stateful(writer, spark).awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
